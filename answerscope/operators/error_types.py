@@ -86,8 +86,13 @@ def classify(df: DataFrame, names: DataFrame, row_id: str = "row_id", answer: st
 
 
 def type_counts(typed: DataFrame) -> DataFrame:
-    """Wrong rows per type and rule, with the unverified ones."""
-    return typed.where(~F.col("correct")).groupBy("type3", "rule").agg(F.count(F.lit(1)).alias("n"), F.count_if("unverified").alias("n_unverified"))
+    """Wrong rows per type and rule, with the unverified ones.
+
+    Wrong rows are counted rather than filtered: a filter on the rule would be pushed below the
+    text work and evaluate every pattern twice.
+    """
+    counts = typed.groupBy("type3", "rule").agg(F.count_if(~F.col("correct")).alias("n"), F.count_if("unverified").alias("n_unverified"))
+    return counts.where(F.col("n") > 0)
 
 
 def type_mix(typed: DataFrame, by: Sequence[str] = ("fact_group",), fact: str = "fact") -> DataFrame:
@@ -105,6 +110,6 @@ def type_mix(typed: DataFrame, by: Sequence[str] = ("fact_group",), fact: str =
 
 
 def rule_mix(typed: DataFrame, within: str = "type3", rule: str = "rule") -> DataFrame:
-    """Share of each rule inside its type (a handful of rows after the first aggregation)."""
-    counts = typed.groupBy(within, rule).agg(F.count(F.lit(1)).alias("n"))
+    """Share of each rule inside its type among wrong rows (a handful of rows after the first aggregation)."""
+    counts = typed.groupBy(within, rule).agg(F.count_if(~F.col("correct")).alias("n")).where(F.col("n") > 0)
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(within)).cast("double"))

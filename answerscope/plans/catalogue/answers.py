@@ -302,11 +302,11 @@ def maybe_fabricated(spark, folder):
 
 
 @query("C10_three_valued_lookup", _BASE + """
-  SELECT row_id, CASE WHEN qids IS NULL THEN 'unknown' WHEN len(qids) = 0 THEN 'absent' ELSE 'found' END AS lookup, rule, unverified
-  FROM final WHERE early = 'lookup' AND NOT correct""")
+  SELECT row_id, CASE WHEN correct OR early <> 'lookup' THEN NULL WHEN qids IS NULL THEN 'unknown' WHEN len(qids) = 0 THEN 'absent' ELSE 'found' END AS lookup, rule, unverified
+  FROM final""")
 def three_valued_lookup(spark, folder):
     rows = error_types.classify(_exactly_graded(spark, folder), V.name_cache(spark, folder), keep_lookup=True)
-    return rows.where(F.col("lookup").isNotNull()).select("row_id", "lookup", "rule", "unverified")
+    return rows.select("row_id", "lookup", "rule", "unverified")
 
 
 @query("C11_cascade", _BASE + "SELECT row_id, correct, type3, rule, unverified FROM final")
@@ -320,11 +320,14 @@ def type_counts(spark, folder):
 
 
 @query("C13_wrong_row_diff", _BASE + """
-  , a AS (SELECT row_id, type3, rule FROM final WHERE NOT correct), b AS (SELECT row_id, early AS rule FROM ruled JOIN exact USING (row_id) WHERE NOT exact)
-  SELECT count(*) FILTER (WHERE a.rule IS DISTINCT FROM b.rule) AS changed, 0::BIGINT AS only_old, 0::BIGINT AS only_new FROM a JOIN b USING (row_id)""")
+  SELECT count(*) FILTER (WHERE final.rule IS DISTINCT FROM CASE WHEN correct THEN 'correct' ELSE ruled.early END) AS changed,
+         0::BIGINT AS only_old, 0::BIGINT AS only_new FROM final JOIN ruled USING (row_id)""")
 def wrong_row_diff(spark, folder):
-    new = _typed(spark, folder).where(~F.col("correct")).select("row_id", "rule")
-    old = _ruled(spark, folder).select("row_id", error_types.early_rule().alias("rule")).join(new.select("row_id"), "row_id", "left_semi")
+    graded = _exactly_graded(spark, folder)
+    nothing_looked_up = V.name_cache(spark, folder).limit(0)
+    new = error_types.classify(graded, V.name_cache(spark, folder)).select("row_id", "rule")
+    before = error_types.classify(graded, nothing_looked_up, keep_lookup=True)
+    old = before.select("row_id", F.when(F.col("lookup").isNotNull(), "lookup").otherwise(F.col("rule")).alias("rule"))
     return grading.difference_count(old, new, ["row_id"], ["rule"])
 
 
@@ -342,4 +345,4 @@ def type_mix(spark, folder):
 @query("C15_rule_mix", _BASE + """
   SELECT type3, rule, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY type3)::DOUBLE, 6) AS share FROM final WHERE NOT correct GROUP BY type3, rule""")
 def rule_mix(spark, folder):
-    return rounded(error_types.rule_mix(_typed(spark, folder).where(~F.col("correct"))), "share")
+    return rounded(error_types.rule_mix(_typed(spark, folder)), "share")
