@@ -39,12 +39,12 @@ def auroc(df: DataFrame, score: str, positive: Column, group: Sequence[str] = ()
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("__neg").over(earlier), F.lit(0)).cast("double")
     return (
-        per_part.withColumn("__all", F.col("__wins") + F.col("__pos").cast("double") * base)
+        per_part.withColumn("__pairs_won", F.col("__wins") + F.col("__pos").cast("double") * base)
         .groupBy(*keys)
-        .agg(F.sum("__pos").alias("positives"), F.sum("__neg").alias("negatives"), F.sum("__all").alias("__all"))
+        .agg(F.sum("__pos").alias("positives"), F.sum("__neg").alias("negatives"), F.sum("__pairs_won").alias("__pairs_won"))
         .where((F.col("positives") > 0) & (F.col("negatives") > 0))
-        .withColumn("auc", F.col("__all") / (F.col("positives").cast("double") * F.col("negatives").cast("double")))
-        .drop("__all", ALL)
+        .withColumn("auc", F.col("__pairs_won") / (F.col("positives").cast("double") * F.col("negatives").cast("double")))
+        .drop("__pairs_won", ALL)
     )
 
 

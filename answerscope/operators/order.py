@@ -89,7 +89,7 @@ def average_ranks(df: DataFrame, value: str, group: Sequence[str] = (), rank: st
     cells = keyed_df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     placed = running_totals(cells, keys, value, ["n"], limit, parts)
     out = placed.withColumn(rank, F.col("below_n").cast("double") + (F.col("n") + 1).cast("double") / F.lit(2.0))
-    return out.drop("below_n", ALL)
+    return out.drop("below_n") if group else out.drop("below_n", ALL)
 
 
 def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], group: Sequence[str] = (),
@@ -126,7 +126,8 @@ def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], group:
     low = F.max(F.when(is_low, F.col(value).cast("double")))
     high = F.coalesce(F.max(F.when(~is_low, F.col(value).cast("double"))), low)
     share = F.first(F.col("__pos") - F.col("__low"))
-    return hits.groupBy(*keys, "p").agg((low + (high - low) * share).alias("q")).drop(ALL)
+    found = hits.groupBy(*keys, "p").agg((low + (high - low) * share).alias("q"))
+    return found if group else found.drop(ALL)
 
 
 def bin_edges(df: DataFrame, value: str, probabilities: Sequence[float], group: Sequence[str] = (),

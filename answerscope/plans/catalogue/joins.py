@@ -70,7 +70,7 @@ def other_fact_same_relation(spark, folder):
   , d AS (SELECT fact, k_correct, dim, avg(x) FILTER (WHERE correct) - avg(x) FILTER (WHERE NOT correct) AS v FROM dims WHERE k_correct BETWEEN 1 AND 4 GROUP BY ALL)
   , u AS (SELECT fact, dim, v / sqrt(sum(v * v) OVER (PARTITION BY fact)) AS v FROM d)
   SELECT (SELECT count(DISTINCT fact) FROM u) AS n_facts, round(avg(c), 6) AS mean_cosine FROM (
-    SELECT a.fact, b.fact AS other, sum(a.v * b.v) AS c FROM u a JOIN u b ON a.dim = b.dim AND a.fact <> b.fact GROUP BY ALL)""")
+    SELECT a.fact, b.fact AS other, sum(a.v * b.v) AS c FROM u a JOIN u b ON a.dim = b.dim AND a.fact <> b.fact GROUP BY ALL)""", signed=('mean_cosine',))
 def all_pairs_mean(spark, folder):
     rows = selection.partly_known(V.states_k(spark, folder))
     d = vectors.fact_differences(rows, F.col("correct"), ~F.col("correct")).withColumn("every", F.lit(0))
@@ -96,7 +96,7 @@ def parameter_grid(spark, folder):
 @query("J12_fold_direction_join", cte("dims") + """
   , b AS (SELECT f.fold, dim, avg(x) FILTER (WHERE correct) - avg(x) FILTER (WHERE NOT correct) AS v FROM dims d JOIN (SELECT DISTINCT fold FROM dims) f ON d.fold <> f.fold GROUP BY ALL)
   , u AS (SELECT fold, dim, v / sqrt(sum(v * v) OVER (PARTITION BY fold)) AS v FROM b)
-  SELECT row_id, round(sum(x * v), 6) AS axis FROM dims JOIN u USING (fold, dim) GROUP BY row_id""")
+  SELECT row_id, round(sum(x * v), 6) AS axis FROM dims JOIN u USING (fold, dim) GROUP BY row_id""", signed=('axis',))
 def fold_direction_join(spark, folder):
     rows = V.states_k(spark, folder)
     held_out = F.explode(F.array_remove(F.array(*[F.lit(g) for g in range(5)]), F.col("fold")))
