@@ -1 +1,171 @@
-"""Queries."""
+"""Queries on fitted probes; scores are checked against the optimality conditions in the tests."""
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from answerscope.operators import features as K
+from answerscope.operators import metrics, selection
+from answerscope.operators import probes as P
+from answerscope.plans import views as V
+from answerscope.plans.catalogue.registry import query, rounded
+from answerscope.plans.views import cte
+
+
+def _rows(spark, folder):
+    return P.with_vector(V.states_k(spark, folder), "h")
+
+
+def _scored(df, *extra):
+    return rounded(df.select("row_id", *extra, "score"), "score", digits=4)
+
+
+@query("P01_logistic_probe")
+def logistic_probe(spark, folder):
+    rows = _rows(spark, folder)
+    probe = P.fit_logistic(rows.where("half = 'dev'"), F.col("correct"), 0.01)
+    return _scored(probe.score(rows.where("half = 'test'")))
+
+
+@query("P02_balanced_logistic")
+def balanced_logistic(spark, folder):
+    rows = _rows(spark, folder).withColumn("state", selection.known_state("broken")).where(F.col("state").isNotNull())
+    probe = P.fit_logistic(rows.where("half = 'dev'"), F.col("state") == "kbw", 0.0003, balanced=True)
+    return _scored(probe.score(rows.where("half = 'test'")), "state")
+
+
+@query("P03_multinomial")
+def multinomial(spark, folder):
+    rows = _rows(spark, folder).withColumn("state", selection.three_way_state()).where(F.col("state").isNotNull())
+    probe = P.fit_multinomial(selection.sample_per_class(rows.where("half = 'dev'"), 6000, ["state"]), "state")
+    out = metrics.confusion(probe.score(rows.where("half = 'test'"), "predicted"), "state", "predicted", ["KNOW", "UNK", "KBW"])
+    return rounded(out, "pred_KNOW", "pred_UNK", "pred_KBW", "recall", "balanced_accuracy")
+
+
+@query("P04_ridge")
+def ridge(spark, folder):
+    rows = _rows(spark, folder)
+    dev = rows.where("half = 'dev'")
+    alpha, _ = P.choose_ridge(dev, F.col("k_correct"), selection.inner_fold(n=2) == 0, [30.0, 300.0])
+    return _scored(P.fit_ridge(dev, F.col("k_correct"), alpha).score(rows.where("half = 'test'")), F.lit(alpha).alias("alpha"))
+
+
+_TERMS = cte("qa") + """
+  , t AS (SELECT sample_id || ':' || version AS d, regexp_extract_all(lower(question), '[\\p{L}\\p{N}_]{2,}') AS w FROM qa)
+  , terms AS (SELECT d, unnest(w) AS term FROM t UNION ALL SELECT d, unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM t)
+  SELECT term, round(ln((1.0 + (SELECT count(*) FROM qa)) / (1.0 + count(DISTINCT d))) + 1.0, 6) AS idf, count(*)::DOUBLE AS total FROM terms GROUP BY term HAVING count(DISTINCT d) >= 2"""
+
+
+@query("P05_tfidf_terms", _TERMS)
+def tfidf_terms(spark, folder):
+    """Vocabulary, idf and total count; the vocabulary is far below its limit on this table."""
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
+
+    texts = V.qa(spark, folder).select("question")
+    tokens = RegexTokenizer(inputCol="question", outputCol="a", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(texts)
+    terms = NGram(n=2, inputCol="a", outputCol="b").transform(tokens).select(F.concat("a", "b").alias("terms"))
+    counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=100_000, minDF=2).fit(terms)
+    frequency = IDF(inputCol="tf", outputCol="w").fit(counted.transform(terms))
+    words = F.array(*[F.lit(w) for w in counted.vocabulary])
+    totals = counted.transform(terms).select(F.posexplode(vector_to_array("tf")).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("total"))
+    n = float(frequency.numDocs)
+    df = F.array(*[F.lit(float(x)) for x in frequency.docFreq])
+    idf = F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.get(df, F.col("i")))) + F.lit(1.0)
+    return rounded(totals.select(F.get(words, F.col("i")).alias("term"), idf.alias("idf"), "total"), "idf")
+
+
+@query("P05_text_probe")
+def text_probe(spark, folder):
+    docs = V.read(spark, folder, "documents").join(V.read(spark, folder, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "text", (F.col("quality") == 1).alias("correct"))
+    rows = docs.withColumn("half", selection.half("row_id"))
+    transform = P.fit_text_features(rows.where("half = 'dev'"), "text", max_terms=2000)
+    ready = transform(rows)
+    probe = P.fit_logistic(ready.where("half = 'dev'"), F.col("correct"), 1.0, standardise=False, max_iter=300)
+    return _scored(probe.score(ready.where("half = 'test'")))
+
+
+@query("P06_category_probe")
+def category_probe(spark, folder):
+    rows = V.attempts_k(spark, folder)
+    transform = P.fit_category_features(rows.where("half = 'dev'"), "relation")
+    ready = transform(rows)
+    probe = P.fit_logistic(ready.where("half = 'dev'"), F.col("correct"), 1.0, balanced=True, standardise=False)
+    return _scored(probe.score(ready.where("half = 'test'")))
+
+
+@query("P07_confidence_probe")
+def confidence_probe(spark, folder):
+    rows = P.with_vector(V.attempts_k(spark, folder).join(V.scores(spark, folder), "row_id"), "p_all", "p_mid")
+    probe = P.fit_logistic(rows.where("half = 'dev'"), F.col("correct"), 1.0, max_iter=200)
+    return _scored(probe.score(rows.where("half = 'test'")))
+
+
+def _sparse(spark, folder, k):
+    acts, rows = V.acts(spark, folder), V.states_k(spark, folder)
+    t = K.paired_gap(acts, rows, F.col("correct"), ~F.col("correct")).withColumn("size", F.round(F.abs("t"), 6))
+    top = K.top_features(t, "size", k).select("latent", (F.col("place") - 1).alias("place"))
+    return P.sparse_features(acts, rows, top, log=True, centre_by="fact"), top
+
+
+@query("P08_sparse_features", cte("states_k", "acts") + """
+  , sizes AS (SELECT fact, count(*) FILTER (WHERE correct)::DOUBLE AS na, count(*) FILTER (WHERE NOT correct)::DOUBLE AS nb FROM states_k GROUP BY fact HAVING na > 0 AND nb > 0)
+  , gaps AS (SELECT latent, fact, coalesce(sum(a) FILTER (WHERE correct), 0) / any_value(na) - coalesce(sum(a) FILTER (WHERE NOT correct), 0) / any_value(nb) AS g FROM acts JOIN states_k USING (row_id) JOIN sizes USING (fact) GROUP BY ALL)
+  , filled AS (SELECT l.latent, coalesce(g, 0) AS g FROM (SELECT DISTINCT latent FROM gaps) l CROSS JOIN sizes f LEFT JOIN gaps USING (latent, fact))
+  , top AS (SELECT latent, row_number() OVER (ORDER BY round(abs(avg(g) / (stddev_pop(g) / sqrt(count(*)) + 1e-9::DOUBLE)), 6) DESC, latent) - 1 AS place FROM filled GROUP BY latent QUALIFY place < 8)
+  , dense AS (SELECT row_id, fact, place, ln(1 + coalesce(a, 0)) AS v FROM states_k CROSS JOIN top LEFT JOIN acts USING (row_id, latent))
+  SELECT row_id, place, round(v - avg(v) OVER (PARTITION BY fact, place), 6) AS v FROM dense""", signed=("v",))
+def sparse_features(spark, folder):
+    ready, _ = _sparse(spark, folder, 8)
+    return rounded(ready.select("row_id", F.posexplode(vector_to_array(P.FEATURES)).alias("place", "v")).withColumn("place", F.col("place").cast("bigint")), "v")
+
+
+@query("P08_sparse_probe")
+def sparse_probe(spark, folder):
+    ready, _ = _sparse(spark, folder, 32)
+    probe = P.fit_logistic(ready.where("half = 'dev'"), F.col("correct"), 0.03, centre=False, max_iter=300)
+    return _scored(probe.score(ready.where("half = 'test'")))
+
+
+@query("P09_axis_probe")
+def axis_probe(spark, folder):
+    rows = _rows(spark, folder)
+    ends = rows.where("(correct and k_correct >= 4) or (not correct and k_correct <= 1)")
+    train = selection.sample_per_class(ends.where("half = 'dev'"), 3000, ["correct"])
+    scored = P.fit_logistic(train, F.col("correct"), 0.01).score(rows)
+    out = metrics.reference_scaled(scored, "score", F.col("k_correct") <= 1, F.col("k_correct") >= 4)
+    return rounded(out.select("row_id", "position"), "position", digits=4)
+
+
+@query("P10_cross_fit")
+def cross_fit(spark, folder):
+    rows = _rows(spark, folder)
+    out = P.cross_fit(rows, lambda train: P.fit_logistic(train, F.col("correct"), 0.001), train_rows=F.col("k_correct").between(1, 4), name="p_mid")
+    return rounded(out.select("row_id", "fold", "p_mid"), "p_mid", digits=4)
+
+
+@query("P11_configuration_sweep")
+def configuration_sweep(spark, folder):
+    rows = _rows(spark, folder).withColumn("inner_fold", selection.inner_fold(n=2))
+    dev = selection.partly_known(rows.where("half = 'dev'"))
+
+    def raw(c):
+        return lambda train, test: P.fit_logistic(train, F.col("correct"), c).score(test)
+
+    results = P.sweep(dev, {"raw-lr|C0.0003": raw(0.0003), "raw-lr|C0.003": raw(0.003)}, folds=2)
+    table = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(results)], "position int, name string, score double")
+    return rounded(metrics.best_per_family(table, F.substring("name", 1, 6), "name", "score", "position"), "best", digits=4)
+
+
+@query("P12_layer_step_sweep")
+def layer_step_sweep(spark, folder):
+    """Quarters of the vector stand for layers, wordings for steps."""
+    rows = V.states_k(spark, folder)
+    sliced = rows.withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", F.slice("h", F.col("layer") * 16 + 1, F.lit(16))).withColumn(
+        "step", F.col("version") % 2)
+
+    def score(slice_rows):
+        ready = P.with_vector(slice_rows, "h")
+        probe = P.fit_logistic(ready.where("half = 'dev'"), F.col("correct"), 0.01)
+        return metrics.auroc(probe.score(ready.where("half = 'test'")), "score", F.col("correct")).first()["auc"]
+
+    results = P.layer_step_sweep(sliced, [0, 1], [0, 1], score)
+    return rounded(spark.createDataFrame(results, "layer int, step int, auc double").groupBy("layer").pivot("step", [0, 1]).agg(F.first("auc")), "0", "1", digits=4)
