@@ -7,7 +7,7 @@ after an executor loss draws the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_RANGE = 2**32
@@ -46,6 +46,27 @@ def poisson_weight(u: Column) -> Column:
     return weight
 
 
+PER_DIGEST = 4  # one md5 holds four 32-bit numbers, so four draws share it
+
+
+def with_draw_weights(df: DataFrame, draws: int, name: str, *keys: Column | str, seed: object = None) -> DataFrame:
+    """Rows times ``draws``, with the draw number ``draw`` and a Poisson(1) weight per (draw, keys)."""
+    parts = [F.lit(str(seed)).alias("s"), F.col("__block"), *[F.col(k) if isinstance(k, str) else k for k in keys]]
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    blocks = df.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // PER_DIGEST)))).withColumn("__digest", digest)
+    one = [F.struct((F.col("__block") * PER_DIGEST + i).alias("draw"), F.conv(F.substring("__digest", 8 * i + 1, 8), 16, 10).cast("bigint").alias("h")) for i in range(PER_DIGEST)]
+    drawn = blocks.withColumn("__d", F.explode(F.array(*one))).withColumn("draw", F.col("__d.draw")).where(F.col("draw") < draws)
+    u = F.col("__u")
+    return drawn.withColumn("__u", F.col("__d.h").cast("double") / F.lit(float(HASH_RANGE))).withColumn(
+        name, poisson_weight(u).cast("double")).drop("__block", "__digest", "__d", "__u")
+
+
+def draw_uniform_sql(seed: object, draw: str, keys: str) -> str:
+    """The uniform behind a draw weight as SQL text; ``keys`` is the ':'-joined key text."""
+    digest = f"md5('{seed}:' || ({draw} // {PER_DIGEST}) || ':' || {keys})"
+    return f"(('0x' || substr({digest}, ({draw} % {PER_DIGEST}) * 8 + 1, 8))::BIGINT::DOUBLE / {float(HASH_RANGE)}::DOUBLE)"
+
+
 def poisson_sql(u: str) -> str:
     """The same count as SQL text."""
     return " + ".join(f"({u} >= {cut}::DOUBLE)::INT" for cut in _POISSON_CDF)

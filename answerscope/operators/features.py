@@ -163,12 +163,9 @@ def two_sided(scored: DataFrame, score: str, k: int) -> DataFrame:
 
 
 def on_off_score(acts: DataFrame, rows: DataFrame, picked: DataFrame, name: str = "score") -> DataFrame:
-    """Features of the + side that are ON minus those of the - side, 0 for rows with none.
-
-    ``picked`` holds at most K features per side, a fixed size, so it is broadcast.
-    """
+    """Features of the + side that are ON minus those of the - side, 0 for rows with none."""
     sums = (
-        acts.where(F.col("a") > 0).join(F.broadcast(picked), "latent")
+        acts.where(F.col("a") > 0).join(order.pin_small(picked), "latent")
         .groupBy("row_id").agg(F.sum("side").cast("double").alias(name))
     )
     return rows.join(sums, "row_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
@@ -199,9 +196,9 @@ def strength_score(acts: DataFrame, rows: DataFrame, picked: DataFrame, moments:
 
     An absent feature adds the constant -mu / sd, so all constants are summed once.
     """
-    scaled = picked.join(moments, "latent", "left").select(
-        "latent", (F.col("side").cast("double") / (F.coalesce("sd", F.lit(0.0)) + F.lit(1e-6))).alias("__w"), F.coalesce("mu", F.lit(0.0)).alias("__mu"))
-    sums = acts.where(F.col("a") > 0).join(F.broadcast(scaled), "latent").groupBy("row_id").agg(F.sum(_d(F.col("a")) * F.col("__w")).alias(name))
+    scaled = order.pin_small(picked.join(moments, "latent", "left").select(
+        "latent", (F.col("side").cast("double") / (F.coalesce("sd", F.lit(0.0)) + F.lit(1e-6))).alias("__w"), F.coalesce("mu", F.lit(0.0)).alias("__mu")))
+    sums = acts.where(F.col("a") > 0).join(scaled, "latent").groupBy("row_id").agg(F.sum(_d(F.col("a")) * F.col("__w")).alias(name))
     out = rows.join(sums, "row_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     if centred:
         shift = scaled.agg(F.coalesce(F.sum(F.col("__w") * F.col("__mu")), F.lit(0.0)).alias("c")).scalar()
@@ -244,12 +241,13 @@ def size_matched_draws(drawn: DataFrame, energy: DataFrame, wanted_energy: Colum
 
 def specificity(acts: DataFrame, rows: DataFrame, picked: DataFrame, groups: dict[str, Column]) -> DataFrame:
     """Share ON of a feature set in several row groups, one output row per group."""
+    picked = order.pin_small(picked.select("latent"))
     size = picked.agg(_d(F.count(F.lit(1))).alias("n")).scalar()
     names = list(groups)
     flags = rows.select("row_id", *[groups[g].alias(f"__{i}") for i, g in enumerate(names)])
     n_rows = flags.agg(*[_d(F.count_if(f"__{i}")).alias(f"n{i}") for i in range(len(names))])
     on = (
-        acts.where(F.col("a") > 0).join(F.broadcast(picked.select("latent")), "latent").join(flags, "row_id")
+        acts.where(F.col("a") > 0).join(picked, "latent").join(flags, "row_id")
         .agg(*[_d(F.count_if(f"__{i}")).alias(f"o{i}") for i in range(len(names))])
     )
     both = on.withColumn("__k", size)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerscope.functions.hashing import poisson_weight, uniform
+from answerscope.functions.hashing import with_draw_weights
 from answerscope.operators import order
 from answerscope.operators.order import ALL, keyed
 
@@ -28,7 +28,7 @@ def auroc(df: DataFrame, score: str, positive: Column, group: Sequence[str] = ()
     labelled, keys = keyed(labelled, group)
     cells = labelled.groupBy(*keys, score).agg(
         F.count_if("__hit").alias("__pos"), F.count_if(~F.col("__hit")).alias("__neg"))
-    split = order.in_parts(cells, keys, score, limit, parts)
+    split = order.in_parts(cells, keys, score, ["__pos", "__neg"], limit, parts)
     before = Window.partitionBy(*keys, "__part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     lower = F.coalesce(F.sum("__neg").over(before), F.lit(0)).cast("double") + F.col("__neg").cast("double") / F.lit(2.0)
     per_part = (
@@ -75,11 +75,8 @@ def bootstrap_draws(values: DataFrame, unit: Sequence[str], value: str, draws: i
 
     The draws are summed map-side, so the shuffle carries ``draws`` rows per task.
     """
-    weight = poisson_weight(uniform(F.col("draw"), *unit, seed=seed)).cast("double")
     return (
-        values.where(F.col(value).isNotNull())
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("__w", weight)
+        with_draw_weights(values.where(F.col(value).isNotNull()), draws, "__w", *unit, seed=seed)
         .groupBy(*by, "draw")
         .agg((F.sum(F.col("__w") * F.col(value)) / _zero_to_null(F.sum("__w"))).alias("mean"))
     )
@@ -112,15 +109,7 @@ def shuffled_labels(df: DataFrame, row_id: str, group: Sequence[str], positive:
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("__key", F.concat_ws(":", F.col("draw").cast("string"), F.col(row_id).cast("string")))
     )
-    chosen = (
-        order.take_by_hash(drawn, "__key", [*group, "draw"], F.col("__p"), seed, limit)
-        .select(row_id, "draw", F.lit(True).alias("__chosen"))
-    )
-    return (
-        drawn.join(chosen, [row_id, "draw"], "left")
-        .withColumn("shuffled", F.coalesce("__chosen", F.lit(False)))
-        .drop("__chosen", "__key", "__p")
-    )
+    return order.mark_by_hash(drawn, "__key", [*group, "draw"], F.col("__p"), "shuffled", seed, limit).drop("__key", "__p")
 
 
 def null_summary(per_draw: DataFrame, value: str = "mean_auc") -> DataFrame:
@@ -133,10 +122,15 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = (),
              limit: int = order.GROUP_CELLS, parts: int = order.PARTS) -> DataFrame:
     """Pearson correlation of tie-averaged ranks, per group, with row count ``n`` and distinct y ``n_y``."""
     rows, keys = keyed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), group)
+    # everything below reads the counted pairs, so the rows are read and shuffled once
     pairs = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("__n"))
-    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    ranks_x = order.average_ranks(rows, x, keys, "__rx", limit, parts).select(*keys, x, "__rx")
-    ranks_y = order.average_ranks(rows, y, keys, "__ry", limit, parts).select(*keys, y, "__ry")
+    size = pairs.groupBy(*keys).agg(F.sum("__n").alias("__size"))
+
+    def ranks(v: str, name: str) -> DataFrame:
+        cells = pairs.groupBy(*keys, v).agg(F.sum("__n").alias("__c"))
+        return order.cell_ranks(cells, keys, v, "__c", name, limit, parts).select(*keys, v, name)
+
+    ranks_x, ranks_y = ranks(x, "__rx"), ranks(y, "__ry")
     centre = (F.col("__size") + 1).cast("double") / F.lit(2.0)
     n = F.col("__n").cast("double")
     ranked = (

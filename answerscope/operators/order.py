@@ -33,12 +33,17 @@ def keyed(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(ALL, F.lit(0)), [ALL]
 
 
-def in_parts(cells: DataFrame, group: Sequence[str], value: str, limit: int = GROUP_CELLS, parts: int = PARTS) -> DataFrame:
-    """Adds ``__part``: 0 in ordinary groups, an increasing range number in hot ones."""
-    hot = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("__cells")).where(F.col("__cells") > limit)
+def in_parts(cells: DataFrame, group: Sequence[str], value: str, weights: Sequence[str], limit: int = GROUP_CELLS, parts: int = PARTS) -> DataFrame:
+    """Adds ``__part``, NULL in ordinary groups, an increasing range number in hot ones.
+
+    ``weights`` are the row counts of a cell.  Every branch reads all of them, so that the cells
+    are aggregated and shuffled once and the other branches reuse that shuffle.
+    """
+    rows = sum((F.col(w) for w in weights), F.lit(0))
+    hot = cells.groupBy(*group).agg(F.sum(rows).alias("__rows")).where(F.col("__rows") > limit).select(*group)
     probabilities = [i / parts for i in range(1, parts)]
     cuts = (
-        cells.join(hot, list(group), "left_semi")
+        cells.where(rows > 0).join(hot, list(group), "left_semi")
         .groupBy(*group)
         .agg(F.percentile_approx(value, F.lit(probabilities), F.lit(parts * 8)).alias("__cuts"))
     )
@@ -51,35 +56,29 @@ def in_parts(cells: DataFrame, group: Sequence[str], value: str, limit: int = GR
         F.lit(0),
         lambda low, step: F.when(F.get(F.col("__cuts"), low + step - 1) < F.col(value), low + step).otherwise(low),
     )
-    return (
-        cells.join(cuts, list(group), "left")
-        .withColumn("__part", F.when(F.col("__cuts").isNull(), 0).otherwise(place))
-        .drop("__cuts")
-    )
+    return cells.join(cuts, list(group), "left").withColumn("__part", F.when(F.col("__cuts").isNotNull(), place)).drop("__cuts")
 
 
 def running_totals(cells: DataFrame, group: Sequence[str], value: str, weights: Sequence[str],
                    limit: int = GROUP_CELLS, parts: int = PARTS) -> DataFrame:
     """Adds ``below_<w>``: the sum of each weight over the group's smaller values.
 
-    ``cells`` holds one row per (group, value).
+    ``cells`` holds one row per (group, value).  Only hot groups need offsets between parts; where
+    there are none that join is empty and dropped at run time.
     """
-    split = in_parts(cells, group, value, limit, parts)
+    split = in_parts(cells, group, value, weights, limit, parts)
     before = Window.partitionBy(*group, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        split.groupBy(*group, "__part")
+        split.where(F.col("__part").isNotNull())
+        .groupBy(*group, "__part")
         .agg(*[F.sum(w).alias(f"__sum_{w}") for w in weights])
-        .select(*group, "__part",
-                *[F.coalesce(F.sum(f"__sum_{w}").over(earlier), F.lit(0)).alias(f"__base_{w}") for w in weights])
+        .select(*group, "__part", *[F.coalesce(F.sum(f"__sum_{w}").over(earlier), F.lit(0)).alias(f"__base_{w}") for w in weights])
     )
-    placed = split
-    for w in weights:
-        placed = placed.withColumn(f"__inside_{w}", F.coalesce(F.sum(w).over(before), F.lit(0)))
-    joined = placed.join(offsets, [*group, "__part"])
-    for w in weights:
-        joined = joined.withColumn(f"below_{w}", F.col(f"__inside_{w}") + F.col(f"__base_{w}"))
-    return joined.drop("__part", *[f"__inside_{w}" for w in weights], *[f"__base_{w}" for w in weights])
+    placed = split.withColumns({f"__inside_{w}": F.coalesce(F.sum(w).over(before), F.lit(0)) for w in weights})
+    joined = placed.join(offsets, [*group, "__part"], "left")
+    totals = {f"below_{w}": F.col(f"__inside_{w}") + F.coalesce(F.col(f"__base_{w}"), F.lit(0)) for w in weights}
+    return joined.withColumns(totals).drop("__part", *[f"__inside_{w}" for w in weights], *[f"__base_{w}" for w in weights])
 
 
 def average_ranks(df: DataFrame, value: str, group: Sequence[str] = (), rank: str = "avg_rank",
@@ -87,9 +86,16 @@ def average_ranks(df: DataFrame, value: str, group: Sequence[str] = (), rank: st
     """One row per (group, value) with its row count ``n`` and tie-averaged rank."""
     keyed_df, keys = keyed(df.where(F.col(value).isNotNull()), group)
     cells = keyed_df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(cells, keys, value, ["n"], limit, parts)
-    out = placed.withColumn(rank, F.col("below_n").cast("double") + (F.col("n") + 1).cast("double") / F.lit(2.0))
-    return out.drop("below_n") if group else out.drop("below_n", ALL)
+    out = cell_ranks(cells, keys, value, "n", rank, limit, parts)
+    return out if group else out.drop(ALL)
+
+
+def cell_ranks(cells: DataFrame, group: Sequence[str], value: str, count: str, rank: str,
+               limit: int = GROUP_CELLS, parts: int = PARTS) -> DataFrame:
+    """Adds the tie-averaged rank to one counted row per (group, value)."""
+    placed = running_totals(cells, group, value, [count], limit, parts)
+    middle = (F.col(count) + 1).cast("double") / F.lit(2.0)
+    return placed.withColumn(rank, F.col(f"below_{count}").cast("double") + middle).drop(f"below_{count}")
 
 
 def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], group: Sequence[str] = (),
@@ -100,7 +106,7 @@ def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], group:
     """
     keyed_df, keys = keyed(df.where(F.col(value).isNotNull()), group)
     cells = keyed_df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    split = in_parts(cells, keys, value, limit, parts)
+    split = in_parts(cells, keys, value, ["n"], limit, parts).withColumn("__part", F.coalesce("__part", F.lit(0)))
     per_part = split.groupBy(*keys, "__part").agg(F.sum("n").alias("__n"))
     by_group = Window.partitionBy(*keys)
     earlier = by_group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,30 +145,47 @@ def bin_edges(df: DataFrame, value: str, probabilities: Sequence[float], group:
     return found.groupBy(*keys).agg(F.transform(ordered, lambda s: s["q"]).alias("edges")).drop(ALL)
 
 
-def take_by_hash(df: DataFrame, id_column: str, by: Sequence[str], count: Column, seed: object = 0,
-                 limit: int = GROUP_CELLS, parts: int = PARTS) -> DataFrame:
-    """keep the ``count`` rows of each group with the smallest hash of (seed, id).
+def _hash_placed(df: DataFrame, id_column: str, keys: Sequence[str], seed: object, limit: int, parts: int, prune: Column | None) -> DataFrame:
+    """Adds ``__place``, the 1-based position of a row in its group by hash of (seed, id).
 
-    ``count`` may use the group's columns.  A large group is cut into equal hash ranges;
-    ranges wholly past the boundary are dropped before anything is ordered, and no task
-    orders more than one range.
+    A group over ``limit`` rows is cut into equal hash ranges, so no task orders more than one range.
     """
-    keyed_df, keys = keyed(df, by)
-    rows = keyed_df.withColumn("__hash", hash32(id_column, seed=seed)).withColumn("__want", count.cast("bigint"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     pieces = F.least(F.ceil(F.col("__size") / F.lit(float(limit))), F.lit(parts * 8)).cast("bigint")
+    part = F.floor(F.col("__hash").cast("double") * pieces / F.lit(float(HASH_RANGE)))
     ranged = (
-        rows.join(sizes, keys)
-        .withColumn("__part", F.floor(F.col("__hash").cast("double") * pieces / F.lit(float(HASH_RANGE))))
+        df.withColumn("__hash", hash32(id_column, seed=seed)).join(sizes, list(keys))
+        .withColumn("__part", F.when(F.col("__size") > limit, part)).drop("__size")
     )
-    per_part = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per_part.withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    placed = ranged.join(bases, [*keys, "__part"]).where(F.col("__base") < F.col("__want"))
-    whole = F.col("__base") + F.col("__n") <= F.col("__want")
+    per_part = ranged.where(F.col("__part").isNotNull()).groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    bases = per_part.select(*keys, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    based = ranged.join(bases, [*keys, "__part"], "left").withColumn("__base", F.coalesce("__base", F.lit(0)))
+    if prune is not None:
+        based = based.where(prune)
     order = Window.partitionBy(*keys, "__part").orderBy("__hash", id_column)
-    kept = placed.withColumn("__place", F.row_number().over(order) + F.col("__base")).where(whole | (F.col("__place") <= F.col("__want")))
-    return kept.drop("__hash", "__want", "__size", "__part", "__n", "__base", "__place", ALL)
+    return based.withColumn("__place", F.row_number().over(order) + F.col("__base")).drop("__hash", "__part", "__base")
+
+
+def take_by_hash(df: DataFrame, id_column: str, by: Sequence[str], count: Column, seed: object = 0,
+                 limit: int = GROUP_CELLS, parts: int = PARTS) -> DataFrame:
+    """keep the ``count`` rows of each group with the smallest hash of (seed, id).
+
+    ``count`` may use columns that are constant in a group.  Hash ranges past the boundary are
+    dropped before anything is ordered.
+    """
+    rows, keys = keyed(df, by)
+    rows = rows.withColumn("__want", count.cast("bigint"))
+    placed = _hash_placed(rows, id_column, keys, seed, limit, parts, F.col("__base") < F.col("__want"))
+    return placed.where(F.col("__place") <= F.col("__want")).drop("__want", "__place", ALL)
+
+
+def mark_by_hash(df: DataFrame, id_column: str, by: Sequence[str], count: Column, name: str, seed: object = 0,
+                 limit: int = GROUP_CELLS, parts: int = PARTS) -> DataFrame:
+    """All rows, with a flag on the ones ``take_by_hash`` would keep."""
+    rows, keys = keyed(df, by)
+    placed = _hash_placed(rows, id_column, keys, seed, limit, parts, None)
+    return placed.withColumn(name, F.col("__place") <= count).drop("__place", ALL)
 
 
 def top_per_group(df: DataFrame, n: int, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -170,3 +193,12 @@ def top_per_group(df: DataFrame, n: int, group: Sequence[str], order: Sequence[C
     keyed_df, keys = keyed(df, group)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return keyed_df.withColumn("place", place).where(F.col("place") <= n).drop(ALL)
+
+
+def pin_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A small result as local rows, computed once: its size is then known and Spark broadcasts it.
+
+    A result over ``max_rows`` is returned as it is and joined by shuffle.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    return df if head.num_rows > max_rows else df.sparkSession.createDataFrame(head, df.schema)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerscope.functions.hashing import poisson_weight, uniform
+from answerscope.functions.hashing import with_draw_weights
 from answerscope.operators import order
 
 TYPES = ("correct", "entity", "broken", "abstain")
@@ -77,8 +77,7 @@ def net_gain_draws(outcomes: DataFrame, share_wrong: float, share_right: float,
                    seed: object = 0) -> DataFrame:
     """Net gain per resample, wrong and right rows resampled apart."""
     gains = _against_base(outcomes, base).select("cond", "row_id", "was_correct", "__gain")
-    weight = poisson_weight(uniform(F.col("draw"), F.col("was_correct").cast("int"), F.col("row_id"), seed=seed)).cast("double")
-    drawn = gains.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__w", weight)
+    drawn = with_draw_weights(gains, draws, "__w", F.col("was_correct").cast("int"), F.col("row_id"), seed=seed)
 
     def part(rows: Column) -> Column:
         return _ratio(F.sum(F.when(rows, F.col("__w") * F.col("__gain"))), F.sum(F.when(rows, F.col("__w"))))

@@ -20,7 +20,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerscope.operators import metrics, selection
+from answerscope.operators import metrics, order, selection
 
 FEATURES = "__features"
 
@@ -156,12 +156,13 @@ def fit_category_features(train: DataFrame, category: str, name: str = FEATURES)
 def sparse_features(acts: DataFrame, rows: DataFrame, picked: DataFrame, log: bool = True, centre_by: str | None = None, name: str = FEATURES) -> DataFrame:
     """Picked features as one vector per row, log1p and centred inside the fact if wished.
 
-    ``picked`` is (latent, place) with places 0 .. K-1, a fixed K, so it is broadcast.  A fact's mean
-    is a sum over its active entries divided by its row count.
+    ``picked`` is (latent, place) with places 0 .. K-1.  A fact's mean is a sum over its active
+    entries divided by its row count.
     """
+    picked = order.pin_small(picked)
     k = picked.count()
     value = F.log1p(F.col("a").cast("double")) if log else F.col("a").cast("double")
-    active = acts.where(F.col("a") > 0).join(F.broadcast(picked), "latent").select("row_id", "place", value.alias("v"))
+    active = acts.where(F.col("a") > 0).join(picked, "latent").select("row_id", "place", value.alias("v"))
     entries = active.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("__m"))
     out = rows.join(entries, "row_id", "left")
     zero = F.lit(0.0)

@@ -33,8 +33,10 @@ def with_both_outcomes(df: DataFrame, correct: str = "correct", fact: str = "fac
 
 def typed_or_mixed(df: DataFrame, kinds: Sequence[str] = ("entity", "broken")) -> DataFrame:
     """wrong rows of the given types, or partly known rows of facts with both outcomes, each once."""
-    typed = df.where(~F.col("correct") & F.col("kind").isin(list(kinds)))
-    return typed.unionByName(with_both_outcomes(partly_known(df))).distinct()
+    typed = ~F.col("correct") & F.col("kind").isin(list(kinds))
+    outcomes = partly_known(df).groupBy("fact").agg(F.bool_or("correct").alias("__any"), F.bool_and("correct").alias("__every"))
+    mixed = outcomes.where(F.col("__any") & ~F.col("__every")).select("fact", F.lit(True).alias("__mixed"))
+    return df.join(mixed, "fact", "left").where(typed | F.col("__mixed")).drop("__mixed")
 
 
 def known_state(kind_wanted: str, min_k: int = 1) -> Column:

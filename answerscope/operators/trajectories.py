@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerscope.functions.arrays import cut_at_special, leading_count
+from answerscope.functions.text import bind
 
 
 def commit_steps(slots: DataFrame, steps: int) -> DataFrame:
@@ -21,9 +22,12 @@ def commit_steps(slots: DataFrame, steps: int) -> DataFrame:
 
 def answer_range(canvases: DataFrame, special: Sequence[int], blank: Sequence[int], tokens: str = "tokens") -> DataFrame:
     """First and past-the-end answer slot; start is -1 for an empty answer."""
-    body = cut_at_special(F.col(tokens), special)
-    start, end = leading_count(body, blank), F.size(body)
-    return canvases.withColumn("stop", end).withColumn("start", F.when(start < end, start).otherwise(F.lit(-1)))
+    def bounds(body: Column) -> Column:
+        first, end = leading_count(body, blank), F.size(body)
+        return F.struct(F.when(first < end, first).otherwise(F.lit(-1)).alias("start"), end.alias("stop"))
+
+    found = bind(F.col(tokens), lambda t: bind(cut_at_special(t, special), bounds))
+    return canvases.withColumn("__r", found).withColumn("start", F.col("__r.start")).withColumn("stop", F.col("__r.stop")).drop("__r")
 
 
 def answer_commit(commits: DataFrame, ranges: DataFrame) -> DataFrame:

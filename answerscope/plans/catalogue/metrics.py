@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from answerscope.functions.hashing import poisson_sql
+from answerscope.functions.hashing import draw_uniform_sql, poisson_sql
 from answerscope.operators import features, metrics, selection
 from answerscope.plans import views as V
 from answerscope.plans.catalogue.registry import query, rounded
-from answerscope.plans.views import cte, sql_hash, sql_uniform
+from answerscope.plans.views import cte, sql_hash
 
 
 def auc_sql(rows: str, group: str, score: str = "score", positive: str = "correct") -> str:
@@ -88,7 +88,7 @@ def pair_restricted_auroc(spark, folder):
     return rounded(out, "mean_auc")
 
 
-_U8 = sql_uniform("'1:' || draw || ':' || fact")
+_U8 = draw_uniform_sql(1, "draw", "fact")
 
 
 @query("M08_bootstrap_interval", _FACTS + f"""

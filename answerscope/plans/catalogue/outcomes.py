@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from answerscope.functions.hashing import poisson_sql
+from answerscope.functions.hashing import draw_uniform_sql, poisson_sql
 from answerscope.operators import metrics, selection
 from answerscope.operators import outcomes as O
 from answerscope.plans import views as V
 from answerscope.plans.catalogue.metrics import spearman_sql
 from answerscope.plans.catalogue.registry import query, rounded
-from answerscope.plans.views import cte, sql_uniform
+from answerscope.plans.views import cte
 
 _O = cte("outcomes")
 _P = cte("policy_rows")
@@ -56,7 +56,7 @@ def net_gain(spark, folder):
     return rounded(O.net_gain(V.outcomes(spark, folder), 0.524, 0.476), "net_gain", "oracle_gain")
 
 
-_U9 = sql_uniform("'0:' || draw || ':' || was_correct::INT || ':' || row_id")
+_U9 = draw_uniform_sql(0, "draw", "was_correct::INT || ':' || row_id")
 
 
 @query("M09_stratified_bootstrap", _O + _GAIN + f"""

@@ -20,8 +20,18 @@ CONDITIONS = ["base", "c05", "c1"]
 STEPS, SLOTS = 8, 4
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; text tables of fewer files than cores are spread over the cores first.
+
+    A file may hold a single row group, which one task reads.  Pattern matching costs far more
+    than moving such a small table; a large table has many files and is left where it is.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name in TEXT_TABLES and len(table.inputFiles()) < cores else table
 
 
 def scratch(spark: SparkSession, label: str) -> str:
