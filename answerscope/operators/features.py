@@ -209,8 +209,8 @@ def strength_score(acts: DataFrame, rows: DataFrame, picked: DataFrame, moments:
 # ---- controls ---------------------------------------------------------------
 def rate_deciles(rates: DataFrame, rate: str = "rate", floor: float = 0.01) -> DataFrame:
     """Firing-rate decile of every feature, cut points taken over features with rate > ``floor``."""
-    edges = order.bin_edges(rates.where(F.col(rate) > floor), rate, [i / 10 for i in range(1, 10)]).select("edges").scalar()
-    carried = rates.withColumn("__e", edges)
+    edges = order.bin_edges(rates.where(F.col(rate) > floor), rate, [i / 10 for i in range(1, 10)]).select(F.col("edges").alias("__e"))
+    carried = order.attach_one_row(rates, edges)
     passed = sum(((F.col(rate) >= F.get("__e", F.lit(i))).cast("int") for i in range(9)), F.lit(0))
     return carried.withColumn("decile", F.coalesce(passed, F.lit(0))).drop("__e")
 

@@ -195,8 +195,8 @@ def with_quantile_bin(df: DataFrame, value: str, probabilities: Sequence[float],
     ``closed_ends``: the probabilities include 0 and 1 and outside values go to the end bins;
     otherwise the bins run below, between and above the given quantiles.
     """
-    edges = order.bin_edges(fit_on if fit_on is not None else df, value, probabilities, **kw).select("edges").scalar()
-    carried = df.withColumn("__edges", edges)
+    edges = order.bin_edges(fit_on if fit_on is not None else df, value, probabilities, **kw).select(F.col("edges").alias("__edges"))
+    carried = order.attach_one_row(df, edges)
     passed = sum((F.coalesce(F.col(value) >= F.get("__edges", F.lit(i)), F.lit(False)).cast("int") for i in range(len(probabilities))), F.lit(0))
     if closed_ends:
         passed = F.greatest(F.least(passed - 1, F.lit(len(probabilities) - 2)), F.lit(0))

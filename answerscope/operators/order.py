@@ -202,3 +202,12 @@ def pin_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """
     head = df.limit(max_rows + 1).toArrow()
     return df if head.num_rows > max_rows else df.sparkSession.createDataFrame(head, df.schema)
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row.
+
+    For values an expression uses many times or hands to an Arrow UDF; a scalar subquery would be
+    planned again at every use.
+    """
+    return df.withColumn("__one", F.lit(0)).join(F.broadcast(one_row.withColumn("__one", F.lit(0))), "__one").drop("__one")

@@ -122,8 +122,9 @@ def reference_policies(treated: Sequence[str], base: str = "base") -> dict[str,
     return out
 
 
-def _edges(rows: DataFrame, score: str, probabilities: Sequence[float]) -> Column:
-    return order.bin_edges(rows, score, probabilities).select("edges").scalar()
+def _with_edges(rows: DataFrame, source: DataFrame, score: str, probabilities: Sequence[float], name: str) -> DataFrame:
+    """Attach the quantiles of a score, taken over ``source``, as one array column."""
+    return order.attach_one_row(rows, order.bin_edges(source, score, probabilities).select(F.col("edges").alias(name)))
 
 
 def _passed(score: str, edges: str, n: int, strict: bool) -> Column:
@@ -141,7 +142,7 @@ def nested_threshold(rows: DataFrame, score: str, probabilities: Sequence[float]
     """
     n = len(probabilities)
     w = F.col(weight).cast("double")
-    binned = rows.withColumn("__e", _edges(rows, score, probabilities)).withColumn("__bin", _passed(score, "__e", n, strict=False))
+    binned = _with_edges(rows, rows, score, probabilities, "__e").withColumn("__bin", _passed(score, "__e", n, strict=False))
     cells = binned.groupBy("fold", "__bin").agg(
         F.sum(w).alias("__w"), F.sum(F.col(base).cast("int") * w).alias("__base"), *[F.sum(F.col(c).cast("int") * w).alias(f"__c{i}") for i, c in enumerate(treated)])
     # fold x bin x threshold: a few thousand rows, whatever the input size
@@ -161,8 +162,7 @@ def nested_threshold(rows: DataFrame, score: str, probabilities: Sequence[float]
 
 def apply_threshold(rows: DataFrame, chosen: DataFrame, score: str, probabilities: Sequence[float]) -> DataFrame:
     """Adds ``treat`` and ``cond`` of the row's fold; one choice per fold, so broadcast."""
-    edges = rows.withColumn("__e", _edges(rows, score, probabilities))
-    joined = edges.join(F.broadcast(chosen.select("fold", "cond", "p")), "fold")
+    joined = _with_edges(rows, rows, score, probabilities, "__e").join(F.broadcast(chosen.select("fold", "cond", "p")), "fold")
     return joined.withColumn("treat", F.col(score) < F.get("__e", F.col("p"))).drop("__e", "p")
 
 
@@ -183,7 +183,7 @@ def two_score_rule(rows: DataFrame, high: str, low: str, probabilities: Sequence
     n = len(probabilities)
     w = F.col(weight).cast("double")
     binned = (
-        rows.withColumn("__eh", _edges(rows, high, probabilities)).withColumn("__el", _edges(rows, low, probabilities))
+        _with_edges(_with_edges(rows, rows, high, probabilities, "__eh"), rows, low, probabilities, "__el")
         .withColumn("__h", _passed(high, "__eh", n, strict=True)).withColumn("__l", _passed(low, "__el", n, strict=False))
     )
     cells = binned.groupBy("fold", "__h", "__l").agg(
@@ -204,41 +204,30 @@ def two_score_rule(rows: DataFrame, high: str, low: str, probabilities: Sequence
                        F.get(q, F.col("__b.b")).alias("q_low"), "accuracy_elsewhere")
 
 
-def _treated_share_curve(rows: DataFrame, score: Column, gain: Column, shares: Sequence[float]) -> DataFrame:
-    """Summed gain of the lowest-scored part of the rows for several part sizes.
-
-    Equal scores form one cell; a cell cut by the boundary contributes in proportion, which is
-    the mean over every order of its ties.
-    """
-    cells = rows.select(score.alias("__s"), gain.alias("__g")).where(F.col("__s").isNotNull()).withColumn("__all", F.lit(0)).groupBy("__all", "__s").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum("__g").alias("__g"))
-    placed = order.running_totals(cells, ["__all"], "__s", ["__n"])
-    total = cells.agg(F.sum("__n").alias("n")).scalar()
-    sized = placed.withColumn("__total", total)
-    aggregates = []
-    for i, x in enumerate(shares):
-        wanted = F.round(F.lit(float(x)) * F.col("__total").cast("double"))
-        part = F.greatest(F.least((wanted - F.col("below___n")) / F.col("__n"), F.lit(1.0)), F.lit(0.0))
-        aggregates.append((F.sum(F.col("__g") * part) / F.max("__total")).alias(f"g{i}"))
-    out = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("share"), F.col(f"g{i}").alias("gain")) for i, x in enumerate(shares)]))
-    return sized.agg(*aggregates).select(out.alias("r")).select("r.*")
-
-
-def treated_share_curves(rows: DataFrame, treated: str, scores: Sequence[str], shares: Sequence[float], base: str = "base") -> DataFrame:
+def treated_share_curves(rows: DataFrame, treated: str, scores: Sequence[str], shares: Sequence[float], base: str = "base", **kw) -> DataFrame:
     """Accuracy when the X% lowest-scored rows are treated, against a random choice and the oracle.
 
-    The random choice is its exact expectation, which repeated draws only estimate.
+    Equal scores form one cell; a cell cut by the boundary contributes in proportion, which is the
+    mean over every order of its ties.  The random choice is its exact expectation, which repeated
+    draws only estimate.  All rankings share one pass over the rows.
     """
     gain = F.col(treated).cast("int") - F.col(base).cast("int")
-    curves = None
-    for name, score in [*[(s, F.col(s)) for s in scores], ("oracle", -gain)]:
-        one = _treated_share_curve(rows, score, gain, shares).withColumn("ranking", F.lit(name))
-        curves = one if curves is None else curves.unionByName(one)
-    overall = rows.agg(F.avg(F.col(base).cast("double")).alias("b"), F.avg(gain.cast("double")).alias("g"), F.count(F.lit(1)).alias("n"))
-    random = overall.select(F.explode(F.array(*[F.struct(
-        F.lit(float(x)).alias("share"), (F.round(F.lit(float(x)) * F.col("n")) / F.col("n") * F.col("g")).alias("gain")) for x in shares])).alias("r")).select("r.*")
-    curves = curves.unionByName(random.withColumn("ranking", F.lit("random")))
-    return curves.withColumn("__b", overall.select("b").scalar()).select("ranking", "share", (F.col("__b") + F.col("gain")).alias("accuracy"))
+    rankings = [F.struct(F.lit(s).alias("ranking"), F.col(s).cast("double").alias("__s")) for s in scores]
+    rankings += [F.struct(F.lit("oracle").alias("ranking"), (-gain).cast("double").alias("__s")),
+                 F.struct(F.lit("random").alias("ranking"), F.lit(0.0).alias("__s"))]  # one tie: every order is equally likely
+    long = rows.select(F.explode(F.array(*rankings)).alias("__r"), gain.alias("__g"), F.col(base).cast("int").alias("__b")).select("__r.*", "__g", "__b")
+    cells = long.where(F.col("__s").isNotNull()).groupBy("ranking", "__s").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("__g").alias("__g"), F.sum("__b").alias("__b"))
+    totals = cells.groupBy("ranking").agg(F.sum("__n").alias("__total"), F.sum("__b").alias("__base"))
+    placed = order.running_totals(cells, ["ranking"], "__s", ["__n"], **kw).join(totals, "ranking")
+    n = F.col("__total").cast("double")
+    curves = []
+    for x in shares:
+        wanted = F.round(F.lit(float(x)) * n)
+        part = F.greatest(F.least((wanted - F.col("below___n")) / F.col("__n"), F.lit(1.0)), F.lit(0.0))
+        curves.append((F.sum(F.col("__g") * part) + F.max("__base")) / F.max(n))
+    points = F.array(*[F.struct(F.lit(float(x)).alias("share"), c.alias("accuracy")) for x, c in zip(shares, curves)])
+    return placed.groupBy("ranking").agg(points.alias("__c")).select("ranking", F.explode("__c").alias("__c")).select("ranking", "__c.share", "__c.accuracy")
 
 
 def gate_rates(rows: DataFrame, score: str, right: Column, wrong: Column, level: float = 0.9) -> DataFrame:

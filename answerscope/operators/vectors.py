@@ -50,14 +50,6 @@ def weighted_sum(df: DataFrame, weight: str, by: Sequence[str] = (), vector: str
     return out if by else out.drop(ALL)
 
 
-def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row.
-
-    Used instead of a scalar subquery where the value goes straight into an Arrow UDF.
-    """
-    return df.withColumn("__one", F.lit(0)).join(F.broadcast(one_row.withColumn("__one", F.lit(0))), "__one").drop("__one")
-
-
 def within_fact_weights(rows: DataFrame, first: Column, second: Column, fact: str = "fact", draw: Sequence[str] = ()) -> DataFrame:
     """Row weights +1/n_first and -1/n_second inside facts that hold both kinds; other rows drop out."""
     flagged = rows.withColumn("__a", first).withColumn("__b", second)
@@ -106,7 +98,7 @@ def within_category_direction(rows: DataFrame, first: Column, second: Column, ca
     per = pooled_direction(rows, first, second, [category], vector)
     kept = per.where((F.col("n_first") >= floor) & (F.col("n_second") >= floor)).withColumn("w", F.least("n_first", "n_second").cast("double"))
     total = kept.agg(F.sum("w").alias("__t"), F.count(F.lit(1)).alias("n_categories"))
-    summed = attach_one_row(weighted_sum(kept, "w", (), "mean"), total)
+    summed = order.attach_one_row(weighted_sum(kept, "w", (), "mean"), total)
     return summed.withColumn("mean", V.scale_by(F.col("v"), F.lit(1.0) / F.col("__t"))).withColumn("size", V.norm(F.col("mean"))).withColumn(
         "direction", V.unit(F.col("mean"))).drop("v", "__t")
 
@@ -174,7 +166,7 @@ def leave_one_out(differences: DataFrame, vector: str = "d") -> DataFrame:
     """
     totals = differences.agg(vector_to_array(Summarizer.sum(_vec(vector))).alias("__s"))
     others = V.subtract(F.col("__s"), F.col(vector))
-    out = attach_one_row(differences, totals).withColumn("__o", V.unit(others))
+    out = order.attach_one_row(differences, totals).withColumn("__o", V.unit(others))
     out = out.withColumn("size", V.norm(F.col(vector))).withColumn("projection", V.dot(F.col(vector), F.col("__o")))
     cosine = F.col("projection") / F.nullif(F.col("size"), F.lit(0.0))
     return out.withColumn("cosine", cosine).withColumn("energy_share", cosine * cosine).drop("__s", "__o")

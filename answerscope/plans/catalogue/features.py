@@ -29,7 +29,7 @@ _CB = _VIEW + ", " + _contrast_sql("correct", "kind = 'broken'")
 
 
 def _cb(spark, folder):
-    return K.contrast(V.acts(spark, folder), V.states_k(spark, folder), F.col("correct"), F.col("kind") == "broken")
+    return K.contrast(V.acts(spark, folder), V.states(spark, folder), F.col("correct"), F.col("kind") == "broken")
 
 
 def _stable(df, *columns):
@@ -62,7 +62,7 @@ def _paired_sql(value: str, a: str, b: str, epsilon: str) -> str:
 
 
 def _paired(spark, folder, **kw):
-    return K.paired_gap(V.acts(spark, folder), V.states_k(spark, folder), F.col("correct"), ~F.col("correct"), **kw)
+    return K.paired_gap(V.acts(spark, folder), V.states(spark, folder), F.col("correct"), ~F.col("correct"), **kw)
 
 
 @query("K04_paired_t", _VIEW + _paired_sql("a", "correct", "NOT correct", "1e-9"), signed=('gap', 't'))
@@ -77,20 +77,20 @@ def within_fact_gap(spark, folder):
 
 @query("K06_gap_z", _VIEW + _paired_sql("1", "kind = 'broken'", "kind = 'entity'", "1e-6"), signed=('gap', 't'))
 def gap_z(spark, folder):
-    out = K.paired_gap(V.acts(spark, folder), V.states_k(spark, folder), F.col("kind") == "broken", F.col("kind") == "entity", strength=False, epsilon=1e-6)
+    out = K.paired_gap(V.acts(spark, folder), V.states(spark, folder), F.col("kind") == "broken", F.col("kind") == "entity", strength=False, epsilon=1e-6)
     return rounded(rounded(out, "gap"), "t", digits=5)
 
 
 @query("K07_log_ratio", _VIEW + ", " + _contrast_sql("kind = 'broken'", "kind = 'entity'") + " SELECT latent, round(log_ratio, 6) AS log_ratio FROM con", signed=('log_ratio',))
 def log_ratio(spark, folder):
-    out = K.contrast(V.acts(spark, folder), V.states_k(spark, folder), F.col("kind") == "broken", F.col("kind") == "entity")
+    out = K.contrast(V.acts(spark, folder), V.states(spark, folder), F.col("kind") == "broken", F.col("kind") == "entity")
     return rounded(out.select("latent", "log_ratio"), "log_ratio")
 
 
 @query("K08_maxmin_types", _VIEW + ", " + _contrast_sql("correct", "kind = 'broken'", "cb") + ", " + _contrast_sql("correct", "kind = 'entity'", "ce") + """
   SELECT latent, round(least(cb.separation, ce.separation), 6) AS positive_side, round(least(-cb.separation, -ce.separation), 6) AS negative_side FROM cb JOIN ce USING (latent)""", signed=('positive_side', 'negative_side'))
 def maxmin_types(spark, folder):
-    out = K.worst_case_over_types(V.acts(spark, folder), V.states_k(spark, folder), F.col("correct"), {t: F.col("kind") == t for t in ("broken", "entity")})
+    out = K.worst_case_over_types(V.acts(spark, folder), V.states(spark, folder), F.col("correct"), {t: F.col("kind") == t for t in ("broken", "entity")})
     return rounded(out, "positive_side", "negative_side")
 
 

@@ -8,6 +8,7 @@ from answerscope.functions import vectors as VF
 from answerscope.operators import features as K
 from answerscope.operators import metrics, selection
 from answerscope.operators import vectors as O
+from answerscope.operators.order import attach_one_row
 from answerscope.plans import views as V
 from answerscope.plans.catalogue.registry import query, rounded
 from answerscope.plans.views import cte, sql_hash
@@ -190,7 +191,7 @@ _B = f", b AS (SELECT 0 AS g, dim, avg(x) FILTER (WHERE correct) - avg(x) FILTER
 def _with_direction(spark, folder):
     rows = V.states_k(spark, folder)
     direction = O.pooled_direction(rows, F.col("correct"), F.col("kind") == "broken").select(F.col("direction").alias("b"))
-    return O.attach_one_row(rows, direction)
+    return attach_one_row(rows, direction)
 
 
 @query("V13_vector_edits", _DIMS + _B + """
