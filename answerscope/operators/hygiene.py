@@ -140,10 +140,11 @@ def split_changed(records: DataFrame, entities: DataFrame, excluded: DataFrame,
 def entity_records(bindings: DataFrame) -> DataFrame:
     """Rows (item, seq, label, description, sitelinks, prop, value) -> one record per item.
 
-    The last non-null label wins; values are deduplicated before they are collected.
+    The last non-null label wins, the larger one at an equal ``seq``; values are deduplicated before
+    they are collected.
     """
     def last(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seq", c)))
 
     heads = bindings.groupBy("item").agg(F.coalesce(last("label"), F.lit("")).alias("label"), F.coalesce(last("description"), F.lit("")).alias("description"),
                                          F.coalesce(last("sitelinks"), F.lit(0)).alias("sitelinks"))

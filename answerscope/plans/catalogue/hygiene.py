@@ -84,9 +84,9 @@ def exclude_and_merge(spark, folder):
 
 
 @query("H09_entity_records", cte("bindings") + """
-  , v AS (SELECT item, prop, value, min(seq) AS seq FROM bindings GROUP BY ALL), p AS (SELECT item, prop, string_agg(value, ',' ORDER BY seq) AS ids FROM v GROUP BY ALL)
-  SELECT item, coalesce(arg_max(label, seq) FILTER (WHERE label IS NOT NULL), '') AS label, coalesce(arg_max(description, seq) FILTER (WHERE description IS NOT NULL), '') AS description,
-         coalesce(arg_max(sitelinks, seq) FILTER (WHERE sitelinks IS NOT NULL), 0) AS sitelinks,
+  , v AS (SELECT item, prop, value, min(seq) AS seq FROM bindings GROUP BY ALL), p AS (SELECT item, prop, string_agg(value, ',' ORDER BY seq, value) AS ids FROM v GROUP BY ALL)
+  SELECT item, coalesce(arg_max(label, (seq, label)) FILTER (WHERE label IS NOT NULL), '') AS label, coalesce(arg_max(description, (seq, description)) FILTER (WHERE description IS NOT NULL), '') AS description,
+         coalesce(arg_max(sitelinks, (seq, sitelinks)) FILTER (WHERE sitelinks IS NOT NULL), 0) AS sitelinks,
          (SELECT ids FROM p WHERE p.item = b.item AND prop = 'P31') AS p31, (SELECT ids FROM p WHERE p.item = b.item AND prop = 'P17') AS p17 FROM bindings b GROUP BY item""")
 def entity_records(spark, folder):
     out = H.entity_records(V.bindings(spark, folder))
@@ -124,10 +124,10 @@ def spelling_variants(spark, folder):
 
 @query("H11_candidate_enrichment", _CANDIDATES + ", " + cte("bindings", "value_labels")[5:] + """
   , v AS (SELECT item, prop, value, min(seq) AS seq FROM bindings GROUP BY ALL)
-  , c AS (SELECT k.name, k.qid, any_value(label) AS label FROM kept k JOIN (SELECT item, coalesce(arg_max(label, seq) FILTER (WHERE label IS NOT NULL), '') AS label FROM bindings GROUP BY item) e ON e.item = k.qid GROUP BY ALL)
+  , c AS (SELECT k.name, k.qid, any_value(label) AS label FROM kept k JOIN (SELECT item, coalesce(arg_max(label, (seq, label)) FILTER (WHERE label IS NOT NULL), '') AS label FROM bindings GROUP BY item) e ON e.item = k.qid GROUP BY ALL)
   SELECT name, qid, label, EXISTS (SELECT 1 FROM v WHERE v.item = qid AND prop = 'P31' AND value = 'Q5') AS human,
          (SELECT count(*) FROM v WHERE v.item = qid AND prop IN ('P17', 'P27'))::INT AS countries,
-         coalesce((SELECT string_agg(coalesce(lower(l.p_brand), ''), ',' ORDER BY seq) FROM v LEFT JOIN (SELECT DISTINCT 'Q' || (p_partkey % 9) AS q, 'class ' || (p_partkey % 9) AS p_brand FROM part) l ON l.q = v.value
+         coalesce((SELECT string_agg(coalesce(lower(l.p_brand), ''), ',' ORDER BY seq, v.value) FROM v LEFT JOIN (SELECT DISTINCT 'Q' || (p_partkey % 9) AS q, 'class ' || (p_partkey % 9) AS p_brand FROM part) l ON l.q = v.value
                    WHERE v.item = c.qid AND prop = 'P31'), '') AS inst FROM c""".replace(", v AS (SELECT item, prop", ", vals AS (SELECT item, prop").replace("FROM v ", "FROM vals v "))
 def candidate_enrichment(spark, folder):
     found = H.name_candidates(V.wanted_names(spark, folder), V.name_hits(spark, folder)).select("name", "qid", "place")
