@@ -146,7 +146,7 @@ def cell_summary(spark, folder):
 
 @query("M15_reference_scaled", cte("attempts_k") + """
   , m AS (SELECT quantile_cont(score, 0.5) FILTER (WHERE k_correct = 0) AS lo, quantile_cont(score, 0.5) FILTER (WHERE k_correct = 5) AS hi FROM attempts_k)
-  SELECT row_id, round((score - lo) / (hi - lo), 6) AS position FROM attempts_k, m""")
+  SELECT row_id, round((score - lo) / (hi - lo), 6) AS position FROM attempts_k, m""", signed=("position",))
 def reference_scaled(spark, folder):
     out = metrics.reference_scaled(V.attempts_k(spark, folder), "score", F.col("k_correct") == 0, F.col("k_correct") == 5)
     return rounded(out.select("row_id", "position"), "position")
