@@ -121,8 +121,8 @@ def split_changed(records: DataFrame, entities: DataFrame, excluded: DataFrame,
                   relations: Sequence[str] = tuple(CHANGING_RELATIONS)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(remaining, newly excluded, ids excluded twice).
 
-    Only records of the relations that can change are checked; the third table must be empty
-    and is what the reference's duplicate guard reports.
+    Only records of the relations that can change are checked.  The third table lists records that
+    were excluded before; it must be empty for a clean merge.
     """
     subject = id_from_uri(F.col("s_uri"))
     joined = records.withColumn("subject_qid", subject).join(
