@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,19 @@ def build_session(app_name: str = "answerscope", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python path may lack it; once per context."""
+    context = spark.sparkContext
+    if not getattr(context, "_answerscope_shipped", False):
+        root = Path(__file__).resolve().parent
+        packed = shutil.make_archive(f"{tempfile.mkdtemp(prefix='answerscope-')}/answerscope", "zip", root.parent, root.name)
+        context.addPyFile(packed)
+        context._answerscope_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
+    ship(spark)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
