@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from answerscope.llm import mixing
+from answerscope.llm import mixing, suffix_dedup
 
-MODULES = (mixing,)
+MODULES = (mixing, suffix_dedup)
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
