@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from answerscope.llm import chat_format, hamming_search, language_id, minhash_join, mixing, suffix_dedup, toxicity, url_filter, warc
+from answerscope.llm import chat_format, decontamination, hamming_search, language_id, minhash_join, mixing, suffix_dedup, toxicity, url_filter, warc
 
-MODULES = (mixing, minhash_join, language_id, warc, hamming_search, suffix_dedup, toxicity, url_filter, chat_format)
+MODULES = (mixing, minhash_join, decontamination, language_id, warc, hamming_search, suffix_dedup, toxicity, url_filter, chat_format)
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -114,10 +114,10 @@ def byte_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         yield first, len(values), values[first:]
 
 
-def word_hashes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words, and where each text's words begin (one entry more than texts)."""
+def word_hashes(values: list[bytes], separator: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words between ``separator`` bytes, and where each text's words begin (one entry more than texts)."""
     data = LOWER[np.frombuffer(b" " + b" ".join(values) + b" ", dtype=np.uint8)]
-    blank = BLANK[data]
+    blank = separator[data]
     begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     hashes = range_hashes(prefix_hashes(data), begin, end)

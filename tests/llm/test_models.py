@@ -1,0 +1,86 @@
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from answerscope.llm import language_id as L
+from answerscope.llm import toxicity as T
+
+DOCS = "doc_id bigint, text string, lang string, source string, score double"
+LABELS = "doc_id bigint, quality int, toxic int, x_label int"
+FOLDER = "/root/testdata/sf0.1"
+
+
+def held(doc_id, mod, rest):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % mod == rest
+
+
+def test_toxicity_on_held_out_labels(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    got = T.op8_toxicity_cnn(spark, FOLDER).collect()
+    assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert all(r.held_out == held(r.doc_id, 5, 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    test = [(labels[r.doc_id], r.predicted, r.score) for r in got if r.held_out and r.doc_id in labels]
+    hit = np.mean([p for y, p, _ in test if y == 1])
+    false = np.mean([p for y, p, _ in test if y == 0])
+    print("found", hit, "false", false, len(test))
+    assert hit > 0.9 and false < 0.02
+
+
+def test_toxicity_cases(spark, tmp_path):
+    rnd = random.Random(1)
+    rows = [(k, " ".join(rnd.choice("abcdefghij") * 3 for _ in range(20)) + (" vile " if k % 4 == 0 else ""), rnd.choice(["en", None]), None, 0.5) for k in range(800)]
+    rows += [(5001, None, None, "s", None), (5002, "", "xx", "s", None), (None, "vile", "en", None, None), (5003, "vile " * 50_000, "en", None, None), (5003, "vile " * 50_000, "en", None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0), 9) for k in range(800)] + [(7, 1, None, 9), (None, 1, 1, 9), (3, 0, 0, 9)], LABELS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = T.op8_toxicity_cnn(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, T.op8_toxicity_cnn(spark, str(tmp_path)).collect()))
+    by = {r.doc_id: r for r in got}
+    assert by[5001].score == by[5002].score < 0.5 < by[None].score and by[5003].predicted == 1 and by[None].held_out is False
+    kept = T.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert {5001, 5002} <= ids and not {None, 5003} & ids and np.mean([k in ids for k in range(800) if k % 4]) > 0.98
+
+
+def test_toxicity_without_rows_or_labels(spark):
+    none = spark.createDataFrame([], LABELS)
+    assert T.without_toxic(spark.createDataFrame([], DOCS), none).count() == 0
+    assert T.without_toxic(spark.createDataFrame([(1, "a", "en", None, None)], DOCS), none).count() == 1
+
+
+def test_language_on_held_out_rows(spark):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang").collect()}
+    got = L.op4_language_id(spark, FOLDER).collect()
+    assert len(got) == len(lang) and all(r.held_out == held(r.doc_id, 4, 2) and 0 <= r.score <= 1 for r in got)
+    right = np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out and lang[r.doc_id]])
+    print("right", right)
+    assert right > 0.97
+
+
+def test_language_cases(spark):
+    rnd = random.Random(2)
+    make = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(k, make("abcd"), "x", None, 1.0) for k in range(200)] + [(k, make("wxyz"), "y", None, 1.0) for k in range(200, 400)] + [(k, make("wxyz"), None, None, 1.0) for k in range(400, 420)]
+    rows += [(500, None, "x", None, None), (501, "", "x", None, None), (502, "12 ½ !?", "x", None, None), (None, "ABAB CDCD", None, None, None), (503, "zyxw " * 100_000, None, None, None), (504, "é", None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = L.with_language(docs.drop("score"), L.train(docs)).select("doc_id", "lang_pred", F.col("score").alias("s")).collect()
+    by = {r.doc_id: (r.lang_pred, r.s) for r in got}
+    assert len(got) == len(rows) and all(by[k] == ("und", 0.0) for k in (500, 501, 502))
+    assert by[None][0] == "x" and by[503][0] == "y" and by[504][0] in ("x", "y") and all(by[k][0] == "y" for k in range(200, 420))
+
+
+def test_language_without_rows(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert L.with_language(empty.drop("score"), L.train(empty)).count() == 0
+    assert [r.lang_pred for r in L.with_language(spark.createDataFrame([(1, "abc")], "doc_id bigint, text string"), L.train(empty)).collect()] == ["und"]
+
+
+def test_pieces_of_long_texts_count_every_gram_once(monkeypatch):
+    codes = L.letters("abc def ghi " * 50)
+    whole = np.sort(np.concatenate(list(L.buckets(codes))))
+    monkeypatch.setattr(L, "PIECE", 7)
+    assert np.array_equal(whole, np.sort(np.concatenate(list(L.buckets(codes)))))
