@@ -7,11 +7,15 @@
    of both (prefix); the frequent postings, which are the long lists, are never merged (skip).
    For a pair at the threshold the collisions are binomial (32, 0.85): fewer than 16 happen
    about once in two million pairs.
-3. Lists are merged in rounds, never all pairs of a list. A round picks hubs in every list that
-   still holds several components, meets them with the list's members outside their own
-   component, counts collisions, and confirms by the exact intersection. A pair is left out
-   only if both ends are already in one component or it was met before, so components are
-   those of all links. Each round has four times as many hubs for a list.
+3. Lists are merged in two steps, not by all pairs of a list. First the list's hub, the member
+   with the fewest shingles of its own, meets every member, and links are joined to components.
+   Then only members of different components meet, and only if they can be similar at all:
+   with c = (1 - s) / (1 + s), two sets of similarity s or more differ in c * (n + n') shingles
+   at most, and they differ in at least |m - m'| + u + u', where m counts the hub's shingles
+   that a member lacks and u those that no other member of crowded lists has. The bound is
+   tested between cells of equal (m, u, n) first, so a crowded list costs its distinct cells
+   and the pairs that pass; no pair that could be a link is left out. Pairs that pass need
+   ``MATCHES`` collisions and are confirmed by the exact intersection.
 4. Components come from alternating large-star and small-star steps over the links.
 
 Nulls and empties: a null or blank text has the empty set, is linked with nothing and is its
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerscope.llm.common import Scratch, byte_slices, mixed, shingle_hashes, table, word_hashes
@@ -36,6 +40,7 @@ WIDTH = 5
 COORDINATES = 32
 MATCHES = 16
 PERCENT = 85
+CROWDED = 32  # members of a posting list from which shingles of one's own are counted
 NAMELESS = 1 << 62  # nodes without any doc_id are numbered from here
 
 _MULTIPLY = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -78,15 +83,16 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, end - first), sets], names=["node", "members"])
 
 
-def _same_edges(a: DataFrame, b: DataFrame) -> bool:
-    mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
-    return a.agg(*mark).first() == b.agg(*mark).first()
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other node, which itself points nowhere."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("from"), F.lit(0).alias("to")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("from"), F.lit(1).alias("to")))
+    return ends.groupBy("x").agg(F.sum("from").alias("from"), F.max("to").alias("to")).where("from > 1 OR (from = 1 AND to = 1)").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) to (node, comp): the least node that each node reaches; nodes that are least are left out."""
     edges = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    while not _all_stars(edges):
         # large star: larger neighbours go to the least of the neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -96,24 +102,67 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         step = scratch.keep(small)
-        done = _same_edges(edges, step)
         scratch.drop(edges)
         edges = step
-        if done:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) that collide often enough and whose full sets are similar enough."""
-    side = lambda frame, end, value: frame.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}"))
-    size = sets.select("node", F.struct("n_sig", "n_shingles").alias("s"))
-    pairs = pairs.join(side(size, "a", "s"), "a").join(side(size, "b", "s"), "b")
-    collisions = F.size(F.array_intersect("s_a.n_sig", "s_b.n_sig"))  # values carry their coordinate
-    na, nb = F.col("s_a.n_shingles"), F.col("s_b.n_shingles")
-    pairs = pairs.where((collisions >= MATCHES) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT)).select("a", "b", na.alias("na"), nb.alias("nb"))
-    pairs = pairs.join(side(members, "a", "members"), "a").join(side(members, "b", "members"), "b")
-    common = F.size(F.array_intersect("members_a", "members_b"))
-    return pairs.where(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b").distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+
+
+def _side(frame: DataFrame, end: str, *values: str) -> DataFrame:
+    return frame.select(F.col("node").alias(end), *[F.col(v).alias(f"{v}_{end}") for v in values])
+
+
+def _with_common(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of both sets, n_a and n_b, and of their intersection."""
+    pairs = pairs.join(_side(members, "a", "members"), "a").join(_side(members, "b", "members"), "b")
+    return pairs.select("a", "b", F.size("members_a").alias("n_a"), F.size("members_b").alias("n_b"), F.size(F.array_intersect("members_a", "members_b")).alias("common"))
+
+
+def _similar(common: Column, n_a: Column, n_b: Column) -> Column:
+    return common * 100 >= (n_a + n_b - common) * PERCENT
+
+
+def _may_be_similar(n_a: Column, n_b: Column, differ: Column) -> Column:
+    """Whether sets of these sizes that differ in so many members at least can be similar enough."""
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT) & (differ * (100 + PERCENT) <= (n_a + n_b) * (100 - PERCENT))
+
+
+def _links(lists: DataFrame, sets: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, comp) of the nodes that are not the least of their component."""
+    sizes = lists.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    entries = scratch.keep(lists.join(sizes, "key"))
+    crowd = entries.where(F.col("held") > CROWDED).select("node").distinct()
+    of_crowd = members.join(crowd, "node", "left_semi").select("node", F.explode("members").alias("shingle"))
+    own = of_crowd.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    entries = entries.join(own, "node", "left").select("key", "node", F.when(F.col("held") > CROWDED, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).alias("u"))
+    entries = scratch.keep(entries)
+    hubs = entries.groupBy("key").agg(F.min(F.struct("u", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    entries = scratch.keep(entries.join(hubs, "key"))
+    met = scratch.keep(_with_common(entries.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), members))
+    edges = met.where(_similar(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    comps = components(edges, scratch)
+
+    rest = entries.where("node <> hub").join(met.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), (F.col("n_a") - F.col("common")).alias("m")), ["hub", "node"])
+    rest = scratch.keep(rest.join(comps, "node", "left").select("key", "node", "u", "n", "m", F.coalesce("comp", "node").alias("comp")))
+    several = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = scratch.keep(rest.join(several, "key"))
+    cell = ["u", "n", "m"]
+    cells = rest.groupBy("key", *cell).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    left = cells.select("key", *[F.col(c).alias(f"{c}_a") for c in (*cell, "lo", "hi")])
+    right = cells.select("key", *[F.col(c).alias(f"{c}_b") for c in (*cell, "lo", "hi")])
+    differ = F.col("u_a") + F.col("u_b") + F.abs(F.col("m_a") - F.col("m_b"))
+    one_comp = (F.col("lo_a") == F.col("hi_b")) & (F.col("hi_a") == F.col("lo_b"))
+    in_order = F.struct("u_a", "n_a", "m_a") <= F.struct(F.col("u_b").alias("u_a"), F.col("n_b").alias("n_a"), F.col("m_b").alias("m_a"))
+    passing = left.join(right, "key").where(in_order & ~one_comp & _may_be_similar(F.col("n_a"), F.col("n_b"), differ))
+    ends = {e: rest.select("key", *[F.col(c).alias(f"{c}_{e}") for c in cell], F.col("node").alias(e), F.col("comp").alias(f"comp_{e}")) for e in ("a", "b")}
+    pairs = passing.join(ends["a"], ["key", "u_a", "n_a", "m_a"]).join(ends["b"], ["key", "u_b", "n_b", "m_b"]).where("comp_a <> comp_b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # values carry their coordinate, so their intersection counts collisions
+    signed = pairs.join(_side(sets, "a", "n_sig"), "a").join(_side(sets, "b", "n_sig"), "b")
+    pairs = signed.where(F.size(F.array_intersect("n_sig_a", "n_sig_b")) >= MATCHES).select("a", "b")
+    more = scratch.keep(_with_common(pairs, members).where(_similar(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    if more.isEmpty():
+        return comps
+    return components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))), scratch)
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -134,33 +183,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     text = keyed.join(wanted.withColumnsRenamed({"n_id": "w_id", "n_hash": "w_hash"}), [F.col("n_id").eqNullSafe(F.col("w_id")), F.col("n_hash") == F.col("w_hash")])
     members = scratch.keep(text.select("node", "n_text").mapInArrow(_set_rows, "node bigint, members array<bigint>"))
 
-    comps = used = None
-    hubs_of_list = 1
-    while True:
-        state = lists.withColumn("comp", F.col("node")) if comps is None else lists.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        tally = state.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        mixed_lists = tally.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-        state = scratch.keep(state.join(mixed_lists.select("key", F.col("main.comp").alias("main")), "key"))
-        fresh = state.where("comp <> main")
-        if used is not None:
-            fresh = fresh.join(used, ["key", "node"], "left_anti")
-        hubs = fresh.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(hubs_of_list)).alias("slot")).agg(F.min(F.struct("node", "comp")).alias("h"))
-        hubs = scratch.keep(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp")))
-        if hubs.isEmpty():
-            break
-        pairs = hubs.join(state, "key").where("hub_comp <> comp").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        edges = _linked(pairs, sets, members)
-        if comps is not None:
-            edges = edges.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        comps = components(edges, scratch)
-        tried = hubs.select("key", F.col("hub").alias("node"))
-        used = tried if used is None else used.unionByName(tried)
-        lists = state.select("key", "node")  # lists that are all of one component stay so
-        hubs_of_list *= 4
-
+    comps = _links(lists, sets, members, scratch)
     named = rows.where("n_shingles > 0").join(sets.select("n_d1", "n_d2", "node"), ["n_d1", "n_d2"]).select("n_id", "n_shingles", "node")
-    if comps is not None:
-        named = named.join(comps, "node", "left").withColumn("node", F.coalesce("comp", "node"))
+    named = named.join(comps, "node", "left").withColumn("node", F.coalesce("comp", "node"))
     named = named.select("n_id", "n_shingles", F.when(F.col("node") < NAMELESS, F.col("node")).alias("component_id"))
     bare = rows.where("n_shingles = 0").select("n_id", "n_shingles", F.col("n_id").alias("component_id"))
     return named.unionByName(bare).select(
