@@ -19,6 +19,7 @@ SLICE_BYTES = 1 << 20  # text handled at once by the array code of a task; one l
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SEPARATOR = np.array([not (chr(k).isalnum() or k > 127) for k in range(256)])  # ASCII but letters and digits
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

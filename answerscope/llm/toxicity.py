@@ -1,8 +1,9 @@
 """Toxicity scores from a convolutional text classifier trained in numpy.
 
-A word is two hashed embeddings side by side (two hash functions, so
+A word, a run of anything but ASCII blanks and punctuation, is two hashed embeddings side by side (two hash functions, so
 a chance collision fools one half only); filters of several widths slide over a text, each
-keeps its largest response, and a logistic layer reads those. Buckets that few texts of the
+keeps its largest response, and a logistic layer reads those. The first number of an embedding
+starts at the bucket's leaning towards label 1 in the sample; everything is then trained. Buckets that few texts of the
 sample hold are left at zero, so words seen once are not memorised.
 
 The fit uses a sample of labelled rows bounded by ``SAMPLE`` for each label, drawn by hash
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm.common import byte_slices, mixed, table, word_hashes
+from answerscope.llm.common import SEPARATOR, byte_slices, mixed, table, word_hashes
 
 BUCKETS = 1 << 17
 DIM = 8  # of each of the two embeddings
@@ -36,8 +37,8 @@ WIDTHS = {1: 16, 2: 8, 3: 8}  # filter width: number of filters
 SAMPLE = 4000
 LEAST = 20
 SEEN_IN = 3
-EPOCHS = 8
-RATE = 0.1
+EPOCHS = 4
+RATE = 0.03
 PAD = max(WIDTHS) - 1
 
 
@@ -47,10 +48,10 @@ def bucket_pairs(hashes: np.ndarray) -> np.ndarray:
 
 
 def padded(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket pairs of several texts behind one another, each followed by padding, and where each begins."""
-    gap = np.zeros((PAD + 1, 2), dtype=np.int32)
-    starts = np.cumsum([0] + [len(v) + PAD + 1 for v in values])
-    return np.concatenate([x for v in values for x in (v, gap)] + [gap]), starts[:-1]
+    """Bucket pairs of several texts behind one another, and where each begins; padding on both sides keeps windows in their text."""
+    gap = np.zeros((PAD, 2), dtype=np.int32)
+    starts = np.cumsum([0] + [len(v) + 2 * PAD for v in values])
+    return np.concatenate([x for v in values for x in (gap, v, gap)] + [gap]), starts[:-1]
 
 
 @dataclass
@@ -66,7 +67,7 @@ class Model:
 
     def pooled(self, buckets: np.ndarray, starts: np.ndarray, places: bool = False):
         """Largest response of each filter in each text, and the place that gave it."""
-        n = len(buckets) - PAD - 1
+        n = len(buckets) - PAD
         words = np.concatenate([self.first[buckets[:, 0]], self.second[buckets[:, 1]]], axis=1)
         parts, where = [], []
         for width, weights in self.filters.items():
@@ -87,36 +88,51 @@ class Model:
         return np.maximum(raw, 0), raw > 0, where, words
 
     def scores(self, values: list[bytes]) -> np.ndarray:
-        hashes, starts = word_hashes(values)
+        hashes, starts = word_hashes(values, SEPARATOR)
         pairs = bucket_pairs(hashes)
         buckets, begins = padded([pairs[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)])
         active = self.pooled(buckets, begins)[0]
         return 1 / (1 + np.exp(-np.clip(active @ self.out + self.base, -30, 30).astype(np.float64)))
 
 
-def _new_model(rng: np.random.Generator, known: tuple[np.ndarray, np.ndarray]) -> Model:
+def _new_model(rng: np.random.Generator, known: np.ndarray, leaning: np.ndarray) -> Model:
+    """Random weights, but each embedding's first number starts at its bucket's leaning towards label 1."""
     tables = []
-    for seen in known:
-        t = (rng.standard_normal((BUCKETS, DIM)) * 0.3).astype(np.float32)
+    for seen, lean in zip(known, leaning, strict=True):
+        t = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
+        t[:, 0] = lean
         t[~seen] = 0
         tables.append(t)
-    filters = {w: (rng.standard_normal((w * 2 * DIM, n)) / np.sqrt(w * 2 * DIM)).astype(np.float32) for w, n in WIDTHS.items()}
+    filters = {}
+    for w, n in WIDTHS.items():
+        weights = (rng.standard_normal((w, 2 * DIM, n)) * 0.1).astype(np.float32)
+        weights[:, 0] += 0.5 / w
+        weights[:, DIM] += 0.5 / w
+        filters[w] = weights.reshape(w * 2 * DIM, n)
     number = sum(WIDTHS.values())
-    return Model(tables[0], tables[1], filters, np.zeros(number, np.float32), (np.abs(rng.standard_normal(number)) * 0.3).astype(np.float32), -1.0)
+    return Model(tables[0], tables[1], filters, np.full(number, -1.0, np.float32), np.full(number, 4.0 / number, np.float32), -2.0)
+
+
+def _leaning(count: np.ndarray, rows: tuple[int, int]) -> np.ndarray:
+    """Log odds of a bucket's document counts under label 1 against label 0, shrunk where label 1 has few."""
+    odds = np.log((count[1] + 0.5) / (rows[1] + 1)) - np.log((count[0] + 0.5) / (rows[0] + 1))
+    return np.clip(odds * count[1] / (count[1] + 10.0), 0, 6).astype(np.float32)
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], prior: tuple[float, float], seed: int = 7) -> Model:
     """A model from bucket pairs of whole texts; ``prior``: weights of a label 0 and a label 1 row."""
     rng = np.random.default_rng(seed)
     held = rng.random(len(texts)) < 0.2
-    count = np.zeros((2, BUCKETS), dtype=np.int32)
+    count = np.zeros((2, 2, BUCKETS), dtype=np.int32)  # side, label, bucket
     for k, t in enumerate(texts):
         if not held[k]:
             for side in (0, 1):
-                count[side][np.unique(t[:, side])] += 1
-    known = count >= SEEN_IN
+                count[side, labels[k]][np.unique(t[:, side])] += 1
+    known = count.sum(axis=1) >= SEEN_IN
     known[:, 0] = False
-    model = _new_model(rng, (known[0], known[1]))
+    train = np.flatnonzero(~held)
+    ones, zeros = train[labels[train] == 1], train[labels[train] == 0]
+    model = _new_model(rng, known, np.stack([_leaning(c, (len(zeros), len(ones))) for c in count]))
     squares: dict[str, np.ndarray] = {}
 
     def move(name: str, array: np.ndarray, gradient: np.ndarray) -> None:
@@ -124,11 +140,11 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], pr
         total += gradient * gradient
         array -= RATE * gradient / np.sqrt(total)
 
-    train = np.flatnonzero(~held)
-    for _ in range(EPOCHS if len(train) and 0 < labels[train].mean() < 1 else 0):
-        for batch in np.array_split(rng.permutation(train), max(1, len(train) // 32)):
-            if not len(batch):
-                continue
+    for _ in range(EPOCHS if len(ones) and len(zeros) else 0):
+        # as many rows of either label in a batch; the rarer ones come several times
+        rounds = max(1, max(len(ones), len(zeros)) // 16)
+        picks = [rng.permutation(np.resize(rng.permutation(x), rounds * 16)).reshape(rounds, 16) for x in (ones, zeros)]
+        for batch in np.concatenate(picks, axis=1):
             buckets, starts = padded([texts[k] for k in batch])
             buckets[rng.random(len(buckets)) < 0.1] = 0  # words left out at random
             active, on, where, words = model.pooled(buckets, starts, places=True)
@@ -167,9 +183,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], pr
             base = np.array([model.base], np.float32)
             move("base", base, error.sum(keepdims=True))
             model.base = float(base[0])
-    ones, zeros = max(labels[train].sum(), 1), max((labels[train] == 0).sum(), 1)
-    if len(train) and 0 < labels[train].mean() < 1:
-        model.base += float(np.log(prior[1] * zeros / (prior[0] * ones)))
+    if len(ones) and len(zeros):
+        model.base += float(np.log(prior[1] / prior[0]))  # batches hold both labels equally
         _calibrate(model, [texts[k] for k in np.flatnonzero(held)], labels[held], [langs[k] for k in np.flatnonzero(held)], prior)
     else:
         model.out[:] = 0
@@ -215,7 +230,7 @@ def held_out(doc_id: Column) -> Column:
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, values in byte_slices(batch.column("x_text")):
-            hashes, starts = word_hashes(values)
+            hashes, starts = word_hashes(values, SEPARATOR)
             pairs = bucket_pairs(hashes)
             packed = [pairs[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(n).slice(first, end - first) for n in ("x_order", "x_lang", "x_label")] + [pa.array(packed, pa.binary())],
