@@ -143,8 +143,9 @@ def _links(lists: DataFrame, sets: DataFrame, members: DataFrame, scratch: Scrat
 
     rest = entries.where("node <> hub").join(met.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), (F.col("n_a") - F.col("common")).alias("m")), ["hub", "node"])
     rest = scratch.keep(rest.join(comps, "node", "left").select("key", "node", "u", "n", "m", F.coalesce("comp", "node").alias("comp")))
+    shared_keys = entries.groupBy("node").agg(F.collect_list("key").alias("keys"))
     several = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = scratch.keep(rest.join(several, "key"))
+    rest = scratch.keep(rest.join(several, "key").join(shared_keys, "node"))
     cell = ["u", "n", "m"]
     cells = rest.groupBy("key", *cell).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     left = cells.select("key", *[F.col(c).alias(f"{c}_a") for c in (*cell, "lo", "hi")])
@@ -153,8 +154,10 @@ def _links(lists: DataFrame, sets: DataFrame, members: DataFrame, scratch: Scrat
     one_comp = (F.col("lo_a") == F.col("hi_b")) & (F.col("hi_a") == F.col("lo_b"))
     in_order = F.struct("u_a", "n_a", "m_a") <= F.struct(F.col("u_b").alias("u_a"), F.col("n_b").alias("n_a"), F.col("m_b").alias("m_a"))
     passing = left.join(right, "key").where(in_order & ~one_comp & _may_be_similar(F.col("n_a"), F.col("n_b"), differ))
-    ends = {e: rest.select("key", *[F.col(c).alias(f"{c}_{e}") for c in cell], F.col("node").alias(e), F.col("comp").alias(f"comp_{e}")) for e in ("a", "b")}
-    pairs = passing.join(ends["a"], ["key", "u_a", "n_a", "m_a"]).join(ends["b"], ["key", "u_b", "n_b", "m_b"]).where("comp_a <> comp_b")
+    ends = {e: rest.select("key", *[F.col(c).alias(f"{c}_{e}") for c in cell], F.col("node").alias(e), F.col("comp").alias(f"comp_{e}"), F.col("keys").alias(f"keys_{e}")) for e in ("a", "b")}
+    # a pair that shares several lists is met in the first of them
+    first_list = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    pairs = passing.join(ends["a"], ["key", "u_a", "n_a", "m_a"]).join(ends["b"], ["key", "u_b", "n_b", "m_b"]).where((F.col("comp_a") != F.col("comp_b")) & first_list)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # values carry their coordinate, so their intersection counts collisions
     signed = pairs.join(_side(sets, "a", "n_sig"), "a").join(_side(sets, "b", "n_sig"), "b")
