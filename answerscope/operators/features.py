@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from answerscope.functions.hashing import hash32
 from answerscope.operators import order
+from answerscope.session import cut_lineage
 
 KINDS = ("correct", "entity", "broken")
 
@@ -165,7 +166,7 @@ def two_sided(scored: DataFrame, score: str, k: int) -> DataFrame:
 def on_off_score(acts: DataFrame, rows: DataFrame, picked: DataFrame, name: str = "score") -> DataFrame:
     """Features of the + side that are ON minus those of the - side, 0 for rows with none."""
     sums = (
-        acts.where(F.col("a") > 0).join(order.pin_small(picked), "latent")
+        acts.where(F.col("a") > 0).join(cut_lineage(picked), "latent")
         .groupBy("row_id").agg(F.sum("side").cast("double").alias(name))
     )
     return rows.join(sums, "row_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
@@ -196,7 +197,7 @@ def strength_score(acts: DataFrame, rows: DataFrame, picked: DataFrame, moments:
 
     An absent feature adds the constant -mu / sd, so all constants are summed once.
     """
-    scaled = order.pin_small(picked.join(moments, "latent", "left").select(
+    scaled = cut_lineage(picked.join(moments, "latent", "left").select(
         "latent", (F.col("side").cast("double") / (F.coalesce("sd", F.lit(0.0)) + F.lit(1e-6))).alias("__w"), F.coalesce("mu", F.lit(0.0)).alias("__mu")))
     sums = acts.where(F.col("a") > 0).join(scaled, "latent").groupBy("row_id").agg(F.sum(_d(F.col("a")) * F.col("__w")).alias(name))
     out = rows.join(sums, "row_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
@@ -216,9 +217,11 @@ def rate_deciles(rates: DataFrame, rate: str = "rate", floor: float = 0.01) -> D
 
 
 def matched_random_features(rates: DataFrame, wanted: DataFrame, excluded: DataFrame, draws: int, rate: str = "rate",
-                            floor: float = 0.01, seed: object = 5) -> DataFrame:
+                            floor: float = 0.01, seed: object = 5, strict: bool = True) -> DataFrame:
     """Per draw one unused random feature of the same firing-rate decile for every wanted feature.
 
+    A decile with too few unused features fails the run, or leaves ``latent`` NULL if not ``strict``.
+
     The windows run over the feature dictionary, whose size does not depend on the data.
     """
     placed = rate_deciles(rates, rate, floor)
@@ -229,19 +232,26 @@ def matched_random_features(rates: DataFrame, wanted: DataFrame, excluded: DataF
         placed.where(F.col(rate) > floor).join(excluded.select("latent"), "latent", "left_anti").withColumn("draw", draw)
         .withColumn("place", F.row_number().over(Window.partitionBy("decile", "draw").orderBy(hash32(F.col("draw"), F.col("latent"), seed=seed), "latent")))
     )
-    return need.join(pool.select("decile", "draw", "place", "latent"), ["decile", "draw", "place"], "left").select("draw", "for_latent", "latent", "decile")
+    found = need.join(pool.select("decile", "draw", "place", "latent"), ["decile", "draw", "place"], "left")
+    if not strict:
+        return found.select("draw", "for_latent", "latent", "decile")
+    enough = F.when(F.col("latent").isNull(), F.raise_error(F.lit("a firing-rate decile has too few unused features")).cast("bigint")).otherwise(F.col("latent"))
+    return found.select("draw", "for_latent", enough.alias("latent"), "decile")
 
 
-def size_matched_draws(drawn: DataFrame, energy: DataFrame, wanted_energy: Column, tolerance: float = 0.15) -> DataFrame:
-    """The first draw whose removed energy lies within the tolerance; no row when none does."""
+def size_matched_draws(drawn: DataFrame, energy: DataFrame, wanted_energy: Column, tolerance: float = 0.15, strict: bool = True) -> DataFrame:
+    """The first draw whose removed energy lies within the tolerance; without one it fails, or is empty if not ``strict``."""
     passing = energy.where(F.abs(F.col("energy") - wanted_energy) <= F.lit(tolerance) * wanted_energy)
-    first = passing.agg(F.min("draw").alias("draw")).where(F.col("draw").isNotNull())
+    found = F.min("draw")
+    if not strict:
+        return drawn.join(passing.agg(found.alias("draw")).where(F.col("draw").isNotNull()), "draw", "left_semi")
+    first = passing.agg(F.when(found.isNull(), F.raise_error(F.lit("no draw removes about as much")).cast("bigint")).otherwise(found).alias("draw"))
     return drawn.join(first, "draw", "left_semi")
 
 
 def specificity(acts: DataFrame, rows: DataFrame, picked: DataFrame, groups: dict[str, Column]) -> DataFrame:
     """Share ON of a feature set in several row groups, one output row per group."""
-    picked = order.pin_small(picked.select("latent"))
+    picked = cut_lineage(picked.select("latent"))
     size = picked.agg(_d(F.count(F.lit(1))).alias("n")).scalar()
     names = list(groups)
     flags = rows.select("row_id", *[groups[g].alias(f"__{i}") for i, g in enumerate(names)])

@@ -195,15 +195,6 @@ def top_per_group(df: DataFrame, n: int, group: Sequence[str], order: Sequence[C
     return keyed_df.withColumn("place", place).where(F.col("place") <= n).drop(ALL)
 
 
-def pin_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """A small result as local rows, computed once: its size is then known and Spark broadcasts it.
-
-    A result over ``max_rows`` is returned as it is and joined by shuffle.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    return df if head.num_rows > max_rows else df.sparkSession.createDataFrame(head, df.schema)
-
-
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row.
 

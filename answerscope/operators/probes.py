@@ -20,7 +20,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerscope.operators import metrics, order, selection
+from answerscope.operators import metrics, selection
+from answerscope.session import cut_lineage
 
 FEATURES = "__features"
 
@@ -159,7 +160,7 @@ def sparse_features(acts: DataFrame, rows: DataFrame, picked: DataFrame, log: bo
     ``picked`` is (latent, place) with places 0 .. K-1.  A fact's mean is a sum over its active
     entries divided by its row count.
     """
-    picked = order.pin_small(picked)
+    picked = cut_lineage(picked)
     k = picked.count()
     value = F.log1p(F.col("a").cast("double")) if log else F.col("a").cast("double")
     active = acts.where(F.col("a") > 0).join(picked, "latent").select("row_id", "place", value.alias("v"))

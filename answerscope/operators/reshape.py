@@ -20,8 +20,8 @@ def wide_to_long(df: DataFrame, keys: Sequence[str], versions: Sequence[str] = t
 
 
 def parse_aliases(column: Column) -> Column:
-    """Alias list kept as JSON text; missing means none."""
-    return F.from_json(F.coalesce(column, F.lit("[]")), "array<string>")
+    """Alias list kept as JSON text; missing means none, malformed text fails."""
+    return F.from_json(F.coalesce(column, F.lit("[]")), "array<string>", {"mode": "FAILFAST"})
 
 
 def gold_flat(df: DataFrame) -> DataFrame:

@@ -117,17 +117,18 @@ def same_fact_donor(targets: DataFrame, donors: DataFrame, fact: str = "fact", r
 
 
 def same_category_donor(targets: DataFrame, donors: DataFrame, category: str = "relation", fact: str = "fact",
-                        row_id: str = "row_id", slots: int = 1024, seed: object = 0) -> DataFrame:
+                        row_id: str = "row_id", seed: object = 0) -> DataFrame:
     """a pseudo-random donor of the same category and another fact, NULL only when none exists.
 
-    Donors of a category fall into ``slots`` hash slots and each slot keeps its best donor and
-    the best donor of another fact, so a target joins one row, never a list.  A target whose own
+    A category has as many hash slots as donors, so that all are within reach; each slot keeps its
+    best donor and the best donor of another fact, so a target joins one row, never a list.  A target whose own
     slot holds no usable donor takes the category-wide pair in the same way.
     """
-    ranked = donors.select(
+    sizes = donors.groupBy(category).agg(F.count(F.lit(1)).alias("__slots"))
+    ranked = donors.join(sizes, category).select(
         category, F.col(fact).alias("__fact"),
         F.struct(hash32(row_id, seed=seed).alias("h"), F.col(row_id).cast("bigint").alias("id"), F.col(fact).alias("f")).alias("__d"),
-        (hash32(row_id, seed=f"{seed}:slot") % slots).alias("__slot"))
+        (hash32(row_id, seed=f"{seed}:slot") % F.col("__slots")).alias("__slot"))
     per_fact = ranked.groupBy(category, "__slot", "__fact").agg(F.min("__d").alias("__d"))
 
     def two_best(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -145,10 +146,10 @@ def same_category_donor(targets: DataFrame, donors: DataFrame, category: str = "
         return F.when(F.col(f"{d}.f") != F.col(fact), F.col(f"{d}.id"))
 
     return (
-        targets.withColumn("__slot", hash32(row_id, seed=f"{seed}:target") % slots)
+        targets.join(sizes, category, "left").withColumn("__slot", hash32(row_id, seed=f"{seed}:target") % F.col("__slots"))
         .join(slot_best, [category, "__slot"], "left").join(all_best, category, "left")
         .withColumn("donor", F.coalesce(usable("__s1"), usable("__s2"), usable("__c1"), usable("__c2")))
-        .drop("__slot", "__s1", "__s2", "__c1", "__c2")
+        .drop("__slot", "__slots", "__s1", "__s2", "__c1", "__c2")
     )
 
 

@@ -218,19 +218,21 @@ def extreme_signals(spark, folder):
 _DECILES = _CB + """
   , edges AS (SELECT quantile_cont(rate, [.1, .2, .3, .4, .5, .6, .7, .8, .9]) AS q FROM con WHERE rate > 0.01)
   , placed AS (SELECT latent, rate, len(list_filter(q, lambda x: x <= rate))::INT AS decile FROM con, edges)
-  , wanted AS (SELECT latent FROM con ORDER BY round(separation, 9), latent LIMIT 5)"""
+  , wanted AS (SELECT latent FROM con ORDER BY round(separation, 9), latent LIMIT 5)
+  , taken AS (SELECT latent FROM wanted UNION (SELECT latent FROM con ORDER BY round(separation, 9) DESC, latent LIMIT 5))"""
 _POOL = sql_hash("'5:' || draw || ':' || latent")
 
 
 @query("K17_matched_random", _DECILES + f"""
   , need AS (SELECT decile, latent AS for_latent, row_number() OVER (PARTITION BY decile ORDER BY latent) AS place FROM placed SEMI JOIN wanted USING (latent))
   , pool AS (SELECT draw, decile, latent, row_number() OVER (PARTITION BY decile, draw ORDER BY {_POOL}, latent) AS place
-             FROM (SELECT *, unnest(range(8))::INT AS draw FROM placed WHERE rate > 0.01 AND latent NOT IN (SELECT latent FROM wanted)))
-  SELECT d.draw, for_latent, pool.latent, need.decile FROM (SELECT unnest(range(8))::INT AS draw) d CROSS JOIN need LEFT JOIN pool ON pool.draw = d.draw AND pool.decile = need.decile AND pool.place = need.place""")
+             FROM (SELECT *, unnest(range(20))::INT AS draw FROM placed WHERE rate > 0.01 AND latent NOT IN (SELECT latent FROM taken)))
+  SELECT d.draw, for_latent, pool.latent, need.decile FROM (SELECT unnest(range(20))::INT AS draw) d CROSS JOIN need LEFT JOIN pool ON pool.draw = d.draw AND pool.decile = need.decile AND pool.place = need.place""")
 def matched_random(spark, folder):
     scored = _stable(_cb(spark, folder), "separation")
     wanted = K.top_features(scored, "separation", 5, descending=False).select("latent")
-    return K.matched_random_features(scored.select("latent", "rate"), wanted, wanted, 8)
+    other_side = K.top_features(scored, "separation", 5).select("latent")
+    return K.matched_random_features(scored.select("latent", "rate"), wanted, wanted.union(other_side).distinct(), 20)
 
 
 @query("K19_specificity", _CB + _PICK5 + """

@@ -87,14 +87,14 @@ def exclude_and_merge(spark, folder):
   , v AS (SELECT item, prop, value, min(seq) AS seq FROM bindings GROUP BY ALL), p AS (SELECT item, prop, string_agg(value, ',' ORDER BY seq, value) AS ids FROM v GROUP BY ALL)
   SELECT item, coalesce(arg_max(label, (seq, label)) FILTER (WHERE label IS NOT NULL), '') AS label, coalesce(arg_max(description, (seq, description)) FILTER (WHERE description IS NOT NULL), '') AS description,
          coalesce(arg_max(sitelinks, (seq, sitelinks)) FILTER (WHERE sitelinks IS NOT NULL), 0) AS sitelinks,
-         (SELECT ids FROM p WHERE p.item = b.item AND prop = 'P31') AS p31, (SELECT ids FROM p WHERE p.item = b.item AND prop = 'P17') AS p17 FROM bindings b GROUP BY item""")
+         (SELECT ids FROM p WHERE p.item = b.item AND prop = 'P31') AS p31, (SELECT ids FROM p WHERE p.item = b.item AND prop = 'P17') AS p17, (SELECT ids FROM p WHERE p.item = b.item AND prop = 'P27') AS p27 FROM bindings b GROUP BY item""")
 def entity_records(spark, folder):
     out = H.entity_records(V.bindings(spark, folder))
 
     def ids(p):
         return F.array_join(F.try_element_at("claims", F.lit(p)), ",")
 
-    return out.select("item", "label", "description", "sitelinks", ids("P31").alias("p31"), ids("P17").alias("p17"))
+    return out.select("item", "label", "description", "sitelinks", ids("P31").alias("p31"), ids("P17").alias("p17"), ids("P27").alias("p27"))
 
 
 _CANDIDATES = cte("name_hits") + """

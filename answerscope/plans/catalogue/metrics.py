@@ -92,13 +92,13 @@ _U8 = draw_uniform_sql(1, "draw", "fact")
 
 
 @query("M08_bootstrap_interval", _FACTS + f"""
-  , drawn AS (SELECT draw, auc, ({poisson_sql('u')})::DOUBLE AS w FROM (SELECT draw, auc, {_U8} AS u FROM (SELECT *, unnest(range(200)) AS draw FROM per_fact)))
+  , drawn AS (SELECT draw, auc, ({poisson_sql('u')})::DOUBLE AS w FROM (SELECT draw, auc, {_U8} AS u FROM (SELECT *, unnest(range(1000)) AS draw FROM per_fact)))
   , means AS (SELECT draw, sum(w * auc) / sum(w) AS m FROM drawn GROUP BY draw)
   SELECT round((SELECT avg(auc) FROM per_fact), 6) AS mean, (SELECT count(*) FROM per_fact) AS n_groups,
          round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM means""")
 def bootstrap_interval(spark, folder):
     per = metrics.auroc(mid_rows(spark, folder), "score", F.col("correct"), ["fact"])
-    return rounded(metrics.bootstrap_mean(per, ["fact"], "auc", draws=200), "mean", "lo", "hi")
+    return rounded(metrics.bootstrap_mean(per, ["fact"], "auc", draws=1000), "mean", "lo", "hi")
 
 
 def spearman_sql(rows: str, group: str, x: str, y: str) -> str:
@@ -206,12 +206,12 @@ _SHUFFLE = sql_hash("'100:' || draw || ':' || row_id")
 
 
 @query("M22_permutation_null", cte("attempts_k") + f"""
-  , {_MID}, drawn AS (SELECT m.*, draw, count(*) FILTER (WHERE correct) OVER (PARTITION BY draw, fact) AS p FROM (SELECT *, unnest(range(5)) AS draw FROM mid) m)
+  , {_MID}, drawn AS (SELECT m.*, draw, count(*) FILTER (WHERE correct) OVER (PARTITION BY draw, fact) AS p FROM (SELECT *, unnest(range(20)) AS draw FROM mid) m)
   , shuffled AS (SELECT draw || ':' || fact AS unit, draw, score, row_number() OVER (PARTITION BY draw, fact ORDER BY {_SHUFFLE}, draw || ':' || row_id) <= p AS y FROM drawn)
   , per AS (SELECT split_part(unit, ':', 1) AS draw, avg(auc) AS mean_auc FROM ({auc_sql('shuffled', 'unit', 'score', 'y')}) GROUP BY 1)
   SELECT round(avg(mean_auc), 6) AS null_mean, round(stddev_pop(mean_auc), 6) AS null_std, count(*) AS draws FROM per""")
 def permutation_null(spark, folder):
-    shuffled = metrics.shuffled_labels(mid_rows(spark, folder), "row_id", ["fact"], F.col("correct"), draws=5)
+    shuffled = metrics.shuffled_labels(mid_rows(spark, folder), "row_id", ["fact"], F.col("correct"), draws=20)
     per = metrics.auroc(shuffled, "score", F.col("shuffled"), ["fact", "draw"])
     return rounded(metrics.null_summary(metrics.mean_over_groups(per, ["draw"])), "null_mean", "null_std")
 

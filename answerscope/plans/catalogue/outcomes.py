@@ -60,11 +60,11 @@ _U9 = draw_uniform_sql(0, "draw", "was_correct::INT || ':' || row_id")
 
 
 @query("M09_stratified_bootstrap", _O + _GAIN + f"""
-  , drawn AS (SELECT cond, draw, was_correct, gain, ({poisson_sql('u')})::DOUBLE AS w FROM (SELECT *, {_U9} AS u FROM (SELECT *, unnest(range(50)) AS draw FROM gains)))
+  , drawn AS (SELECT cond, draw, was_correct, gain, ({poisson_sql('u')})::DOUBLE AS w FROM (SELECT *, {_U9} AS u FROM (SELECT *, unnest(range(2000)) AS draw FROM gains)))
   , m AS (SELECT cond, draw, 0.524::DOUBLE * sum(w * gain) FILTER (WHERE NOT was_correct) / sum(w) FILTER (WHERE NOT was_correct) + 0.476::DOUBLE * sum(w * gain) FILTER (WHERE was_correct) / sum(w) FILTER (WHERE was_correct) AS m FROM drawn GROUP BY ALL)
   SELECT cond, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY cond""", signed=("lo", "hi"))
 def stratified_bootstrap(spark, folder):
-    draws = O.net_gain_draws(V.outcomes(spark, folder), 0.524, 0.476, draws=50)
+    draws = O.net_gain_draws(V.outcomes(spark, folder), 0.524, 0.476, draws=2000)
     return rounded(metrics.interval(draws, ["cond"]), "lo", "hi")
 
 

@@ -45,7 +45,7 @@ def multinomial(spark, folder):
 def ridge(spark, folder):
     rows = _rows(spark, folder)
     dev = rows.where("half = 'dev'")
-    alpha, _ = P.choose_ridge(dev, F.col("k_correct"), selection.inner_fold(n=2) == 0, [30.0, 300.0])
+    alpha, _ = P.choose_ridge(dev, F.col("k_correct"), selection.inner_fold(n=4) == 0, [30.0, 300.0, 3000.0])
     return _scored(P.fit_ridge(dev, F.col("k_correct"), alpha).score(rows.where("half = 'test'")), F.lit(alpha).alias("alpha"))
 
 
@@ -77,7 +77,7 @@ def tfidf_terms(spark, folder):
 def text_probe(spark, folder):
     docs = V.read(spark, folder, "documents").join(V.read(spark, folder, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "text", (F.col("quality") == 1).alias("correct"))
     rows = docs.withColumn("half", selection.half("row_id"))
-    transform = P.fit_text_features(rows.where("half = 'dev'"), "text", max_terms=2000)
+    transform = P.fit_text_features(rows.where("half = 'dev'"), "text", max_terms=5000)
     ready = transform(rows)
     probe = P.fit_logistic(ready.where("half = 'dev'"), F.col("correct"), 1.0, standardise=False, max_iter=300)
     return _scored(probe.score(ready.where("half = 'test'")))
@@ -99,9 +99,9 @@ def confidence_probe(spark, folder):
     return _scored(probe.score(rows.where("half = 'test'")))
 
 
-def _sparse(spark, folder, k):
+def _sparse(spark, folder, k, picked_on="true"):
     acts, rows = V.acts(spark, folder), V.states_k(spark, folder)
-    t = K.paired_gap(acts, rows, F.col("correct"), ~F.col("correct")).withColumn("size", F.round(F.abs("t"), 6))
+    t = K.paired_gap(acts, rows.where(picked_on), F.col("correct"), ~F.col("correct")).withColumn("size", F.round(F.abs("t"), 6))
     top = K.top_features(t, "size", k).select("latent", (F.col("place") - 1).alias("place"))
     return P.sparse_features(acts, rows, top, log=True, centre_by="fact"), top
 
@@ -120,7 +120,7 @@ def sparse_features(spark, folder):
 
 @query("P08_sparse_probe")
 def sparse_probe(spark, folder):
-    ready, _ = _sparse(spark, folder, 32)
+    ready, _ = _sparse(spark, folder, 32, "half = 'dev'")
     probe = P.fit_logistic(ready.where("half = 'dev'"), F.col("correct"), 0.03, centre=False, max_iter=300)
     return _scored(probe.score(ready.where("half = 'test'")))
 
@@ -144,13 +144,13 @@ def cross_fit(spark, folder):
 
 @query("P11_configuration_sweep")
 def configuration_sweep(spark, folder):
-    rows = _rows(spark, folder).withColumn("inner_fold", selection.inner_fold(n=2))
+    rows = _rows(spark, folder).withColumn("inner_fold", selection.inner_fold(n=5))
     dev = selection.partly_known(rows.where("half = 'dev'"))
 
     def raw(c):
         return lambda train, test: P.fit_logistic(train, F.col("correct"), c).score(test)
 
-    results = P.sweep(dev, {"raw-lr|C0.0003": raw(0.0003), "raw-lr|C0.003": raw(0.003)}, folds=2)
+    results = P.sweep(dev, {f"raw-lr|C{c}": raw(c) for c in (0.0003, 0.003, 0.03)}, folds=5)
     table = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(results)], "position int, name string, score double")
     return rounded(metrics.best_per_family(table, F.substring("name", 1, 6), "name", "score", "position"), "best", digits=4)
 
@@ -159,7 +159,7 @@ def configuration_sweep(spark, folder):
 def layer_step_sweep(spark, folder):
     """Quarters of the vector stand for layers, wordings for steps."""
     rows = V.states_k(spark, folder)
-    sliced = rows.withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", F.slice("h", F.col("layer") * 16 + 1, F.lit(16))).withColumn(
+    sliced = rows.withColumn("layer", F.explode(F.array(*map(F.lit, range(4))))).withColumn("h", F.slice("h", F.col("layer") * 16 + 1, F.lit(16))).withColumn(
         "step", F.col("version") % 2)
 
     def score(slice_rows):
@@ -167,5 +167,5 @@ def layer_step_sweep(spark, folder):
         probe = P.fit_logistic(ready.where("half = 'dev'"), F.col("correct"), 0.01)
         return metrics.auroc(probe.score(ready.where("half = 'test'")), "score", F.col("correct")).first()["auc"]
 
-    results = P.layer_step_sweep(sliced, [0, 1], [0, 1], score)
+    results = P.layer_step_sweep(sliced, [0, 1, 2, 3], [0, 1], score)
     return rounded(spark.createDataFrame(results, "layer int, step int, auc double").groupBy("layer").pivot("step", [0, 1]).agg(F.first("auc")), "0", "1", digits=4)

@@ -121,13 +121,14 @@ _RANK = sql_hash("'0:' || row_id")
 
 
 @query("F14_same_category_donor", cte("attempts_k") + f"""
-  , donors AS (SELECT relation, fact, row_id, {_RANK} AS h, {_SLOT} % 1024 AS slot FROM attempts_k WHERE kind = 'correct')
+  , sizes AS (SELECT relation, count(*) AS slots FROM attempts_k WHERE kind = 'correct' GROUP BY relation)
+  , donors AS (SELECT relation, fact, row_id, {_RANK} AS h, {_SLOT} % slots AS slot FROM attempts_k JOIN sizes USING (relation) WHERE kind = 'correct')
   , slotted AS (SELECT relation, slot, fact, min((h, row_id)) AS d FROM donors GROUP BY ALL)
   , s AS (SELECT *, row_number() OVER (PARTITION BY relation, slot ORDER BY d) AS r FROM slotted)
   , c AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY d) AS r FROM (SELECT relation, fact, min((h, row_id)) AS d FROM donors GROUP BY ALL))
   SELECT t.row_id, coalesce(CASE WHEN s1.fact <> t.fact THEN s1.d[2] END, CASE WHEN s2.fact <> t.fact THEN s2.d[2] END,
                             CASE WHEN c1.fact <> t.fact THEN c1.d[2] END, CASE WHEN c2.fact <> t.fact THEN c2.d[2] END) AS donor
-  FROM (SELECT *, {_TARGET} % 1024 AS slot FROM attempts_k WHERE kind = 'broken') t
+  FROM (SELECT *, {_TARGET} % slots AS slot FROM attempts_k LEFT JOIN sizes USING (relation) WHERE kind = 'broken') t
   LEFT JOIN (SELECT * FROM s WHERE r = 1) s1 ON s1.relation = t.relation AND s1.slot = t.slot LEFT JOIN (SELECT * FROM s WHERE r = 2) s2 ON s2.relation = t.relation AND s2.slot = t.slot
   LEFT JOIN (SELECT * FROM c WHERE r = 1) c1 ON c1.relation = t.relation LEFT JOIN (SELECT * FROM c WHERE r = 2) c2 ON c2.relation = t.relation""")
 def same_category_donor(spark, folder):

@@ -12,6 +12,7 @@ from answerscope.operators.order import attach_one_row
 from answerscope.plans import views as V
 from answerscope.plans.catalogue.registry import query, rounded
 from answerscope.plans.views import cte, sql_hash
+from answerscope.session import cut_lineage
 
 _DIMS = cte("dims")
 _MIDK = "k_correct BETWEEN 1 AND 4"
@@ -142,12 +143,14 @@ _NULL = sql_hash("'100:' || draw || ':' || row_id")
           FROM (SELECT DISTINCT row_id, fact, k_correct, unnest(range(3))::INT AS draw FROM states_k WHERE {_MIDK}))
   , d AS (SELECT draw, p.fact, p.k_correct, dim, avg(x) FILTER (WHERE y) - avg(x) FILTER (WHERE NOT y) AS v FROM p JOIN dims USING (row_id) GROUP BY draw, p.fact, p.k_correct, dim)
   , m AS (SELECT draw, k_correct, dim, avg(v) AS v FROM d GROUP BY ALL), u AS ({_unit_sql('m', 'draw, k_correct')})
-  SELECT a.draw, round(sum(a.v * b.v), 6) AS cosine FROM (SELECT * FROM u WHERE k_correct = 2) a JOIN (SELECT * FROM u WHERE k_correct = 3) b USING (draw, dim) GROUP BY ALL""", signed=("cosine",))
+  SELECT a.draw, a.k_correct::INT AS first, b.k_correct::INT AS second, round(sum(a.v * b.v), 6) AS cosine FROM u a JOIN u b ON a.draw = b.draw AND a.dim = b.dim AND a.k_correct < b.k_correct GROUP BY ALL""", signed=("cosine",))
 def shuffled_null(spark, folder):
     shuffled = metrics.shuffled_labels(_mid(spark, folder), "row_id", ["fact"], F.col("correct"), draws=3)
     directions = O.within_fact_direction(shuffled, F.col("shuffled"), ~F.col("shuffled"), ["draw", "k_correct"], draw=["draw"])
-    a, b = (directions.where(F.col("k_correct") == k).select("draw", F.col("direction").alias(f"d{k}")) for k in (2, 3))
-    return rounded(a.join(b, "draw").select("draw", VF.cosine(F.col("d2"), F.col("d3")).alias("cosine")), "cosine")
+    directions = cut_lineage(directions.select("draw", F.col("k_correct").cast("int").alias("k"), "direction"))  # four rows a draw
+    a, b = (directions.select("draw", F.col("k").alias(name), F.col("direction").alias(f"__{name}")) for name in ("first", "second"))
+    pairs = a.join(b, "draw").where("first < second")
+    return rounded(pairs.select("draw", "first", "second", VF.cosine(F.col("__first"), F.col("__second")).alias("cosine")), "cosine")
 
 
 @query("V10_pairwise_cosine", _DIMS + f"""
@@ -265,26 +268,26 @@ def donor_distance(spark, folder):
 
 
 @query("V18_step_concatenation", cte("states") + """
-  SELECT fact AS row_id, sum(len(h))::BIGINT AS width, round(sum(list_sum(list_transform(h, lambda x: x::DOUBLE)) * (version + 1)), 6) AS weighted FROM states WHERE version <= 2 GROUP BY fact HAVING count(*) = 3""", signed=("weighted",))
+  SELECT fact AS row_id, sum(len(h))::BIGINT AS width, round(sum(list_sum(list_transform(h, lambda x: x::DOUBLE)) * (version + 1)), 6) AS weighted FROM states GROUP BY fact HAVING count(*) = 5""", signed=("weighted",))
 def step_concatenation(spark, folder):
     """The versions of a fact stand for its decoding steps."""
-    wide = O.concat_steps(V.states(spark, folder).select(F.col("fact").alias("row_id"), F.col("version").alias("step"), "h"), "row_id", "step", [0, 1, 2])
+    wide = O.concat_steps(V.states(spark, folder).select(F.col("fact").alias("row_id"), F.col("version").alias("step"), "h"), "row_id", "step", [0, 1, 2, 3, 4])
     h = F.col("h_all").cast("array<double>")
-    third = (F.size(h) / 3).cast("int")
+    fifth = (F.size(h) / 5).cast("int")
 
     def part(i):
-        return F.aggregate(F.slice(h, third * i + 1, third), F.lit(0.0), lambda acc, x: acc + x) * (i + 1)
+        return F.aggregate(F.slice(h, fifth * i + 1, fifth), F.lit(0.0), lambda acc, x: acc + x) * (i + 1)
 
-    return rounded(wide.select("row_id", F.size(h).cast("bigint").alias("width"), (part(0) + part(1) + part(2)).alias("weighted")), "weighted")
+    return rounded(wide.select("row_id", F.size(h).cast("bigint").alias("width"), (part(0) + part(1) + part(2) + part(3) + part(4)).alias("weighted")), "weighted")
 
 
 @query("V19_slot_features", cte("slots") + """
-  SELECT row_id, round(avg(lp) FILTER (WHERE step = 0), 6) AS "0_lp_mean", min(lp) FILTER (WHERE step = 0) AS "0_lp_min", round(avg(mg) FILTER (WHERE step = 0), 6) AS "0_mg_mean", min(mg) FILTER (WHERE step = 0) AS "0_mg_min",
-         round(avg(lp) FILTER (WHERE step = 1), 6) AS "1_lp_mean", min(lp) FILTER (WHERE step = 1) AS "1_lp_min", round(avg(mg) FILTER (WHERE step = 1), 6) AS "1_mg_mean", min(mg) FILTER (WHERE step = 1) AS "1_mg_min"
-  FROM slots WHERE step <= 1 GROUP BY row_id""", signed=('"0_lp_min"', '"1_lp_min"'))
+  SELECT row_id, """ + ", ".join(
+    f'round(avg({c}) FILTER (WHERE step = {s}), 6) AS "{s}_{c}_mean", min({c}) FILTER (WHERE step = {s}) AS "{s}_{c}_min"' for s in range(V.STEPS) for c in ("lp", "mg")) + """
+  FROM slots GROUP BY row_id""", signed=tuple(f'"{s}_lp_min"' for s in range(V.STEPS)))
 def slot_features(spark, folder):
-    out = O.slot_features(V.slots(spark, folder), [0, 1])
-    return rounded(out, *[f"{s}_{c}" for s in (0, 1) for c in ("lp_mean", "lp_min", "mg_mean", "mg_min")])
+    out = O.slot_features(V.slots(spark, folder), list(range(V.STEPS)))
+    return rounded(out, *[f"{s}_{c}" for s in range(V.STEPS) for c in ("lp_mean", "lp_min", "mg_mean", "mg_min")])
 
 
 @query("V20_logit_summary", """
@@ -297,16 +300,18 @@ def logit_summary(spark, folder):
 
 @query("K18_size_matched")
 def size_matched(spark, folder):
-    """Random features of the same firing decile whose removal takes about as much of |h|^2 as the wanted ones."""
+    """Random features of the same firing decile whose removal takes about as much of |h|^2 as the wanted ones.
+
+    The dictionary of these tables has ten features, so draws are few and the tolerance is wide."""
     rows, d = V.states_k(spark, folder), dictionary(spark, folder)
     acts = O.encode(rows, d)
     rates = K.contrast(acts, rows, F.col("correct"), F.col("kind") == "broken").select("latent", "rate", F.round("separation", 9).alias("separation"))
     wanted = K.top_features(rates, "separation", 2, descending=False).select("latent")
-    draws = K.matched_random_features(rates, wanted, wanted, 20)
+    draws = K.matched_random_features(rates, wanted, wanted, 2000, strict=False)
     sets = {r["draw"]: sorted(r["l"]) for r in draws.where("latent is not null").groupBy("draw").agg(F.collect_list("latent").alias("l")).collect()}
     target = O.removed_share(rows, {0: d.basis(sorted(r["latent"] for r in wanted.collect()))}).select("energy").scalar()
     energy = O.removed_share(rows, {int(k): d.basis(v) for k, v in sets.items()})
-    return K.size_matched_draws(draws, energy, target, tolerance=0.5)
+    return K.size_matched_draws(draws, energy, target, tolerance=0.5, strict=False)
 
 
 @query("V05_summed_vectors", _DIMS + "SELECT kind, dim, round(sum(x), 6) AS v FROM dims GROUP BY ALL", signed=("v",))

@@ -40,12 +40,13 @@ class SignalReport:
 
 
 def signal_search(rows: DataFrame, configurations: dict[str, Callable[[DataFrame, DataFrame], DataFrame]], draws: int = 1000, shuffles: int = 20,
-                  min_k: int = 1, folds: int = 5) -> SignalReport:
+                  min_k: int = 1, folds: int = 5, family: Callable[[str], str] = lambda name: name.split("|")[0]) -> SignalReport:
     """Which signal tells right from wrong rows of a partly known fact?
 
     ``rows`` holds fact, subject, correct, k_correct and whatever the (train, evaluate) -> scored
     functions read.  Subjects are split once; configurations are compared on dev, scored once on
-    test with an interval over facts, and the picked ones again with labels shuffled inside facts.
+    test with an interval over facts, and the best of each ``family`` (the name up to ``|``) again
+    with labels shuffled inside facts.
     """
     partly = selection.with_both_outcomes(selection.partly_known(rows, min_k))
     # every fit below reads these rows again, so they are computed once and kept reliably
@@ -55,9 +56,9 @@ def signal_search(rows: DataFrame, configurations: dict[str, Callable[[DataFrame
     picked: dict[str, str] = {}
     best: dict[str, float] = {}
     for name, score in dev_scores:
-        family = name.split("|")[0][:6]
-        if family not in best or score > best[family]:
-            best[family], picked[family] = score, name
+        kind = family(name)
+        if kind not in best or score > best[kind]:
+            best[kind], picked[kind] = score, name
     tested = None
     for name, run in configurations.items():
         per = metrics.auroc(run(dev, test), "score", F.col("correct"), ["fact"])

@@ -20,18 +20,8 @@ CONDITIONS = ["base", "c05", "c1"]
 STEPS, SLOTS = 8, 4
 
 
-TEXT_TABLES = ("documents", "conversations", "pages")
-
-
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; text tables of fewer files than cores are spread over the cores first.
-
-    A file may hold a single row group, which one task reads.  Pattern matching costs far more
-    than moving such a small table; a large table has many files and is left where it is.
-    """
-    table = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if name in TEXT_TABLES and len(table.inputFiles()) < cores else table
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -142,34 +132,33 @@ VIEWS["dims"] = (["states_k"], """
 
 
 # ---- answers: questions, golds and free-text answers, from documents ---------
-def _sql_first_line(text: str) -> str:
-    return rf"regexp_replace(split_part(regexp_replace({text}, '^\s+', ''), chr(10), 1), '\s+$', '')"
+ANSWER_WORDS = 12  # every run of so many words of a document is a gold value, so whole texts are used
+ROWS_PER_DOCUMENT = 1 << 20
 
 
 def sql_norm(text: str) -> str:
     return f"trim(regexp_replace(strip_accents(lower({text})), '[^a-z0-9]+', ' ', 'g'))"
 
 
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole text of every document, cut into runs of words: row_id, source, words ``w``."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+)"), F.lit(1))
+    docs = read(spark, folder, "documents").select("doc_id", "source", words.alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(ANSWER_WORDS))
+    runs = docs.select("doc_id", "source", F.posexplode(F.transform(starts, lambda i: F.slice("words", i + 1, ANSWER_WORDS))).alias("pos", "w"))
+    return runs.select((F.col("doc_id") * ROWS_PER_DOCUMENT + F.col("pos")).alias("row_id"), "source", "w")
+
+
 def answers(spark: SparkSession, folder: str) -> DataFrame:
-    """One answer per document: sixteen deterministic variations of its first line."""
-    line = T.first_line(F.col("text"))
-    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), "source", "lang", line.alias("line"),
-                                                   (hash32("doc_id", seed="answer") % 16).alias("b"))
-    w = F.slice(F.split("line", " "), 1, 5)
-    docs = docs.withColumn("w", w)
-
-    def word(i: int) -> Column:
-        return F.coalesce(F.get("w", F.lit(i)), F.lit(""))
-
-    gold = F.array_join(F.slice("w", 1, 3), " ")
-    docs = docs.withColumn("gold_value", gold)
-    g = F.col("gold_value")
-    backwards = F.array_join(F.reverse(F.slice("w", 1, 3)), " ")
+    """One answer per passage: sixteen deterministic variations of it."""
+    docs = passages(spark, folder).withColumns({"gold_value": F.array_join("w", " "), "b": hash32("row_id", seed="answer") % 16})
+    g, first = F.col("gold_value"), F.get("w", F.lit(0))
+    backwards = F.array_join(F.reverse("w"), " ")
     forms = [
         F.lit(""), F.lit("I don't know"), F.lit("None"), F.concat(F.lit("Question: "), g), F.concat_ws(" ", g, g, g),
-        F.concat(g, F.lit(".What is the capital")), F.lit("1"), F.concat_ws(" ", word(1), word(2), word(3), word(4)),
-        F.concat(word(0), F.lit(" Zorblatt")), g, F.concat(F.lower(g), F.lit("!")), backwards,
-        F.concat(F.substring(g, 1, 1), F.substring(g, 3, 2**31 - 1)), F.concat(g, F.lit(" IV")), F.lit("The Zorblatt Smith"), F.col("line"),
+        F.concat(g, F.lit(".What is the capital")), F.lit("1"), F.array_join(F.slice("w", 2, ANSWER_WORDS), " "),
+        F.concat(first, F.lit(" Zorblatt")), g, F.concat(F.lower(g), F.lit("!")), backwards,
+        F.concat(F.substring(g, 1, 1), F.substring(g, 3, 2**31 - 1)), F.concat(g, F.lit(" IV")), F.lit("The Zorblatt Smith"), F.concat_ws(" ", g, first),
     ]
     answer = F.lit(None).cast("string")
     for i, form in enumerate(forms):
@@ -177,15 +166,13 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     relation = F.when(F.col("source") == "src0", "father").when(F.col("source") == "src1", "mother").when(F.col("source") == "src2", "director").otherwise(F.col("source"))
     return docs.select(
         "row_id", F.expr("row_id div 5").alias("fact"), F.expr("cast(row_id % 5 as int)").alias("version"), relation.alias("relation"),
-        F.concat(F.lit("Who wrote "), F.col("line"), F.lit("?")).alias("question"), answer.alias("model_answer"), "gold_value",
-        F.array(F.concat_ws(" ", g, F.lit("II")), F.lower(backwards)).alias("gold_aliases"), word(0).alias("__w0"), F.col("b").alias("__b")
-    ).drop("__w0", "__b")
+        F.concat(F.lit("Who wrote "), g, F.lit("?")).alias("question"), answer.alias("model_answer"), "gold_value",
+        F.array(F.concat_ws(" ", g, F.lit("II")), F.lower(backwards)).alias("gold_aliases"))
 
 
 def name_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Looked-up names: some found, some known to have no candidate, some never looked up."""
-    first = F.coalesce(F.get(F.split(T.first_line(F.col("text")), " "), F.lit(0)), F.lit(""))
-    names = read(spark, folder, "documents").select(T.bare_name(F.concat(first, F.lit(" Zorblatt"))).alias("name")).distinct()
+    names = passages(spark, folder).select(T.bare_name(F.concat(F.get("w", F.lit(0)), F.lit(" Zorblatt"))).alias("name")).distinct()
     h = hash32("name", seed="cache") % 3
     nothing = F.array().cast("array<string>")
     return names.where(h < 2).select("name", F.when(h == 0, nothing).otherwise(F.array(F.lit("Q1"))).alias("qids"))
@@ -193,22 +180,23 @@ def name_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 _FORMS = [
     "''", "'I don''t know'", "'None'", "'Question: ' || g", "g || ' ' || g || ' ' || g", "g || '.What is the capital'", "'1'",
-    "coalesce(w[2], '') || ' ' || coalesce(w[3], '') || ' ' || coalesce(w[4], '') || ' ' || coalesce(w[5], '')",
-    "coalesce(w[1], '') || ' Zorblatt'", "g", "lower(g) || '!'", "array_to_string(list_reverse(w[1:3]), ' ')",
-    "substr(g, 1, 1) || substr(g, 3)", "g || ' IV'", "'The Zorblatt Smith'", "line",
+    "array_to_string(w[2:], ' ')", "w[1] || ' Zorblatt'", "g", "lower(g) || '!'", "array_to_string(list_reverse(w), ' ')",
+    "substr(g, 1, 1) || substr(g, 3)", "g || ' IV'", "'The Zorblatt Smith'", "g || ' ' || w[1]",
 ]
-VIEWS["answers"] = ([], f"""
+VIEWS["passages"] = ([], rf"""
+  SELECT doc_id * {ROWS_PER_DOCUMENT} + i AS row_id, source, words[i * {ANSWER_WORDS} + 1:(i + 1) * {ANSWER_WORDS}] AS w
+  FROM (SELECT *, unnest(range((len(words) + {ANSWER_WORDS - 1}) // {ANSWER_WORDS})) AS i
+    FROM (SELECT doc_id, source, regexp_extract_all(text, '\S+') AS words FROM documents))""")
+VIEWS["answers"] = (["passages"], f"""
   SELECT row_id, row_id // 5 AS fact, (row_id % 5)::INT AS version,
          CASE source WHEN 'src0' THEN 'father' WHEN 'src1' THEN 'mother' WHEN 'src2' THEN 'director' ELSE source END AS relation,
-         'Who wrote ' || line || '?' AS question,
+         'Who wrote ' || g || '?' AS question,
          CASE b {" ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORMS))} END AS model_answer,
-         g AS gold_value, [g || ' II', lower(array_to_string(list_reverse(w[1:3]), ' '))] AS gold_aliases
-  FROM (SELECT *, array_to_string(w[1:3], ' ') AS g FROM (
-    SELECT doc_id AS row_id, source, line, string_split(line, ' ')[1:5] AS w, {sql_hash("'answer:' || doc_id")} % 16 AS b
-    FROM (SELECT doc_id, source, {_sql_first_line("text")} AS line FROM documents)))""")
-VIEWS["name_cache"] = ([], f"""
+         g AS gold_value, [g || ' II', lower(array_to_string(list_reverse(w), ' '))] AS gold_aliases
+  FROM (SELECT *, array_to_string(w, ' ') AS g, {sql_hash("'answer:' || row_id")} % 16 AS b FROM passages)""")
+VIEWS["name_cache"] = (["passages"], f"""
   SELECT DISTINCT name, CASE WHEN {sql_hash("'cache:' || name")} % 3 = 0 THEN []::VARCHAR[] ELSE ['Q1'] END AS qids
-  FROM (SELECT DISTINCT regexp_replace(coalesce(string_split({_sql_first_line("text")}, ' ')[1], '') || ' Zorblatt', '^[ ."'']+', '') AS name FROM documents)
+  FROM (SELECT DISTINCT regexp_replace(w[1] || ' Zorblatt', '^[ ."'']+', '') AS name FROM passages)
   WHERE {sql_hash("'cache:' || name")} % 3 < 2""")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Typed scan; blank lines are skipped and a missing file is an empty table."""
+    """Typed scan; blank lines are skipped, a missing file is an empty table, a malformed line fails the read."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
@@ -31,45 +32,41 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Write a complete new version beside the old one, then point readers at it.
 
-    A table is a folder of version folders plus one small pointer file, replaced by a rename only
-    after the new version is committed; a failed write leaves the old version in use and the
-    version being read is never overwritten.  Returns the path of the new version.
+    A version is a folder under a name of its own, and a pointer file, renamed into place after the
+    version is committed, publishes it.  A failed write leaves the old version in use, and of two
+    writers neither touches the other's files; readers take the highest number, then the name.
+    Returns the path of the new version.
     """
     spark = df.sparkSession
     jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(configuration)
-    current = _pointer(files, jvm, path)
-    version = 0 if current is None else int(current.rsplit("=", 1)[1]) + 1
-    target = f"{path}/version={version}"
-    df.write.mode("overwrite").format(fmt).save(target)
-    draft, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_next_{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current_{version}")
-    stream = files.create(draft, True)
-    stream.write(bytearray(target.encode()))
-    stream.close()
+    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(configuration)
+    number = max((n for n, _ in _published(files, jvm, path)), default=-1) + 1
+    name = uuid.uuid4().hex
+    target = f"{path}/version-{name}"
+    df.write.format(fmt).save(target)
+    draft, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_next_{name}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current_{number}_{name}")
+    files.create(draft, False).close()
     if not files.rename(draft, pointer):
         raise OSError(f"could not publish {target}")
     return target
 
 
-def _pointer(files, jvm, path: str) -> str | None:
+def _published(files, jvm, path: str) -> list[tuple[int, str]]:
     root = jvm.org.apache.hadoop.fs.Path(path)
     if not files.exists(root):
-        return None
-    published = [s.getPath().getName() for s in files.listStatus(root) if s.getPath().getName().startswith("_current_")]
-    if not published:
-        return None
-    return f"{path}/version={max(int(name.rsplit('_', 1)[1]) for name in published)}"
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    return [(int(n.split("_")[2]), n.split("_")[3]) for n in names if n.startswith("_current_")]
 
 
 def read_current(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The newest published version."""
     jvm = spark._jvm
     files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    current = _pointer(files, jvm, path)
-    if current is None:
+    published = _published(files, jvm, path)
+    if not published:
         raise FileNotFoundError(path)
-    return spark.read.format(fmt).load(current)
+    return spark.read.format(fmt).load(f"{path}/version-{max(published)[1]}")
 
 
 def read_name_cache(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -80,7 +77,7 @@ def read_name_cache(spark: SparkSession, path: str, multi_line: bool = True) ->
     """
     entity = "struct<label: string, desc: string, sitelinks: int, claims: map<string, array<string>>>"
     schema = f"names map<string, array<string>>, ent map<string, {entity}>, lab map<string, array<string>>"
-    document = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    document = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     names = document.select(F.explode("names").alias("name", "qids"))
     entities = document.select(F.explode("ent").alias("item", "e")).select(
         "item", F.col("e.label").alias("label"), F.col("e.desc").alias("description"), F.col("e.sitelinks").alias("sitelinks"), F.col("e.claims").alias("claims"))

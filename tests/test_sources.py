@@ -1,9 +1,11 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from answerscope.operators import reshape
 from answerscope.sources import tables as S
 from answerscope.streaming.append import append_stream
 
@@ -36,6 +38,29 @@ def test_failed_replace_keeps_the_old_version(spark, tmp_path):
     assert S.read_current(spark, path).count() == 2
 
 
+def test_two_writers_do_not_touch_each_other(spark, tmp_path):
+    path = str(tmp_path / "t")
+    S.replace_table(spark.range(3), path)
+    with ThreadPoolExecutor(2) as pool:
+        targets = list(pool.map(lambda n: S.replace_table(spark.range(n), path), [5, 7]))
+    assert len(set(targets)) == 2 and {spark.read.parquet(t).count() for t in targets} == {5, 7}
+    assert S.read_current(spark, path).count() in (5, 7)
+
+
+@pytest.mark.parametrize("text", ['{"a": 1}\n{"a": \n', '{"a": "x"}\n'])
+def test_malformed_lines_fail(spark, tmp_path, text):
+    (tmp_path / "x.jsonl").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.read_jsonl(spark, str(tmp_path), "a long").collect()
+
+
+def test_malformed_alias_list_fails(spark):
+    rows = spark.createDataFrame([("[\"a\"]",), (None,)], "t string")
+    assert [r[0] for r in rows.select(reshape.parse_aliases(F.col("t"))).collect()] == [["a"], []]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        spark.createDataFrame([("[\"a",)], "t string").select(reshape.parse_aliases(F.col("t"))).collect()
+
+
 def test_append_adds_each_key_once(spark, tmp_path):
     path = str(tmp_path / "a")
     S.append_new(spark.range(5).union(spark.range(2)), path, ["id"])
