@@ -45,7 +45,7 @@ def test_pages(spark, tmp_path):
         (1, "http://A.Example.COM/en/1?q#f", None, "c", 1.0), (2, "http://www.example.com/en/", "", "c", 1.0), (3, "https://x.net/es/1", "", "c", 1.0), (4, "https://x.net/de/1", "", "c", 1.0),
         (5, "https://bad.net/fr/9", "", "c", 1.0), (6, "https://friend.org/", link("bad.net", "bad.net"), "c", 1.0), (7, "https://good.org", "", "c", 1.0), (8, "https://ok.com/a", link("good.org"), "c", 1.0),
         (9, None, link("bad.net"), "c", 1.0), (10, "no-scheme.com/en/", "", "c", 1.0), (None, "http://com?x", "", "c", 1.0), (12, "http://notcom/", "", "c", 1.0), (12, "http://notcom/", "", "c", 1.0),
-        (13, "http://bad.net/en/" + "p" * 100_000, "", "c", 1.0)]
+        (13, "http://bad.net/fr/" + "p" * 100_000, "", "c", 1.0)]
     spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     found = U.op9_url_filter(spark, str(tmp_path)).collect()
     got = {r.page_id: tuple(r)[1:] for r in found}
