@@ -235,7 +235,7 @@ def matched_random_features(rates: DataFrame, wanted: DataFrame, excluded: DataF
     found = need.join(pool.select("decile", "draw", "place", "latent"), ["decile", "draw", "place"], "left")
     if not strict:
         return found.select("draw", "for_latent", "latent", "decile")
-    enough = F.when(F.col("latent").isNull(), F.raise_error(F.lit("a firing-rate decile has too few unused features")).cast("bigint")).otherwise(F.col("latent"))
+    enough = F.when(F.col("latent").isNull(), F.raise_error(F.lit("a firing-rate decile has too few unused features")).cast("int")).otherwise(F.col("latent"))
     return found.select("draw", "for_latent", enough.alias("latent"), "decile")
 
 

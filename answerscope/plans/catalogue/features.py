@@ -8,6 +8,7 @@ from answerscope.plans import views as V
 from answerscope.plans.catalogue.metrics import auc_sql
 from answerscope.plans.catalogue.registry import query, rounded
 from answerscope.plans.views import cte, sql_hash
+from answerscope.session import cut_lineage
 
 _VIEW = cte("states_k", "acts")
 
@@ -229,7 +230,7 @@ _POOL = sql_hash("'5:' || draw || ':' || latent")
              FROM (SELECT *, unnest(range(20))::INT AS draw FROM placed WHERE rate > 0.01 AND latent NOT IN (SELECT latent FROM taken)))
   SELECT d.draw, for_latent, pool.latent, need.decile FROM (SELECT unnest(range(20))::INT AS draw) d CROSS JOIN need LEFT JOIN pool ON pool.draw = d.draw AND pool.decile = need.decile AND pool.place = need.place""")
 def matched_random(spark, folder):
-    scored = _stable(_cb(spark, folder), "separation")
+    scored = cut_lineage(_stable(_cb(spark, folder), "separation"))  # one row for each feature
     wanted = K.top_features(scored, "separation", 5, descending=False).select("latent")
     other_side = K.top_features(scored, "separation", 5).select("latent")
     return K.matched_random_features(scored.select("latent", "rate"), wanted, wanted.union(other_side).distinct(), 20)
