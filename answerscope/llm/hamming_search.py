@@ -70,7 +70,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch) ->
         probe = open_.select("query", "bound", F.explode(F.array(*_parts("query"))).alias("p"))
         probe = probe.select("query", "bound", "p.segment", F.explode(F.transform(_masks(radius), lambda m: F.col("p.value").bitwiseXOR(m))).alias("value"))
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-        found = probe.join(index, ["segment", "value"]).where(distance <= F.col("bound")).select("query", "code", distance.alias("distance"), "held").distinct()
+        # probes are made from few rows, so their number is underestimated; they must not be broadcast
+        found = probe.hint("merge").join(index.hint("merge"), ["segment", "value"]).where(distance <= F.col("bound")).select("query", "code", distance.alias("distance"), "held").distinct()
         # beyond the distance at which k + 1 ids are held nothing can be among the first k others
         met = (found if met is None else met.unionByName(found).distinct()).withColumn("before", F.coalesce(F.sum("held").over(nearer), F.lit(0)))
         met = scratch.keep(met.where(F.col("before") < k + 1).drop("before"))
