@@ -1,10 +1,11 @@
 """Toxicity scores from a convolutional text classifier trained in numpy.
 
-A word, a run of anything but ASCII blanks and punctuation, is two hashed embeddings side by side (two hash functions, so
-a chance collision fools one half only); filters of several widths slide over a text, each
-keeps its largest response, and a logistic layer reads those. The first number of an embedding
-starts at the bucket's leaning towards label 1 in the sample; everything is then trained. Buckets that few texts of the
-sample hold are left at zero, so words seen once are not memorised.
+A word, a run of anything but ASCII blanks and punctuation, is two hashed embeddings side by
+side (two hash functions, so a chance collision fools one half only); filters of several
+widths slide over a text, each keeps its largest response, and a logistic layer reads those.
+The first number of an embedding starts at the bucket's leaning towards label 1 in the sample;
+everything is then trained. Buckets that few texts of the sample hold are left at zero, so
+words seen once are not memorised.
 
 The fit uses a sample of labelled rows bounded by ``SAMPLE`` for each label, drawn by hash
 of doc_id; whole texts are used, as everywhere. Its intercept is moved back to the shares
@@ -21,6 +22,7 @@ rows get equal scores. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -249,10 +251,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select("doc_id", F.col("text").alias("x_text"), F.col("lang").alias("x_lang"))
     # the sample's ids are bounded by its size, whatever the input
     joined = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["x_id"]).select("x_order", "x_lang", "x_label", "x_text")
-    rows = joined.mapInArrow(_bucket_rows, "x_order string, x_lang string, x_label int, x_buckets binary").collect()
-    rows.sort(key=lambda r: (r.x_order, r.x_buckets))
-    pairs = [np.frombuffer(r.x_buckets, np.int32).reshape(-1, 2) for r in rows]
-    return fit(pairs, np.array([r.x_label for r in rows], dtype=np.int64), [r.x_lang for r in rows], (counts.get(0, 0), counts.get(1, 0)))
+    found = joined.mapInArrow(_bucket_rows, "x_order string, x_lang string, x_label int, x_buckets binary").toArrow()
+    order_of, packed = found.column("x_order").to_pylist(), found.column("x_buckets")
+    rows = sorted(range(found.num_rows), key=lambda k: (order_of[k], zlib.crc32(packed[k].as_buffer())))
+    pairs = [np.frombuffer(packed[k].as_buffer(), np.int32).reshape(-1, 2) for k in rows]  # views, not copies
+    labels_, langs = found.column("x_label").to_pylist(), found.column("x_lang").to_pylist()
+    return fit(pairs, np.array([labels_[k] for k in rows], dtype=np.int64), [langs[k] for k in rows], (counts.get(0, 0), counts.get(1, 0)))
 
 
 def with_scores(docs: DataFrame, model: Model, score: str = "score", flag: str = "toxic_flag") -> DataFrame:
