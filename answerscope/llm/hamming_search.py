@@ -64,10 +64,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch) ->
     entries = scratch.keep(first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     index = scratch.keep(entries.select("code", F.size("ids").alias("held"), F.explode(F.array(*_parts("code"))).alias("p")).select("code", "held", "p.segment", "p.value"))
     open_ = scratch.keep(queries.select(F.col("code").alias("query"), F.lit(BITS).alias("bound")).distinct())
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few queries make many probes
     pairs = met = None
     nearer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
     for radius in range(SEGMENT_BITS + 1):
-        probe = open_.select("query", "bound", F.explode(F.array(*_parts("query"))).alias("p"))
+        probe = open_.repartition(spread, "query").select("query", "bound", F.explode(F.array(*_parts("query"))).alias("p"))
         probe = probe.select("query", "bound", "p.segment", F.explode(F.transform(_masks(radius), lambda m: F.col("p.value").bitwiseXOR(m))).alias("value"))
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
         # probes are made from few rows, so their number is underestimated; they must not be broadcast
