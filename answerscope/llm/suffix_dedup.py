@@ -1,11 +1,12 @@
 """Suffix-array dedup: remove every byte covered by a long string that starts anywhere else too.
 
 1. Each window of ``MIN_LENGTH`` bytes gets a key, the least hash of the ``GRAM``-byte strings
-   inside it. Equal windows have equal keys, so windows whose key occurs in one run of windows
-   only cannot repeat. Runs of windows with one key are the unit ("region") that is shuffled:
-   key, hash of the region's bytes and place, no text.
+   inside it. Equal windows have equal keys, so windows can repeat only if their key occurs in
+   several runs of windows, or if its string stands at several places of the one run (as it
+   does in a stretch of short period). Runs of windows with one key are the unit ("region")
+   that is shuffled: key, hash of the region's bytes and place, no text.
 2. Equal regions are collapsed to one with a count. The texts of the distinct regions of a key
-   that has several are fetched once and packed, whole keys at a time, into blocks of
+   that has several, or one that can repeat in itself, are fetched once and packed, whole keys at a time, into blocks of
    ``BLOCK_BYTES``. Over a block's Burrows-Wheeler transform, ``common_prefix_levels`` expands
    intervals breadth-first by backward extension: level l fixes the boundaries with common
    prefix l, and the search stops at ``MIN_LENGTH``; boundaries still open then separate
@@ -48,16 +49,17 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def regions(values: list[bytes], length: int = MIN_LENGTH, gram: int = GRAM):
-    """Runs of windows with one key: (text number, first start, windows, key, hash of the bytes)."""
+    """Runs of windows with one key: (text number, first start, windows, key, hash of the bytes, whether the key's gram stands in it twice)."""
     values_long = [(k, v) for k, v in enumerate(values) if len(v) >= length]
     if not values_long:
-        return [np.zeros(0, np.int64)] * 5
+        return [np.zeros(0, np.int64)] * 5 + [np.zeros(0, dtype=bool)]
     data = np.frombuffer(b"".join(v for _, v in values_long), dtype=np.uint8)
     sizes = np.array([len(v) for _, v in values_long])
     offset = np.cumsum(sizes) - sizes
     prefix = prefix_hashes(data)
     at = np.arange(len(data) - gram + 1)
-    keys = sliding_min(range_hashes(prefix, at, at + gram), length - gram + 1)
+    grams = range_hashes(prefix, at, at + gram)
+    keys = sliding_min(grams, length - gram + 1)
     text = np.repeat(np.arange(len(sizes)), sizes)[:len(keys)]
     valid = np.arange(len(keys)) + length <= (offset + sizes)[text]
     new = np.ones(len(keys), dtype=bool)
@@ -72,7 +74,14 @@ def regions(values: list[bytes], length: int = MIN_LENGTH, gram: int = GRAM):
     count = np.minimum(np.repeat(count, pieces) - step * RUN, RUN)
     number = np.array([k for k, _ in values_long])
     whole = range_hashes(prefix, begin, begin + count + length - 1)
-    return number[text[begin]], begin - offset[text[begin]], count, keys[begin].view(np.int64), whole.view(np.int64)
+    # a gram is the least of some window if the greatest key of the windows around it is its own
+    edge = np.zeros(length - gram, np.uint64)
+    least = np.flatnonzero(~sliding_min(~np.concatenate([edge, keys, edge]), length - gram + 1) == grams)
+    first, end = np.searchsorted(least, begin), np.searchsorted(least, begin + count + length - gram)
+    region = np.repeat(np.arange(len(begin)), end - first)
+    place = least[np.arange(len(region)) + np.repeat(first - np.cumsum(end - first) + (end - first), end - first)]
+    twice = np.bincount(region[grams[place] == keys[begin][region]], minlength=len(begin)) > 1
+    return number[text[begin]], begin - offset[text[begin]], count, keys[begin].view(np.int64), whole.view(np.int64), twice
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -188,11 +197,11 @@ def merged_spans(places: list[int], size: int) -> list[tuple[int, int]]:
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, _, values in byte_slices(batch.column("s_text")):
-            number, begin, count, key, whole = regions(values)
+            number, begin, count, key, whole, twice = regions(values)
             rows = pa.array(number + first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("s_id").take(rows), batch.column("s_hash").take(rows), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(whole)],
-                names=["s_id", "s_hash", "s_begin", "s_count", "s_key", "s_whole"])
+                [batch.column("s_id").take(rows), batch.column("s_hash").take(rows), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(whole), pa.array(twice)],
+                names=["s_id", "s_hash", "s_begin", "s_count", "s_key", "s_whole", "s_twice"])
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,15 +244,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch, crowded: int = CROWDED) -> DataFrame:
     """(s_id, s_hash, s_places): flat byte begins and ends of repeated strings, for the texts that have some."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = f"s_id {kind}, s_hash bigint, s_begin int, s_count int, s_key bigint, s_whole bigint"
+    names = f"s_id {kind}, s_hash bigint, s_begin int, s_count int, s_key bigint, s_whole bigint, s_twice boolean"
     runs = scratch.keep(_keyed(docs).mapInArrow(_region_rows, names))
-    shared = runs.groupBy("s_key").agg(F.count("*").alias("n")).where("n > 1").select("s_key")
+    shared = runs.groupBy("s_key").agg(F.count("*").alias("n"), F.max("s_twice").alias("twice")).where("n > 1 OR twice").select("s_key")
     found = scratch.keep(runs.join(shared, "s_key"))
     scratch.drop(runs)
-    shapes = found.groupBy("s_key", "s_whole").agg(F.count("*").alias("s_times"), F.min(F.struct("s_id", "s_hash", "s_begin", "s_count")).alias("s_one"))
+    shapes = found.groupBy("s_key", "s_whole").agg(F.count("*").alias("s_times"), F.max("s_twice").alias("s_twice"), F.min(F.struct("s_id", "s_hash", "s_begin", "s_count")).alias("s_one"))
     shapes = scratch.keep(shapes)
     kinds = shapes.groupBy("s_key").agg(F.count("*").alias("s_kinds"))
-    several = shapes.join(kinds.where("s_kinds > 1"), "s_key").select("s_key", "s_whole", "s_times", "s_kinds", "s_one.*")
+    several = shapes.join(kinds, "s_key").where("s_kinds > 1 OR (s_times = 1 AND s_twice)").select("s_key", "s_whole", "s_times", "s_kinds", "s_one.*")
     texts = _keyed(docs)
     cut = F.substring(F.col("s_text").cast("binary"), F.col("s_begin") + 1, F.col("s_count") + (MIN_LENGTH - 1))
     texts = texts.join(several, [texts["s_id"].eqNullSafe(several["s_id"]), texts["s_hash"] == several["s_hash"]]).select("s_key", "s_whole", "s_times", "s_kinds", cut.alias("s_text"))

@@ -76,3 +76,24 @@ def test_remove_repeats_keeps_rows_and_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert S.remove_repeats(docs).count() == 0
+
+
+def removed(spark, texts):
+    docs = spark.createDataFrame([(k, t, None, "s", 0, "x") for k, t in enumerate(texts)], SCHEMA)
+    spans = S.repeated_spans(docs, S.Scratch(spark, "test"))
+    got = S.with_places(docs, spans).mapInArrow(S._digest_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return [tuple(r)[1:] for r in got.orderBy("doc_id").collect()]
+
+
+def test_strings_that_repeat_inside_one_run_only(spark):
+    rnd = random.Random(9)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = ["ab" * 150, "=" * 300, letters(60) * 5, letters(90) + "word " * 60 + letters(90), letters(136) * 2 + letters(40), "-" * 201, "+" * 200, letters(400)]
+    for period in (1, 2, 63, 64, 65, 100, 135, 136, 137, 138, 200):
+        unit = letters(period)
+        texts += [letters(50) + (unit * 500)[:199 + period + extra] + letters(50) for extra in (0, 1, 2, 60)]
+    want = brute([t.encode() for t in texts])
+    assert all(w[1] for w in want[:4])
+    assert removed(spark, texts) == want
+    for text, found in zip(texts[:5], want[:5]):
+        assert removed(spark, [text]) == brute([text.encode()])
