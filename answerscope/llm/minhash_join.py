@@ -21,7 +21,8 @@
 Nulls and empties: a null or blank text has the empty set, is linked with nothing and is its
 own component. A row without doc_id takes part, but names no component: a component without
 any doc_id has component_id null and kept false. Equal rows are one node, as are rows that
-share a doc_id. An empty table gives an empty result.
+share a doc_id. An empty table gives an empty result. ``one_of_each_group`` goes by sets instead
+of doc_ids: copies without doc_id leave one row, and unlike texts of one doc_id are not linked.
 """
 
 from __future__ import annotations
@@ -168,11 +169,10 @@ def _links(lists: DataFrame, sets: DataFrame, members: DataFrame, scratch: Scrat
     return components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))), scratch)
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def _grouped(docs: DataFrame, scratch: Scratch, node: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows without a set, and the others with the least node of their component; ``node`` numbers a set, as an aggregate of its rows."""
     keyed = docs.select(F.col("doc_id").alias("n_id"), F.xxhash64("text").alias("n_hash"), F.col("text").alias("n_text"))
     rows = scratch.keep(keyed.mapInArrow(_signature_rows, "n_id bigint, n_hash bigint, n_shingles bigint, n_d1 bigint, n_d2 bigint, n_sig array<bigint>"))
-    node = F.coalesce(F.min("n_id"), F.first("n_d1").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS)))
     sets = rows.where("n_shingles > 0").groupBy("n_d1", "n_d2").agg(
         node.alias("node"), F.min(F.struct("n_id", "n_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("n_sig").alias("n_sig"))
     sets = scratch.keep(sets)
@@ -187,22 +187,39 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.keep(text.select("node", "n_text").mapInArrow(_set_rows, "node bigint, members array<bigint>"))
 
     comps = _links(lists, sets, members, scratch)
-    named = rows.where("n_shingles > 0").join(sets.select("n_d1", "n_d2", "node"), ["n_d1", "n_d2"]).select("n_id", "n_shingles", "node")
-    named = named.join(comps, "node", "left").withColumn("node", F.coalesce("comp", "node"))
+    named = rows.where("n_shingles > 0").join(sets.select("n_d1", "n_d2", "node"), ["n_d1", "n_d2"]).select("n_id", "n_hash", "n_shingles", "node")
+    return rows.where("n_shingles = 0"), named.join(comps, "node", "left").withColumn("node", F.coalesce("comp", "node"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    node = F.coalesce(F.min("n_id"), F.first("n_d1").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS)))
+    bare, named = _grouped(docs, scratch, node)
     named = named.select("n_id", "n_shingles", F.when(F.col("node") < NAMELESS, F.col("node")).alias("component_id"))
-    bare = rows.where("n_shingles = 0").select("n_id", "n_shingles", F.col("n_id").alias("component_id"))
+    bare = bare.select("n_id", "n_shingles", F.col("n_id").alias("component_id"))
     return named.unionByName(bare).select(
         F.col("n_id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("n_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, one for each component; rows whose component has no doc_id are kept."""
-    found = near_duplicates(docs, Scratch(docs.sparkSession, "minhash"))
-    stays = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    stays = Scratch(docs.sparkSession, "minhash").keep(stays.withColumnsRenamed({"doc_id": "kept_id"}))
-    once = docs.join(stays.where("n_rows = 1"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    repeated = docs.join(stays.where("n_rows > 1"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    """One row of ``docs`` for each component of sets, whatever the doc_ids: the one of least doc_id, without any of least text hash.
+
+    Rows that share a doc_id are linked by their texts only. Rows without words have no copies but
+    equal ones of their doc_id; without a doc_id all of them stay.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    bare, named = _grouped(docs, scratch, F.first("n_d1"))
+    rows_of = named.groupBy("node", "n_id", "n_hash").agg(F.count("*").alias("n"))
+    least = rows_of.groupBy("node").agg(F.min(F.struct(F.col("n_id").isNull().alias("nameless"), "n_id", "n_hash", "n")).alias("one")).select("one.n_id", "one.n_hash", "one.n")
+    bare = bare.groupBy("n_id", "n_hash").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("n_id").isNull(), 1).otherwise(F.col("n")))
+    stays = scratch.keep(least.unionByName(bare))
+
+    def these(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen, [docs["doc_id"].eqNullSafe(chosen["n_id"]), F.xxhash64(docs["text"]) == chosen["n_hash"]], "left_semi")
+
+    every = F.struct(*[docs[c] for c in docs.columns])
+    repeated = these(stays.where("n > 1")).groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(every, F.to_json(every)).alias("one")).select("one.*")
+    return these(stays.where("n = 1")).unionByName(repeated)
 
 
 def op2_minhash_join(spark: SparkSession, folder: str) -> DataFrame:

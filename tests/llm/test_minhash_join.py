@@ -87,3 +87,14 @@ def test_components(spark):
 def test_no_sets(spark, texts):
     docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
     assert sorted(map(tuple, M.near_duplicates(docs, Scratch(spark, "test")).collect())) == [(k, 0, k, True) for k in range(len(texts))]
+
+
+def test_rows_stay_by_text_when_ids_are_missing_or_repeated(spark):
+    long = "one two three four five six seven eight nine ten " * 3
+    rows = [(None, "a b c d e f"), (None, "A b  c d e f"), (7, "a b c d e f"), (None, "only here g h i"), (None, "only here g h i"), (None, "Only here g h i"), (5, "k l m n o p"), (5, "q r s t u v"), (5, "q r s t u v"),
+            (6, "Q r s t u v"), (None, long + "x"), (None, long + "x"), (8, None), (8, None), (8, " "), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(k, t, None, "s", n) for n, (k, t) in enumerate(rows)], SCHEMA).repartition(3)
+    kept = M.one_of_each_group(docs)
+    got = sorted(((r.doc_id, r.text.lower() if r.text else r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(7, "a b c d e f"), (None, "only here g h i"), (5, "k l m n o p"), (5, "q r s t u v"), (None, long + "x"), (8, None), (8, " "), (None, ""), (None, "")], key=str)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, M.one_of_each_group(docs.repartition(5)).collect()), key=str)
