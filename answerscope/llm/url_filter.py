@@ -4,9 +4,12 @@ Rules name a host and a path; a rule fits its host and all subdomains where the
 url starts with the rule's, and the longest rule that fits wins. Pages without a rule follow
 their host. Each host starts with two seeds, the shares of its pages that the rules allow
 and block. Trust is a personalised PageRank from the first along links, distrust one from
-the second against them (a host that links to bad hosts is suspect). Both start from
-shares, so they compare on one scale: a host is blocked when its distrust is above its
-trust and above ``BLOCK_ABOVE`` times what a wholly blocked host has by itself.
+the second against them (a host that links to bad hosts is suspect). That splits a bad
+host's distrust among all that link to it, so suspicion goes along too: it starts as distrust
+does, and a host takes the mean of the hosts it links to, however many others link to them.
+All start from shares, so they compare on one scale: a host is blocked when the larger of its
+distrust and suspicion is above its trust and above ``BLOCK_ABOVE`` times what a wholly blocked
+host has by itself.
 
 Links are absolute and protocol-relative href targets to another host, each pair of hosts
 once. A step joins ranks with edges and sums; sums are combined before the shuffle, and a
@@ -68,13 +71,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, follow: float = FOLLOW, steps: int = STEPS) -> DataFrame:
-    """Seeds (host, trust, distrust) and edges (src, dst) to (host, trust, distrust) after propagation."""
+    """Seeds (host, trust, distrust) and edges (src, dst) to (host, trust, distrust, suspicion) after propagation."""
     out_links = edges.groupBy("src").agg(F.count("*").alias("n"))
     in_links = edges.groupBy("dst").agg(F.count("*").alias("n"))
     ahead = edges.join(out_links, "src").select(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit("t").alias("kind"), (1.0 / F.col("n")).alias("w"))
     against = edges.join(in_links, "dst").select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit("d").alias("kind"), (1.0 / F.col("n")).alias("w"))
-    flow = scratch.keep(ahead.unionByName(against))
-    start = seeds.select(F.col("host").alias("to"), F.explode(F.create_map(F.lit("t"), F.col("trust"), F.lit("d"), F.col("distrust"))).alias("kind", "seed")).where("seed > 0")
+    mean = edges.join(out_links, "src").select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit("s").alias("kind"), (1.0 / F.col("n")).alias("w"))
+    flow = scratch.keep(ahead.unionByName(against).unionByName(mean))
+    start = seeds.select(F.col("host").alias("to"), F.explode(F.create_map(F.lit("t"), F.col("trust"), F.lit("d"), F.col("distrust"), F.lit("s"), F.col("distrust"))).alias("kind", "seed")).where("seed > 0")
     start = scratch.keep(start.withColumn("seed", F.col("seed") * (1 - follow)))
     ranks = start.withColumnRenamed("seed", "rank")
     for _ in range(steps):
@@ -87,17 +91,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, follow: floa
         if (largest or 0.0) < TOLERANCE:
             break
     return ranks.groupBy(F.col("to").alias("host")).agg(
-        F.sum(F.when(F.col("kind") == "t", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.col("rank")).otherwise(0.0)).alias("distrust"))
+        *[F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(name) for kind, name in (("t", "trust"), ("d", "distrust"), ("s", "suspicion"))])
 
 
 def judge_pages(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) of every row of ``pages``."""
+    """(page_id, host, path, rule, verdict, trust, distrust) of every row of ``pages``; distrust is the larger of distrust and suspicion."""
     scratch = Scratch(pages.sparkSession, "urls")
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     judged = scratch.keep(judged)
     share = lambda verdict: F.avg(F.when(F.col("fit.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    ranks = propagate(seeds, scratch.keep(host_edges(pages)), scratch)
+    ranks = propagate(seeds, scratch.keep(host_edges(pages)), scratch).withColumn("distrust", F.greatest("distrust", "suspicion")).drop("suspicion")
     alone = (1 - FOLLOW) * BLOCK_ABOVE
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > alone)
     joined = judged.join(ranks, "host", "left")

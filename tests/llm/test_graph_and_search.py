@@ -56,6 +56,17 @@ def test_pages(spark, tmp_path):
     assert got[9] == ("", "", None, "allow") == got[10] and got[None] == ("com", "", None, "allow") and got[12] == ("notcom", "/", None, "allow")
 
 
+@pytest.mark.parametrize("linkers", [2, 50])
+def test_hosts_that_link_to_a_much_linked_blocked_host_only(spark, linkers):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/">a</a>' for h in hosts)
+    rows = [(0, "https://bad.net/fr/", "", "c", 1.0)] + [(k, f"https://fan{k}.org/", link("bad.net"), "c", 1.0) for k in range(1, linkers + 1)]
+    rows += [(100, "https://second.org/", link("fan1.org"), "c", 1.0), (101, "https://list.org/", link("bad.net", *(f"fine{k}.org" for k in range(9))), "c", 1.0)]
+    rows += [(102, "https://ok.com/", link("bad.net"), "c", 1.0)]
+    got = {r.page_id: r.verdict for r in U.judge_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[k] for k in range(linkers + 1)] == ["block"] * (linkers + 1)
+    assert got[100] == "block" and got[101] == "allow" == got[102]
+
+
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     assert U.op9_url_filter(spark, str(tmp_path)).count() == 0
