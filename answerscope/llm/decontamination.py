@@ -1,6 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased runs of anything but ASCII blanks, punctuation and control characters.
+Words are lower-cased runs of anything but blanks, punctuation, symbols and control characters,
+of ASCII and of Unicode; a letter of a script without blanks (Chinese, Japanese, Thai, Lao,
+Khmer, Burmese) is a word of its own, with the marks on it.
 A document and a benchmark item that share a seed, ``MIN_MATCH`` words in a row, are tiled:
 their longest common run is marked on both sides, then the longest run of what is still
 unmarked, and so on down to ``MIN_MATCH``; runs are found by Karp-Rabin hashes of windows of
@@ -19,8 +21,11 @@ items are reported each. Empty tables give an empty result, an empty benchmark k
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,30 @@ _FILTER_BITS = 22
 
 SEPARATOR = np.array([not (chr(k).isalnum() or k > 127) for k in range(256)])
 
+# Thai, Lao, Burmese, Khmer, kana and ideographs: first and last character
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x30FF), (0x3105, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+            (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+# ---- words
+
+@cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Unicode separators, and letters of scripts without blanks together with their marks."""
+    kind = {k: unicodedata.category(chr(k)) for k in range(0x80, 0x20000)}
+    apart = "".join(re.escape(chr(k)) for k, c in kind.items() if c[0] in "PSZ" or c == "Cc" or k in (0x200B, 0xFEFF))
+    marks = "".join(chr(k) for k, c in kind.items() if c[0] == "M" and (k < 0x370 or 0x1DC0 <= k < 0x3100 or 0xFE00 <= k < 0xFE30 or any(a <= k <= b for a, b in UNSPACED)))
+    single = "".join(chr(k) for a, b in UNSPACED if b < 0x20000 for k in range(a, b + 1) if kind[k][0] in "LN")
+    return re.compile(f"[{apart}]"), re.compile(f"[{single}\U00020000-\U0003FFFF][{marks}]*")
+
+
+def spaced(text: bytes) -> bytes:
+    """The text with blanks for Unicode separators and around letters of scripts without blanks."""
+    if text.isascii():
+        return text
+    apart, single = _patterns()
+    return single.sub(r" \g<0> ", apart.sub(" ", text.decode("utf-8", "surrogateescape"))).encode("utf-8", "surrogateescape")
+
 
 # ---- tiling of one pair
 
@@ -141,7 +170,7 @@ class Block:
 
 
 def doc_words(values: list[bytes]) -> Iterator[np.ndarray]:
-    hashes, starts = word_hashes(values, SEPARATOR)
+    hashes, starts = word_hashes([spaced(v) for v in values], SEPARATOR)
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         yield hashes[a:b]
 

@@ -72,3 +72,19 @@ def test_empty_tables(spark):
     assert D.contaminated(d, b).count() == 0 and D.without_contaminated(d, b).count() == 0
     some = spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, text string")
     assert D.contaminated(d, some).count() == 0
+
+
+def test_scripts_without_blanks_and_unicode_punctuation(spark):
+    items = ["天空为什么是蓝色的因为光的散射", "ทำไมท้องฟ้าถึงเป็นสีฟ้า", "なぜ空は青いのですか。", "the quick brown fox jumps over it"]
+    docs = ["前言。" + items[0] + "！后记", "ก่อน " + items[1], "abc" + items[2][:-1] + "xyz", "he said “the quick—brown…fox «jumps» over it”", "天空很高云很白", items[0][:6], None]
+    d = spark.createDataFrame([(k, t, None, "s", 5) for k, t in enumerate(docs)], SCHEMA)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in D.contaminated(d, b).collect()}
+    assert got == {(k, k): 1.0 for k in range(4)}
+    assert sorted(r.doc_id for r in D.without_contaminated(d, b).collect()) == [4, 5, 6]
+
+
+def test_spaced():
+    words = lambda t: D.spaced(t.encode()).decode().split()
+    assert words("日本go語が") == ["日", "本", "go", "語", "が"] and words("น้ำ") == ["น้", "ำ"] and words("naïve‑été\u00a0x") == ["naïve", "été", "x"]
+    assert D.spaced(b"\xff ok") == b"\xff ok" and words("Ελλάδα привет") == ["Ελλάδα", "привет"]
