@@ -61,10 +61,10 @@ def test_documents(spark, block_words):
     d = spark.createDataFrame([(k if k != 8 else None, t, "en", "s", 5) for k, t in enumerate(docs)], SCHEMA).repartition(3)
     b = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r for r in D.contaminated(d, b, block_words=block_words).collect()}
-    assert set(got) == {(0, 3), (1, 0), (2, 0), (7, 5), (None, 7)}
+    assert set(got) == {(0, 3), (1, 0), (2, 0), (4, 20), (7, 5), (None, 7)}  # an item of three words matches whole
     assert (got[1, 0].coverage, got[1, 0].tiles) == (1.0, 3) and got[2, 0].matched_words == 16
     kept = D.without_contaminated(d, b, block_words=block_words)
-    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 9]
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 5, 6, 9]
 
 
 def test_empty_tables(spark):
@@ -88,3 +88,24 @@ def test_spaced():
     words = lambda t: D.spaced(t.encode()).decode().split()
     assert words("日本go語が") == ["日", "本", "go", "語", "が"] and words("น้ำ") == ["น้", "ำ"] and words("naïve‑été\u00a0x") == ["naïve", "été", "x"]
     assert D.spaced(b"\xff ok") == b"\xff ok" and words("Ελλάδα привет") == ["Ελλάδα", "привет"]
+
+
+def test_short_items_match_whole(spark):
+    items = ["alpha beta gamma delta", "omega", "1 2 3 4 5"]
+    docs = ["say alpha beta, gamma DELTA now", "alpha beta gamma", "gamma delta alpha beta", "the omega", "omegas", "1 2 3 4"]
+    d = spark.createDataFrame([(k, t, None, "s", 5) for k, t in enumerate(docs)], SCHEMA)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id, r.coverage) for r in D.contaminated(d, b).collect()} == {(0, 0, 1.0), (3, 1, 1.0)}
+
+
+def test_repetitive_texts_take_no_pairs():
+    one = np.full(20_000, 7, dtype=np.uint64)
+    tiles = D.tile(one[:400], one, np.arange(len(one)))
+    assert tiles == [(0, 0, 400)]
+    two = np.tile(np.array([3, 9], dtype=np.uint64), 10_000)
+    item = np.concatenate([two[:300], one[:200], two[1:300]])
+    assert sum(n for _, _, n in D.tile(item, np.concatenate([two, one]), np.arange(40_000))) == len(item)
+    rnd = random.Random(4)
+    for _ in range(60):
+        item, doc = (np.array([rnd.randrange(2) for _ in range(rnd.randint(1, 40))], dtype=np.uint64) for _ in range(2))
+        assert sum(n for _, _, n in D.tile(item, doc, np.arange(len(doc)), 2)) == naive_tiles(item.tolist(), doc.tolist(), 2)
