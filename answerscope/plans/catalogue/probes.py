@@ -4,6 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from answerscope.operators import features as K
+from answerscope.operators import grouped as N
 from answerscope.operators import metrics, selection
 from answerscope.operators import probes as P
 from answerscope.plans import views as V
@@ -83,20 +84,63 @@ def text_probe(spark, folder):
     return _scored(probe.score(ready.where("half = 'test'")))
 
 
-@query("P06_category_probe")
-def category_probe(spark, folder):
-    rows = V.attempts_k(spark, folder)
-    transform = P.fit_category_features(rows.where("half = 'dev'"), "relation")
-    ready = transform(rows)
-    probe = P.fit_logistic(ready.where("half = 'dev'"), F.col("correct"), 1.0, balanced=True, standardise=False)
-    return _scored(probe.score(ready.where("half = 'test'")))
+PASSES = 12  # Newton steps written out in SQL; the last ones change nothing
+
+
+def _category_sql() -> str:
+    """Rows collapse to categories, so the Hessian is a diagonal with one border: the step has a closed form."""
+    steps = ["""
+  , n AS (SELECT count(*)::DOUBLE / (2 * count(*) FILTER (WHERE correct)) AS up, count(*)::DOUBLE / (2 * count(*) FILTER (WHERE NOT correct)) AS down FROM attempts_k WHERE half = 'dev')
+  , cells AS (SELECT relation, up * count(*) FILTER (WHERE correct) AS hits, down * count(*) FILTER (WHERE NOT correct) AS misses FROM attempts_k, n WHERE half = 'dev' GROUP BY relation, up, down)
+  , w0 AS (SELECT relation, hits, misses, 0::DOUBLE AS w, 0::DOUBLE AS b FROM cells)"""]
+    for k in range(PASSES):
+        steps.append(f"""
+  , g{k} AS (SELECT *, (hits + misses) * p - hits AS g, (hits + misses) * p * (1 - p) AS s FROM (SELECT *, 1 / (1 + exp(-(w + b))) AS p FROM w{k}))
+  , d{k} AS (SELECT -(sum(g) - sum(s * (w + g) / (1 + s))) / (sum(s) - sum(s * s / (1 + s))) AS d FROM g{k})
+  , w{k + 1} AS MATERIALIZED (SELECT relation, hits, misses, w - (w + g + s * d) / (1 + s) AS w, b + d AS b FROM g{k}, d{k})""")
+    return cte("attempts_k") + "".join(steps) + f"""
+  SELECT row_id, round(coalesce(w, 0) + (SELECT any_value(b) FROM w{PASSES}), 6) AS score FROM attempts_k LEFT JOIN w{PASSES} USING (relation) WHERE half = 'test'"""
+
 
+def _test_scores(rows, **fitting):
+    """Scores of the test half by one model with C = 1, trained on the dev half."""
+    ready = N.rows_of(rows, F.col("correct"), part=F.col("half"), keep=["row_id"])
+    scored = N.score_models(ready, N.fit_models(ready, [N.Model("all", 1.0, held="test")], **fitting))
+    return rounded(scored.select("row_id", "score"), "score")
 
-@query("P07_confidence_probe")
+
+@query("P06_category_probe", _category_sql(), signed=("score",))
+def category_probe(spark, folder):
+    rows = V.attempts_k(spark, folder)
+    ready = P.fit_category_features(rows.where("half = 'dev'"), "relation")(rows)
+    return _test_scores(ready.withColumn("h", vector_to_array(P.FEATURES)), balanced=True, standardise=False, centre=False)
+
+
+def _confidence_sql() -> str:
+    """Three unknowns: each Newton step is solved by determinants."""
+    steps = ["""
+  , rows_ AS (SELECT a.row_id, a.half, a.correct::INT::DOUBLE AS y, s.p_all AS x1, s.p_mid AS x2 FROM attempts_k a JOIN scores s USING (row_id))
+  , m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM rows_ WHERE half = 'dev')
+  , z AS MATERIALIZED (SELECT row_id, half, y, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM rows_, m)
+  , w0 AS (SELECT 0::DOUBLE AS w1, 0::DOUBLE AS w2, 0::DOUBLE AS b)"""]
+    for k in range(PASSES):
+        steps.append(f"""
+  , p{k} AS (SELECT z1, z2, 1 / (1 + exp(-(w1 * z1 + w2 * z2 + b))) AS p, y, w1, w2 FROM z, w{k} WHERE half = 'dev')
+  , g{k} AS (SELECT any_value(w1) + sum((p - y) * z1) AS g1, any_value(w2) + sum((p - y) * z2) AS g2, sum(p - y) AS g3, 1 + sum(p * (1 - p) * z1 * z1) AS a,
+      sum(p * (1 - p) * z1 * z2) AS b_, sum(p * (1 - p) * z1) AS c, 1 + sum(p * (1 - p) * z2 * z2) AS d, sum(p * (1 - p) * z2) AS e, sum(p * (1 - p)) AS f FROM p{k})
+  , w{k + 1} AS MATERIALIZED (SELECT
+      w1 - ((d * f - e * e) * g1 + (c * e - b_ * f) * g2 + (b_ * e - c * d) * g3) / (a * (d * f - e * e) - b_ * (b_ * f - c * e) + c * (b_ * e - c * d)) AS w1,
+      w2 - ((c * e - b_ * f) * g1 + (a * f - c * c) * g2 + (b_ * c - a * e) * g3) / (a * (d * f - e * e) - b_ * (b_ * f - c * e) + c * (b_ * e - c * d)) AS w2,
+      b - ((b_ * e - c * d) * g1 + (b_ * c - a * e) * g2 + (a * d - b_ * b_) * g3) / (a * (d * f - e * e) - b_ * (b_ * f - c * e) + c * (b_ * e - c * d)) AS b
+      FROM g{k}, w{k})""")
+    return cte("attempts_k", "scores") + "".join(steps) + f"""
+  SELECT row_id, round(w1 * z1 + w2 * z2 + b, 6) AS score FROM z, w{PASSES} WHERE half = 'test'"""
+
+
+@query("P07_confidence_probe", _confidence_sql(), signed=("score",))
 def confidence_probe(spark, folder):
-    rows = P.with_vector(V.attempts_k(spark, folder).join(V.scores(spark, folder), "row_id"), "p_all", "p_mid")
-    probe = P.fit_logistic(rows.where("half = 'dev'"), F.col("correct"), 1.0, max_iter=200)
-    return _scored(probe.score(rows.where("half = 'test'")))
+    rows = V.attempts_k(spark, folder).join(V.scores(spark, folder), "row_id")
+    return _test_scores(rows.withColumn("h", F.array("p_all", "p_mid")))
 
 
 def _sparse(spark, folder, k, picked_on="true"):
@@ -144,28 +188,21 @@ def cross_fit(spark, folder):
 
 @query("P11_configuration_sweep")
 def configuration_sweep(spark, folder):
-    rows = _rows(spark, folder).withColumn("inner_fold", selection.inner_fold(n=5))
-    dev = selection.partly_known(rows.where("half = 'dev'"))
-
-    def raw(c):
-        return lambda train, test: P.fit_logistic(train, F.col("correct"), c).score(test)
-
-    results = P.sweep(dev, {f"raw-lr|C{c}": raw(c) for c in (0.0003, 0.003, 0.03)}, folds=5)
-    table = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(results)], "position int, name string, score double")
+    """All configurations and folds are fitted together."""
+    dev = selection.partly_known(V.states_k(spark, folder).where("half = 'dev'"))
+    rows = N.rows_of(dev, F.col("correct"), part=selection.inner_fold(n=5), keep=["row_id", "fact", "correct"])
+    table = N.sweep(rows, {f"raw-lr|C{c}": c for c in (0.0003, 0.003, 0.03)}, 5)
     return rounded(metrics.best_per_family(table, F.substring("name", 1, 6), "name", "score", "position"), "best", digits=4)
 
 
 @query("P12_layer_step_sweep")
 def layer_step_sweep(spark, folder):
-    """Quarters of the vector stand for layers, wordings for steps."""
-    rows = V.states_k(spark, folder)
-    sliced = rows.withColumn("layer", F.explode(F.array(*map(F.lit, range(4))))).withColumn("h", F.slice("h", F.col("layer") * 16 + 1, F.lit(16))).withColumn(
-        "step", F.col("version") % 2)
-
-    def score(slice_rows):
-        ready = P.with_vector(slice_rows, "h")
-        probe = P.fit_logistic(ready.where("half = 'dev'"), F.col("correct"), 0.01)
-        return metrics.auroc(probe.score(ready.where("half = 'test'")), "score", F.col("correct")).first()["auc"]
-
-    results = P.layer_step_sweep(sliced, [0, 1, 2, 3], [0, 1], score)
-    return rounded(spark.createDataFrame(results, "layer int, step int, auc double").groupBy("layer").pivot("step", [0, 1]).agg(F.first("auc")), "0", "1", digits=4)
+    """Quarters of the vector stand for layers, wordings for steps; all slices are fitted together."""
+    layers, steps = range(4), [0, 1]
+    quarters = F.posexplode(F.array(*[F.slice("h", layer * 16 + 1, 16) for layer in layers])).alias("layer", "h")
+    sliced = V.states_k(spark, folder).select("row_id", "half", "correct", (F.col("version") % 2).alias("step"), quarters)
+    rows = N.rows_of(sliced, F.col("correct"), slice_by=F.concat_ws("/", "layer", "step"), part=F.col("half"), keep=["row_id", "correct"])
+    per_slice = N.slice_sweep(rows, [f"{layer}/{step}" for layer in layers for step in steps], 0.01)
+    name = F.split("slice", "/")
+    per_slice = per_slice.select(F.get(name, F.lit(0)).cast("int").alias("layer"), F.get(name, F.lit(1)).cast("int").alias("step"), "auc")
+    return rounded(per_slice.groupBy("layer").pivot("step", steps).agg(F.first("auc")), "0", "1", digits=4)
