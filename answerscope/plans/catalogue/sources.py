@@ -30,7 +30,7 @@ def jsonl_sink(spark, folder):
 def atomic_overwrite(spark, folder):
     path = V.scratch(spark, "table")
     S.replace_table(V.read(spark, folder, "labels"), path)
-    S.replace_table(S.read_current(spark, path).withColumn("quality", 1 - F.col("quality")), path)
+    S.update_table(spark, path, lambda table: table.withColumn("quality", 1 - F.col("quality")))
     return S.read_current(spark, path)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,44 +30,93 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+class Conflict(Exception):
+    """Another writer published the version that this one was to become."""
+
+
+def replace_table(df: DataFrame, path: str, fmt: str = "parquet", expected: int | None = None) -> str:
     """Write a complete new version beside the old one, then point readers at it.
 
-    A version is a folder under a name of its own, and a pointer file, renamed into place after the
-    version is committed, publishes it.  A failed write leaves the old version in use, and of two
-    writers neither touches the other's files; readers take the highest number, then the name.
+    A version is a folder under a name of its own. Version n is published by the pointer file ``_current_n``,
+    which is put in place complete and only where no file of that name stands, so of two writers one gets the
+    number. A failed write leaves the old version in use. With ``expected``, the version that ``df`` was
+    made from (-1: none), a writer that finds a newer one raises ``Conflict`` and changes nothing; without it the
+    content is taken as independent of earlier versions and gets the next free number.
     Returns the path of the new version.
     """
     spark = df.sparkSession
-    jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
-    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(configuration)
-    number = max((n for n, _ in _published(files, jvm, path)), default=-1) + 1
     name = uuid.uuid4().hex
     target = f"{path}/version-{name}"
     df.write.format(fmt).save(target)
-    draft, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_next_{name}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current_{number}_{name}")
-    files.create(draft, False).close()
-    if not files.rename(draft, pointer):
-        raise OSError(f"could not publish {target}")
+    number = _newest(spark, path) + 1 if expected is None else expected + 1
+    while not _publish(spark, path, number, name):
+        if expected is not None:
+            raise Conflict(f"{path} has a version {number} by another writer")
+        number += 1
     return target
 
 
-def _published(files, jvm, path: str) -> list[tuple[int, str]]:
-    root = jvm.org.apache.hadoop.fs.Path(path)
+def update_table(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], fmt: str = "parquet", attempts: int = 10) -> str:
+    """Replace the newest version by ``change`` of it; a writer that comes second reads again and starts over."""
+    for _ in range(attempts):
+        number = _newest(spark, path)
+        try:
+            return replace_table(change(_read_version(spark, path, number, fmt)), path, fmt, number)
+        except Conflict:
+            continue
+    raise Conflict(f"{path} changed during each of {attempts} attempts")
+
+
+def _files(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def _newest(spark: SparkSession, path: str) -> int:
+    files, root = _files(spark, path)
     if not files.exists(root):
-        return []
+        return -1
     names = [s.getPath().getName() for s in files.listStatus(root)]
-    return [(int(n.split("_")[2]), n.split("_")[3]) for n in names if n.startswith("_current_")]
+    return max((int(n.removeprefix("_current_")) for n in names if n.startswith("_current_")), default=-1)
+
+
+def _publish(spark: SparkSession, path: str, number: int, name: str) -> bool:
+    """Put the pointer in place unless one of that number stands: a hard link on a local disk, elsewhere a rename, which
+    must refuse an existing target as that of HDFS does."""
+    files, _ = _files(spark, path)
+    draft, pointer = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_next_{name}", f"_current_{number}")]
+    out = files.create(draft, False)
+    out.write(bytearray(name, "ascii"))
+    out.close()
+    if files.getScheme() == "file":
+        try:
+            os.link(draft.toUri().getPath(), pointer.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            files.delete(draft, False)
+    done = not files.exists(pointer) and files.rename(draft, pointer)
+    if not done:
+        files.delete(draft, False)
+    return done
+
+
+def _read_version(spark: SparkSession, path: str, number: int, fmt: str) -> DataFrame:
+    if number < 0:
+        raise FileNotFoundError(path)
+    files, _ = _files(spark, path)
+    stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current_{number}"))
+    try:
+        name = bytes(stream.readNBytes(64)).decode("ascii")
+    finally:
+        stream.close()
+    return spark.read.format(fmt).load(f"{path}/version-{name}")
 
 
 def read_current(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The newest published version."""
-    jvm = spark._jvm
-    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    published = _published(files, jvm, path)
-    if not published:
-        raise FileNotFoundError(path)
-    return spark.read.format(fmt).load(f"{path}/version-{max(published)[1]}")
+    return _read_version(spark, path, _newest(spark, path), fmt)
 
 
 def read_name_cache(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:

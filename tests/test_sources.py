@@ -47,6 +47,32 @@ def test_two_writers_do_not_touch_each_other(spark, tmp_path):
     assert S.read_current(spark, path).count() in (5, 7)
 
 
+def test_no_update_is_lost(spark, tmp_path):
+    path = str(tmp_path / "t")
+    S.replace_table(spark.createDataFrame([(0,)], "n long"), path)
+
+    def add(_):
+        S.update_table(spark, path, lambda t: t.select((F.col("n") + 1).alias("n")), attempts=50)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(8)))
+    assert S.read_current(spark, path).first().n == 8
+    assert len(list((tmp_path / "t").glob("_current_*"))) == 9 and not list((tmp_path / "t").glob("_next_*"))
+
+
+def test_a_writer_on_an_old_version_is_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    S.replace_table(spark.range(3), path, expected=-1)
+    with pytest.raises(S.Conflict):
+        S.replace_table(spark.range(9), path, expected=-1)
+    S.replace_table(spark.range(4), path, expected=0)
+    assert S.read_current(spark, path).count() == 4
+    with pytest.raises(S.Conflict, match="attempts"):
+        S.update_table(spark, path, lambda t: (S.replace_table(spark.range(1), path), t)[1], attempts=2)
+    with pytest.raises(FileNotFoundError):
+        S.update_table(spark, str(tmp_path / "none"), lambda t: t)
+
+
 @pytest.mark.parametrize("text", ['{"a": 1}\n{"a": \n', '{"a": "x"}\n'])
 def test_malformed_lines_fail(spark, tmp_path, text):
     (tmp_path / "x.jsonl").write_text(text)
