@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from answerscope.functions import vectors as V
 from answerscope.operators import order
+from answerscope.operators.dictionaries import Dictionary, encode, reconstruct, remove_features  # noqa: F401
 from answerscope.operators.order import ALL, keyed
 
-MAX_DICTIONARY = 131_072  # entries of a feature dictionary that may be sent to every task
-
 
 def _vec(column: str | Column) -> Column:
     c = F.col(column) if isinstance(column, str) else column
@@ -204,74 +203,7 @@ def donor_distance(targets: DataFrame, states: DataFrame, donor: str = "donor",
     return pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_distance"))
 
 
-# ---- feature dictionaries ---------------------------------------------------
-class Dictionary:
-    """Encoder and decoder matrices of a sparse feature dictionary, sent once to every executor.
-
-    Its size is the model's, not the data's, and is checked before it is fetched.
-    """
-
-    def __init__(self, table: DataFrame, b_dec: Sequence[float], max_entries: int = MAX_DICTIONARY):
-        """``table``: latent, w_enc array, b_enc, threshold, w_dec array."""
-        found = table.limit(max_entries + 1).toPandas().sort_values("latent")
-        if len(found) > max_entries:
-            raise ValueError(f"dictionary has more than {max_entries} entries")
-        self.latents = found["latent"].to_numpy()
-        self.parameters = {
-            "latent": self.latents,
-            "w_enc": np.stack(found["w_enc"].map(np.asarray)).astype(np.float64),
-            "b_enc": found["b_enc"].to_numpy(np.float64),
-            "threshold": found["threshold"].to_numpy(np.float64),
-            "w_dec": np.stack(found["w_dec"].map(np.asarray)).astype(np.float64),
-            "b_dec": np.asarray(b_dec, np.float64),
-        }
-        self.shared = table.sparkSession.sparkContext.broadcast(self.parameters)
-
-    def basis(self, latents: Sequence[int]) -> np.ndarray:
-        """Orthonormal basis [dim, K] of the unit decoder rows of a few features."""
-        where = np.searchsorted(self.latents, np.asarray(latents))
-        w = self.parameters["w_dec"][where]
-        return np.linalg.qr((w / np.linalg.norm(w, axis=1, keepdims=True)).T)[0]
-
-
-def _activations(x: np.ndarray, p: dict) -> np.ndarray:
-    pre = (x - p["b_dec"]) @ p["w_enc"].T + p["b_enc"]
-    return np.where(pre > p["threshold"], pre, 0.0)
-
-
-def encode(states: DataFrame, dictionary: Dictionary, vector: str = "h", row_id: str = "row_id") -> DataFrame:
-    """Active features only, as (row_id, latent, a)."""
-    shared = dictionary.shared
-
-    def run(batches):
-        p = shared.value
-        for batch in batches:
-            if len(batch):
-                a = _activations(np.stack(batch[vector].to_numpy()).astype(np.float64), p)
-                at_row, at_latent = np.nonzero(a)
-                yield pd.DataFrame({"row_id": batch[row_id].to_numpy()[at_row], "latent": p["latent"][at_latent], "a": a[at_row, at_latent]})
-
-    return states.select(row_id, vector).mapInPandas(run, "row_id long, latent int, a double")
-
-
-def reconstruct(states: DataFrame, dictionary: Dictionary, vector: str = "h") -> DataFrame:
-    """Reconstruction r, residual e = h - r, and the row's count of active features; other columns stay."""
-    shared = dictionary.shared
-    kept = [f for f in states.schema.fields if f.name not in ("r", "e", "active")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", r array<double>, e array<double>, active long"
-
-    def run(batches):
-        p = shared.value
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch[vector].to_numpy()).astype(np.float64)
-                a = _activations(x, p)
-                r = a @ p["w_dec"] + p["b_dec"]
-                yield batch.assign(r=list(r), e=list(x - r), active=(a > 0).sum(1))
-
-    return states.select(*[f.name for f in kept]).mapInPandas(run, schema)
-
-
+# ---- feature dictionaries, see ``dictionaries`` --------------------------------
 def unexplained_share(reconstructed: DataFrame, vector: str = "h") -> DataFrame:
     """Sum |h - r|^2 / sum |h - mean h|^2 and the mean cosine of h and r.
 
@@ -320,23 +252,6 @@ def remove_basis(states: DataFrame, basis: np.ndarray, vector: str = "h") -> Dat
     return states.withColumn(vector, project_out(F.col(vector)))
 
 
-def remove_features(states: DataFrame, dictionary: Dictionary, latents: Sequence[int], vector: str = "h") -> DataFrame:
-    """H minus what the chosen features themselves contribute to its reconstruction."""
-    shared = dictionary.shared
-    chosen = sorted(int(x) for x in latents)
-
-    @F.pandas_udf("array<double>")
-    def take_off(h: pd.Series) -> pd.Series:
-        p = shared.value
-        where = np.searchsorted(p["latent"], chosen)
-        x = np.stack(h.to_numpy()).astype(np.float64)
-        pre = (x - p["b_dec"]) @ p["w_enc"][where].T + p["b_enc"][where]
-        a = np.where(pre > p["threshold"][where], pre, 0.0)
-        return pd.Series(list(x - a @ p["w_dec"][where]))
-
-    return states.withColumn(vector, take_off(F.col(vector)))
-
-
 def edit_effect(before: DataFrame, after: DataFrame, latents: Sequence[int], n_rows: DataFrame) -> DataFrame:
     """Share ON and mean activation of a feature set before and after an edit."""
     total = n_rows.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()

@@ -234,7 +234,7 @@ def remove_features(spark, folder):
   SELECT draw, round(avg(p * p / n), 6) AS energy FROM s GROUP BY draw""")
 def removed_energy(spark, folder):
     d = dictionary(spark, folder)
-    return rounded(O.removed_share(V.states(spark, folder), {int(i): d.basis([i]) for i in d.latents}), "energy")
+    return rounded(O.removed_share(V.states(spark, folder), d.bases({i: [i] for i in d.latents})), "energy")
 
 
 @query("V15_edit_effect", _DIMS + _DICT + """
@@ -310,7 +310,7 @@ def size_matched(spark, folder):
     draws = K.matched_random_features(rates, wanted, wanted, 2000, strict=False)
     sets = {r["draw"]: sorted(r["l"]) for r in draws.where("latent is not null").groupBy("draw").agg(F.collect_list("latent").alias("l")).collect()}
     target = O.removed_share(rows, {0: d.basis(sorted(r["latent"] for r in wanted.collect()))}).select("energy").scalar()
-    energy = O.removed_share(rows, {int(k): d.basis(v) for k, v in sets.items()})
+    energy = O.removed_share(rows, d.bases({int(k): v for k, v in sets.items()}))
     return K.size_matched_draws(draws, energy, target, tolerance=0.5, strict=False)
 
 

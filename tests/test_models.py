@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from answerscope.operators import dictionaries
 from answerscope.operators import features as K
 from answerscope.operators import outcomes as O
 from answerscope.operators import probes as P
@@ -127,8 +128,15 @@ def dictionary(spark):
     return V.Dictionary(table, rng.normal(size=6) / 5)
 
 
-def test_encode_and_reconstruct(table, states, dictionary):
-    p, x = dictionary.parameters, np.stack(states.h)
+@pytest.mark.parametrize("settings", [{}, {"block_bytes": 96}, {"block_bytes": 192, "broadcast_bytes": 0}])
+def test_encode_and_reconstruct(table, states, dictionary, settings, monkeypatch):
+    """One block; a block for each feature or so, broadcast; several features a block, shuffled. Packs hold ten rows."""
+    if settings:
+        monkeypatch.setattr(dictionaries, "PACK_BYTES", 480)
+        dictionary = V.Dictionary(dictionary.table, dictionary.b_dec, **settings)
+        assert dictionary.n_blocks > 8 and dictionary.small == ("broadcast_bytes" not in settings)
+    found, x = dictionary.features(dictionary.latents), np.stack(states.h)
+    p = {c: np.stack(found[c].to_list()) for c in ("w_enc", "w_dec", "b_enc", "threshold")} | {"b_dec": dictionary.b_dec}
     a = (x - p["b_dec"]) @ p["w_enc"].T + p["b_enc"]
     a = np.where(a > p["threshold"], a, 0)
     got = np.zeros_like(a)
@@ -140,6 +148,20 @@ def test_encode_and_reconstruct(table, states, dictionary):
     assert fvu.fvu == pytest.approx(((x - recon) ** 2).sum() / ((x - x.mean(0)) ** 2).sum())
 
 
+def test_dictionary_inputs(spark, dictionary):
+    rows = spark.createDataFrame([(1, [0.0] * 6), (2, None)], "row_id long, h array<double>")
+    out = V.reconstruct(rows, dictionary).collect()
+    assert [r.row_id for r in out] == [1] and {r.row_id for r in V.encode(rows, dictionary).collect()} <= {1}
+    assert V.encode(rows.limit(0), dictionary).count() == 0 and V.reconstruct(rows.limit(0), dictionary).count() == 0
+    with pytest.raises(Exception, match="6 components"):
+        V.encode(rows.withColumn("h", F.array(F.lit(1.0))), dictionary).collect()
+    with pytest.raises(KeyError, match="99"):
+        dictionary.basis([1, 99])
+    single = V.Dictionary(dictionary.table.withColumn("w_enc", F.col("w_enc").cast("array<float>")), dictionary.b_dec)
+    assert single.dtype == np.float32 and np.allclose(
+        [r.e for r in V.reconstruct(rows, single).collect()], [r.e for r in out], atol=1e-5)
+
+
 def test_removed_energy(table, states, dictionary):
     q = dictionary.basis([1, 4, 7])
     assert np.allclose(q.T @ q, np.eye(3))
