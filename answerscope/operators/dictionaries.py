@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from answerscope.session import cut_lineage
 BLOCK_BYTES = 32 << 20  # encoder and decoder rows of one block
 PACK_BYTES = 4 << 20  # vectors of one pack of rows
 BROADCAST_BYTES = 32 << 20  # a dictionary up to this size is sent to every executor
+MOMENT_VALUES = 1 << 19  # values of one block of rows of the moment matrix
 
 
 class Dictionary:
@@ -198,3 +201,62 @@ def remove_features(states: DataFrame, dictionary: Dictionary, latents: Sequence
         return pd.Series(list(x - _active(x, *given) @ decoder))
 
     return states.withColumn(vector, take_off(F.col(vector)))
+
+
+def direction_moments(states: DataFrame, width: int, vector: str = "h") -> DataFrame:
+    """(block, sums): rows of the mean of hh' / |h|^2, added up in one pass; vectors of zeros count for nothing."""
+    lines = max(1, MOMENT_VALUES // width)
+    source = states.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"))
+
+    def run(batches):
+        total, n = np.zeros((width, width)), 0
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            size = np.einsum("ij,ij->i", x, x)
+            x = x[size > 0] / np.sqrt(size[size > 0])[:, None]
+            total += x.T @ x
+            n += len(x)
+        if n:
+            for block, first in enumerate(range(0, width, lines)):
+                sums = np.append(total[first:first + lines].ravel(), n)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sums], pa.list_(pa.float64()))], ["block", "sums"])
+
+    partial = source.mapInArrow(run, "block int, sums array<double>")
+    return partial.groupBy("block").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+
+
+def set_energy(states: DataFrame, dictionary: Dictionary, sets: DataFrame, by: str = "draw", vector: str = "h") -> DataFrame:
+    """(draw, energy): mean share of |h|^2 that the decoder rows of each set of features span.
+
+    The states are read once, whatever the number of sets: with S the moment matrix, U the unit decoder rows of a
+    set and V = US, the share is trace((UU')^-1 UV'). ``sets`` is (draw, latent) and stays a table; a task holds one set.
+    """
+    width = dictionary.width
+    named = sets.select(by, "latent").where(F.col("latent").isNotNull()).distinct()
+    used = dictionary.table.select("latent", "w_dec").join(named.select("latent").distinct(), "latent", "left_semi")
+    moments = cut_lineage(direction_moments(states, width, vector))
+    n_blocks = -(-width // max(1, MOMENT_VALUES // width))
+    spread = _packs(used, "w_dec", ["latent"], width).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+
+    def products(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sums = batch.column("sums")[i].values.to_numpy(zero_copy_only=False)
+                u = _vectors(batch.column("x")[i].as_py(), width)
+                u = u / np.linalg.norm(u, axis=1, keepdims=True)
+                v = u @ (sums[:-1].reshape(-1, width) / sums[-1]).T
+                latents = batch.column("info")[i].values.flatten()[0].cast(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [latents, pa.array([batch.column("block")[i].as_py()] * len(u), pa.int32()), pa.array(list(v), pa.list_(pa.float64()))], ["latent", "block", "v"])
+
+    pieces = spread.join(moments, "block").select("block", "x", "info", "sums").mapInArrow(products, "latent long, block int, v array<double>")
+    whole = pieces.groupBy("latent").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "v"))), lambda p: p["v"])).alias("v"))
+    joined = named.join(used.select("latent", "w_dec"), "latent").join(whole, "latent")
+    kind = named.schema[by].dataType.simpleString()
+
+    def energy(rows: pd.DataFrame) -> pd.DataFrame:
+        u, v = [np.stack([np.asarray(x, np.float64) for x in rows[c]]) for c in ("w_dec", "v")]
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        return pd.DataFrame({by: [rows[by].iloc[0]], "energy": [float(np.trace(np.linalg.solve(u @ u.T, u @ v.T)))]})
+
+    return joined.groupBy(by).applyInPandas(energy, f"`{by}` {kind}, energy double")

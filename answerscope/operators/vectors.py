@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from answerscope.functions import vectors as V
 from answerscope.operators import order
-from answerscope.operators.dictionaries import Dictionary, encode, reconstruct, remove_features  # noqa: F401
+from answerscope.operators.dictionaries import Dictionary, encode, reconstruct, remove_features, set_energy  # noqa: F401
 from answerscope.operators.order import ALL, keyed
 
 

@@ -13,7 +13,7 @@ from answerscope.session import cut_lineage
 _VIEW = cte("states_k", "acts")
 
 
-def _contrast_sql(a: str, b: str, name: str = "con") -> str:
+def contrast_sql(a: str, b: str, name: str = "con") -> str:
     """One row per latent with the firing rates, moments and contrasts of two row groups."""
     def n(c):
         return f"(SELECT count(*)::DOUBLE FROM states_k WHERE {c})"
@@ -26,7 +26,7 @@ def _contrast_sql(a: str, b: str, name: str = "con") -> str:
       FROM acts JOIN states_k USING (row_id) GROUP BY latent))"""
 
 
-_CB = _VIEW + ", " + _contrast_sql("correct", "kind = 'broken'")
+_CB = _VIEW + ", " + contrast_sql("correct", "kind = 'broken'")
 
 
 def _cb(spark, folder):
@@ -82,13 +82,13 @@ def gap_z(spark, folder):
     return rounded(rounded(out, "gap"), "t", digits=5)
 
 
-@query("K07_log_ratio", _VIEW + ", " + _contrast_sql("kind = 'broken'", "kind = 'entity'") + " SELECT latent, round(log_ratio, 6) AS log_ratio FROM con", signed=('log_ratio',))
+@query("K07_log_ratio", _VIEW + ", " + contrast_sql("kind = 'broken'", "kind = 'entity'") + " SELECT latent, round(log_ratio, 6) AS log_ratio FROM con", signed=('log_ratio',))
 def log_ratio(spark, folder):
     out = K.contrast(V.acts(spark, folder), V.states(spark, folder), F.col("kind") == "broken", F.col("kind") == "entity")
     return rounded(out.select("latent", "log_ratio"), "log_ratio")
 
 
-@query("K08_maxmin_types", _VIEW + ", " + _contrast_sql("correct", "kind = 'broken'", "cb") + ", " + _contrast_sql("correct", "kind = 'entity'", "ce") + """
+@query("K08_maxmin_types", _VIEW + ", " + contrast_sql("correct", "kind = 'broken'", "cb") + ", " + contrast_sql("correct", "kind = 'entity'", "ce") + """
   SELECT latent, round(least(cb.separation, ce.separation), 6) AS positive_side, round(least(-cb.separation, -ce.separation), 6) AS negative_side FROM cb JOIN ce USING (latent)""", signed=('positive_side', 'negative_side'))
 def maxmin_types(spark, folder):
     out = K.worst_case_over_types(V.acts(spark, folder), V.states(spark, folder), F.col("correct"), {t: F.col("kind") == t for t in ("broken", "entity")})
@@ -192,7 +192,7 @@ _EXTREME = {
 def _extreme_sql() -> str:
     parts, out = [], []
     for i, (name, (a, b)) in enumerate(_EXTREME.items()):
-        parts.append(f""", {_contrast_sql(a, b, f"c{i}")}
+        parts.append(f""", {contrast_sql(a, b, f"c{i}")}
   , p{i} AS (SELECT latent, -1 AS side FROM (SELECT latent FROM c{i} WHERE rate <= 0.5 AND rate_a >= 0.05 ORDER BY round(separation, 9) DESC, latent LIMIT 20)
              UNION ALL SELECT latent, 1 FROM (SELECT latent FROM c{i} WHERE rate <= 0.5 AND rate_b >= 0.05 ORDER BY round(separation, 9), latent LIMIT 20))
   , s{i} AS (SELECT row_id, coalesce(sum(side), 0)::DOUBLE AS score FROM states_k LEFT JOIN (SELECT row_id, side FROM acts JOIN p{i} USING (latent)) USING (row_id) GROUP BY row_id)

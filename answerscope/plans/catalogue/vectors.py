@@ -10,6 +10,7 @@ from answerscope.operators import metrics, selection
 from answerscope.operators import vectors as O
 from answerscope.operators.order import attach_one_row
 from answerscope.plans import views as V
+from answerscope.plans.catalogue.features import contrast_sql
 from answerscope.plans.catalogue.registry import query, rounded
 from answerscope.plans.views import cte, sql_hash
 from answerscope.session import cut_lineage
@@ -45,10 +46,10 @@ _RECON = _DICT + """
           LEFT JOIN (SELECT row_id, dim, sum(a * w) AS s FROM enc JOIN w USING (latent) GROUP BY ALL) s USING (row_id, dim))"""
 
 
-def dictionary(spark, folder):
+def dictionary(spark, folder, latent="label"):
     rows = V.states(spark, folder)
-    means = O.mean_vectors(rows, ["label"])
-    table = means.select(F.col("label").alias("latent"), F.col("mean").alias("w_enc"), F.lit(0.0).alias("b_enc"), F.lit(0.002).alias("threshold"), F.col("mean").alias("w_dec"))
+    means = O.mean_vectors(rows.withColumn("latent", F.expr(latent)), ["latent"])
+    table = means.select("latent", F.col("mean").alias("w_enc"), F.lit(0.0).alias("b_enc"), F.lit(0.002).alias("threshold"), F.col("mean").alias("w_dec"))
     return O.Dictionary(table, O.mean_vectors(rows).first()["mean"])
 
 
@@ -298,20 +299,47 @@ def logit_summary(spark, folder):
     return rounded(O.logit_summary(e, "logits").select("row_id", "top_logprob", "margin"), "top_logprob", "margin")
 
 
-@query("K18_size_matched")
+SIZE_DRAWS = 2000
+_FINE = "label * 5 + version"  # a dictionary of fifty features, so that deciles hold unused ones
+
+
+def _size_matched_sql() -> str:
+    """The wanted features and their draws are two at most, so the inverse of a set's Gram matrix is written out."""
+    pool = sql_hash("'5:' || draw || ':' || latent")
+    return _DIMS + _DICT.replace("label AS latent", f"{_FINE} AS latent") + ", acts AS (SELECT row_id, latent, a FROM enc), " + contrast_sql("correct", "kind = 'broken'") + f"""
+  , edges AS (SELECT quantile_cont(rate, [.1, .2, .3, .4, .5, .6, .7, .8, .9]) AS q FROM con WHERE rate > 0.01)
+  , placed AS (SELECT latent, rate, len(list_filter(q, lambda x: x <= rate))::INT AS decile FROM con, edges)
+  , wanted AS (SELECT latent FROM con ORDER BY round(separation, 9), latent LIMIT 2)
+  , need AS (SELECT decile, latent AS for_latent, row_number() OVER (PARTITION BY decile ORDER BY latent) AS place FROM placed SEMI JOIN wanted USING (latent))
+  , pool AS (SELECT draw, decile, latent, row_number() OVER (PARTITION BY decile, draw ORDER BY {pool}, latent) AS place
+             FROM (SELECT *, unnest(range({SIZE_DRAWS}))::INT AS draw FROM placed WHERE rate > 0.01 AND latent NOT IN (SELECT latent FROM wanted)))
+  , drawn AS (SELECT d.draw, for_latent, pool.latent, need.decile FROM (SELECT unnest(range({SIZE_DRAWS}))::INT AS draw) d CROSS JOIN need
+              LEFT JOIN pool ON pool.draw = d.draw AND pool.decile = need.decile AND pool.place = need.place)
+  , u AS (SELECT latent, dim, w / sqrt(sum(w * w) OVER (PARTITION BY latent)) AS u FROM w)
+  , p AS (SELECT row_id, latent, sum(x * u) AS p, sum(x * x) AS n FROM dims JOIN u USING (dim) GROUP BY ALL)
+  , m AS (SELECT a.latent AS i, b.latent AS j, avg(a.p * b.p / a.n) AS m FROM p a JOIN p b USING (row_id) WHERE a.n > 0 GROUP BY ALL)
+  , g AS (SELECT a.latent AS i, b.latent AS j, sum(a.u * b.u) AS g FROM u a JOIN u b USING (dim) GROUP BY ALL)
+  , sets AS (SELECT draw, min(latent) AS i, max(latent) AS j FROM drawn WHERE latent IS NOT NULL GROUP BY draw UNION ALL SELECT -1, min(latent), max(latent) FROM wanted)
+  , energy AS (SELECT draw, CASE WHEN s.i = s.j THEN mi.m ELSE (mi.m + mj.m - 2 * g.g * mij.m) / (1 - g.g * g.g) END AS energy
+               FROM sets s JOIN m mi ON mi.i = s.i AND mi.j = s.i JOIN m mj ON mj.i = s.j AND mj.j = s.j JOIN m mij ON mij.i = s.i AND mij.j = s.j JOIN g ON g.i = s.i AND g.j = s.j)
+  , target AS (SELECT energy AS t FROM energy WHERE draw = -1)
+  SELECT * FROM drawn WHERE draw = (SELECT min(draw) FROM energy, target WHERE draw >= 0 AND abs(energy - t) <= 0.15::DOUBLE * t)"""
+
+
+@query("K18_size_matched", _size_matched_sql())
 def size_matched(spark, folder):
     """Random features of the same firing decile whose removal takes about as much of |h|^2 as the wanted ones.
 
-    The dictionary of these tables has ten features, so draws are few and the tolerance is wide."""
-    rows, d = V.states_k(spark, folder), dictionary(spark, folder)
+    Nothing is returned where no draw passes."""
+    rows, d = V.states_k(spark, folder), dictionary(spark, folder, _FINE)
     acts = O.encode(rows, d)
-    rates = K.contrast(acts, rows, F.col("correct"), F.col("kind") == "broken").select("latent", "rate", F.round("separation", 9).alias("separation"))
+    rates = cut_lineage(K.contrast(acts, rows, F.col("correct"), F.col("kind") == "broken").select("latent", "rate", F.round("separation", 9).alias("separation")))
     wanted = K.top_features(rates, "separation", 2, descending=False).select("latent")
-    draws = K.matched_random_features(rates, wanted, wanted, 2000, strict=False)
-    sets = {r["draw"]: sorted(r["l"]) for r in draws.where("latent is not null").groupBy("draw").agg(F.collect_list("latent").alias("l")).collect()}
-    target = O.removed_share(rows, {0: d.basis(sorted(r["latent"] for r in wanted.collect()))}).select("energy").scalar()
-    energy = O.removed_share(rows, d.bases({int(k): v for k, v in sets.items()}))
-    return K.size_matched_draws(draws, energy, target, tolerance=0.5, strict=False)
+    draws = cut_lineage(K.matched_random_features(rates, wanted, wanted, SIZE_DRAWS, strict=False))
+    every = draws.select("draw", "latent").unionByName(wanted.select(F.lit(-1).alias("draw"), "latent"))
+    energy = cut_lineage(O.set_energy(rows, d, every))
+    target = energy.where("draw = -1").select("energy").scalar()
+    return K.size_matched_draws(draws, energy.where("draw >= 0"), target, strict=False)
 
 
 @query("V05_summed_vectors", _DIMS + "SELECT kind, dim, round(sum(x), 6) AS v FROM dims GROUP BY ALL", signed=("v",))

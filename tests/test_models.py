@@ -172,6 +172,17 @@ def test_removed_energy(table, states, dictionary):
     assert np.allclose(left @ q, 0) and np.allclose(left, x - x @ q @ q.T)
 
 
+@pytest.mark.parametrize("values", [1 << 19, 12])
+def test_set_energy(spark, table, dictionary, values, monkeypatch):
+    monkeypatch.setattr(dictionaries, "MOMENT_VALUES", values)
+    sets = {0: [1, 4, 7], 1: [2], 2: [3, 4]}
+    drawn = spark.createDataFrame([(d, x) for d, s in sets.items() for x in s] + [(2, 3), (3, None)], "draw int, latent long")
+    more = table.select("h").unionByName(spark.createDataFrame([([0.0] * 6,), (None,)], "h array<double>"))
+    got = {r.draw: r.energy for r in V.set_energy(more, dictionary, drawn).collect()}
+    expected = {r.draw: r.energy for r in V.removed_share(table, dictionary.bases(sets)).collect()}
+    assert got == pytest.approx(expected)
+
+
 def test_matched_and_size_matched(spark, table, dictionary):
     acts = V.encode(table, dictionary)
     rates = K.contrast(acts, table, F.col("correct"), F.col("kind") == "broken").select("latent", "rate")
