@@ -7,15 +7,18 @@
    of both (prefix); the frequent postings, which are the long lists, are never merged (skip).
    For a pair at the threshold the collisions are binomial (32, 0.85): fewer than 16 happen
    about once in two million pairs.
-3. Lists are merged in two steps, not by all pairs of a list. First the list's hub, the member
-   with the fewest shingles of its own, meets every member, and links are joined to components.
-   Then only members of different components meet, and only if they can be similar at all:
-   with c = (1 - s) / (1 + s), two sets of similarity s or more differ in c * (n + n') shingles
-   at most, and they differ in at least |m - m'| + u + u', where m counts the hub's shingles
-   that a member lacks and u those that no other member of crowded lists has. The bound is
-   tested between cells of equal (m, u, n) first, so a crowded list costs its distinct cells
-   and the pairs that pass; no pair that could be a link is left out. Pairs that pass need
-   ``MATCHES`` collisions and are confirmed by the exact intersection.
+3. Lists are merged in steps, not by all pairs of a list. First the list's hub, the member with
+   the most collisions in all its lists, meets every member, and links are joined to components.
+   Where many members of a hub's lists are not joined with it, they elect a hub of their own, as
+   long as a tenth of them links to it. Then only members of different components meet, by their
+   differences from the hub: with c = (1 - s) / (1 + s), sets of similarity s or more differ in
+   c * (n + n') shingles at most, and if x and y differ from the hub in dx and dy shingles, they
+   differ in dx + dy less twice the differences they share. Of two members of different
+   components one is not linked to the hub, so dx + dy is over the bound and a link needs shared
+   differences: the two meet in the least frequent of them (prefix) and only where the positions
+   leave enough to share. So what all copies have in common is never merged, and no pair that
+   could be a link is left out. Pairs that pass need ``MATCHES`` collisions and are confirmed by
+   the exact intersection.
 4. Components come from alternating large-star and small-star steps over the links.
 
 Nulls and empties: a null or blank text has the empty set, is linked with nothing and is its
@@ -41,7 +44,7 @@ WIDTH = 5
 COORDINATES = 32
 MATCHES = 16
 PERCENT = 85
-CROWDED = 32  # members of a posting list from which shingles of one's own are counted
+CROWDED = 32  # members of a hub's lists not joined with it from which they elect another hub
 NAMELESS = 1 << 62  # nodes without any doc_id are numbered from here
 
 _MULTIPLY = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -127,39 +130,71 @@ def _may_be_similar(n_a: Column, n_b: Column, differ: Column) -> Column:
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT) & (differ * (100 + PERCENT) <= (n_a + n_b) * (100 - PERCENT))
 
 
+def _with_comps(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """``groups`` with the components of the hub and of the node."""
+    of_hub = comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    groups = groups.join(comps, "node", "left").join(of_hub, "hub", "left")
+    return groups.withColumn("comp", F.coalesce("comp", "node")).withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
+
+
+def _further_hubs(groups: DataFrame, comps: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after crowds of members that are not joined with their hub have met hubs of their own."""
+    open_ = scratch.keep(_with_comps(groups, comps).where("comp <> hub_comp").select("hub", "node", "seen"))
+    while True:
+        heads = open_.groupBy("hub").agg(F.count("*").alias("held"), F.min(F.struct((-F.col("seen")).alias("seen"), "node")).alias("h"))
+        heads = scratch.keep(heads.where(F.col("held") > CROWDED).select("hub", F.col("h.node").alias("head")))
+        if heads.isEmpty():
+            return comps
+        turn = open_.join(heads, "hub").where("node <> head")
+        met = _with_common(turn.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), members)
+        links = scratch.keep(met.where(_similar(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+        won = turn.join(links.select(F.col("a").alias("head"), F.col("b").alias("node"), F.lit(1).alias("won")), ["head", "node"], "left").select("hub", "node", "seen", F.coalesce("won", F.lit(0)).alias("won"))
+        won = scratch.keep(won)
+        goes_on = won.groupBy("hub").agg(F.sum("won").alias("links"), F.count("*").alias("held")).where("links * 10 >= held").select("hub")
+        open_ = scratch.keep(won.where("won = 0").join(goes_on, "hub").select("hub", "node", "seen"))
+        comps = components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))), scratch)
+
+
+def _differences(groups: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hub, shingle, main, node, n, d, comp, place): the differences from the hub in which a node may meet others.
+
+    Differences go from the least to the most frequent of their hub; ``place`` counts them from 0 and
+    ``main`` is the component that most nodes with this difference belong to.
+    """
+    both = groups.join(members.withColumnsRenamed({"node": "hub", "members": "of_hub"}), "hub").join(members, "node")
+    apart = F.concat(F.array_except("members", "of_hub"), F.array_except("of_hub", "members"))
+    each = scratch.keep(both.select("hub", "node", "comp", F.explode(apart).alias("shingle")))
+    counts = each.groupBy("hub", "shingle", "comp").agg(F.count("*").alias("f"))
+    counts = counts.groupBy("hub", "shingle").agg(F.max(F.struct("f", "comp")).alias("m"), F.sum("f").alias("f"), F.count("*").alias("comps")).where("f > 1")
+    counts = counts.select("hub", "shingle", "f", F.when(F.col("comps") > 1, F.col("m.comp")).alias("main"))
+    held = each.join(counts, ["hub", "shingle"], "left").groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "shingle", "main"))).alias("held"))
+    # a link of a node near the hub is to one that is not; any other node shares all but T differences with its partner
+    near = F.expr(f"(d * {100 + PERCENT} + (n - n_hub) * {100 - PERCENT}) div {2 * (100 + PERCENT)}")
+    prefix = F.when(F.col("near"), near).otherwise(F.expr(f"n * {100 - PERCENT} div {PERCENT}")) + 1
+    held = held.join(groups, ["hub", "node"]).select("hub", "node", "n", "d", "comp", F.posexplode(F.slice("held", F.lit(1), prefix.cast("int"))).alias("place", "h"))
+    return scratch.keep(held.where("h.main IS NOT NULL").select("hub", "h.shingle", "h.main", "node", "n", "d", "comp", "place"))
+
+
 def _links(lists: DataFrame, sets: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of the nodes that are not the least of their component."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    entries = scratch.keep(lists.join(sizes, "key"))
-    crowd = entries.where(F.col("held") > CROWDED).select("node").distinct()
-    of_crowd = members.join(crowd, "node", "left_semi").select("node", F.explode("members").alias("shingle"))
-    own = of_crowd.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    entries = entries.join(own, "node", "left").select("key", "node", F.when(F.col("held") > CROWDED, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).alias("u"))
-    entries = scratch.keep(entries)
-    hubs = entries.groupBy("key").agg(F.min(F.struct("u", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-    entries = scratch.keep(entries.join(hubs, "key"))
-    met = scratch.keep(_with_common(entries.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), members))
-    edges = met.where(_similar(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-    comps = components(edges, scratch)
-
-    rest = entries.where("node <> hub").join(met.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), (F.col("n_a") - F.col("common")).alias("m")), ["hub", "node"])
-    rest = scratch.keep(rest.join(comps, "node", "left").select("key", "node", "u", "n", "m", F.coalesce("comp", "node").alias("comp")))
-    shared_keys = entries.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    several = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = scratch.keep(rest.join(several, "key").join(shared_keys, "node"))
-    cell = ["u", "n", "m"]
-    cells = rest.groupBy("key", *cell).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    left = cells.select("key", *[F.col(c).alias(f"{c}_a") for c in (*cell, "lo", "hi")])
-    right = cells.select("key", *[F.col(c).alias(f"{c}_b") for c in (*cell, "lo", "hi")])
-    differ = F.col("u_a") + F.col("u_b") + F.abs(F.col("m_a") - F.col("m_b"))
-    one_comp = (F.col("lo_a") == F.col("hi_b")) & (F.col("hi_a") == F.col("lo_b"))
-    in_order = F.struct("u_a", "n_a", "m_a") <= F.struct(F.col("u_b").alias("u_a"), F.col("n_b").alias("n_a"), F.col("m_b").alias("m_a"))
-    passing = left.join(right, "key").where(in_order & ~one_comp & _may_be_similar(F.col("n_a"), F.col("n_b"), differ))
-    ends = {e: rest.select("key", *[F.col(c).alias(f"{c}_{e}") for c in cell], F.col("node").alias(e), F.col("comp").alias(f"comp_{e}"), F.col("keys").alias(f"keys_{e}")) for e in ("a", "b")}
-    # a pair that shares several lists is met in the first of them
-    first_list = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    pairs = passing.join(ends["a"], ["key", "u_a", "n_a", "m_a"]).join(ends["b"], ["key", "u_b", "n_b", "m_b"]).where((F.col("comp_a") != F.col("comp_b")) & first_list)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    hubs = lists.groupBy("key").agg(F.count("*").alias("held"), F.min(F.struct((-F.col("seen")).alias("seen"), "node")).alias("h")).where("held > 1")
+    stars = scratch.keep(lists.join(hubs.select("key", F.col("h.node").alias("hub")), "key").where("node <> hub").select("hub", "node", "seen").distinct())
+    met = scratch.keep(_with_common(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), members))
+    near = _similar(F.col("common"), F.col("n_a"), F.col("n_b"))
+    comps = components(met.where(near).select("a", "b"), scratch)
+    groups = met.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("n_a").alias("n_hub"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"), near.alias("near"))
+    comps = _further_hubs(stars, comps, members, scratch)
+
+    rest = scratch.keep(_with_comps(groups, comps).drop("hub_comp"))
+    several = rest.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hub")
+    shared = _differences(rest.join(several, "hub"), members, scratch)
+    # of two members of different components one at least is not of the main one
+    left, right = (shared.select("hub", "shingle", *[F.col(c).alias(f"{c}_{e}") for c in ("main", "node", "n", "d", "comp", "place")]) for e in ("a", "b"))
+    once = (F.col("comp_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
+    in_common = F.least(F.col("d_a") - F.col("place_a"), F.col("d_b") - F.col("place_b"))  # if this is the first they share
+    differ = F.col("d_a") + F.col("d_b") - 2 * in_common
+    pairs = left.where("comp_a <> main_a").join(right, ["hub", "shingle"]).where((F.col("comp_a") != F.col("comp_b")) & once & _may_be_similar(F.col("n_a"), F.col("n_b"), differ))
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     # values carry their coordinate, so their intersection counts collisions
     signed = pairs.join(_side(sets, "a", "n_sig"), "a").join(_side(sets, "b", "n_sig"), "b")
     pairs = signed.where(F.size(F.array_intersect("n_sig_a", "n_sig_b")) >= MATCHES).select("a", "b")
@@ -178,9 +213,9 @@ def _grouped(docs: DataFrame, scratch: Scratch, node: Column) -> tuple[DataFrame
     sets = scratch.keep(sets)
     postings = sets.select("node", F.explode("n_sig").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = postings.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"))
+    ranked = postings.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"), F.sum("n").alias("seen"))
     ranked = ranked.where(F.size("held") >= MATCHES)
-    lists = ranked.select("node", F.explode(F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))).alias("p")).select("node", "p.key")
+    lists = ranked.select("node", "seen", F.explode(F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))).alias("p")).select("node", "seen", "p.key")
     lists = scratch.keep(lists)
     wanted = sets.join(lists.select("node").distinct(), "node", "left_semi").select("node", "one.*")
     text = keyed.join(wanted.withColumnsRenamed({"n_id": "w_id", "n_hash": "w_hash"}), [F.col("n_id").eqNullSafe(F.col("w_id")), F.col("n_hash") == F.col("w_hash")])
