@@ -148,6 +148,8 @@ def _further_hubs(groups: DataFrame, comps: DataFrame, members: DataFrame, scrat
         turn = open_.join(heads, "hub").where("node <> head")
         met = _with_common(turn.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), members)
         links = scratch.keep(met.where(_similar(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+        if links.isEmpty():
+            return comps
         won = turn.join(links.select(F.col("a").alias("head"), F.col("b").alias("node"), F.lit(1).alias("won")), ["head", "node"], "left").select("hub", "node", "seen", F.coalesce("won", F.lit(0)).alias("won"))
         won = scratch.keep(won)
         goes_on = won.groupBy("hub").agg(F.sum("won").alias("links"), F.count("*").alias("held")).where("links * 10 >= held").select("hub")
