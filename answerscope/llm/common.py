@@ -32,6 +32,20 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as keep it apart from the names ``taken``, whatever their case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def without(frame: DataFrame, *names: str) -> DataFrame:
+    """``frame`` without its columns of these names, whatever their case."""
+    lower = {n.lower() for n in names}
+    return frame.select(*[frame[c] for c in frame.columns if c.lower() not in lower])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 

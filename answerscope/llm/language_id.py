@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm.common import table
+from answerscope.llm.common import table, without
 
 BUCKETS = 1 << 15
 SAMPLE = 1500
@@ -122,7 +122,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs`` with lang_pred and score."""
+    """All rows and columns of ``docs`` with lang_pred and score, in place of columns of these names."""
+    docs = without(docs, "lang_pred", "score")
     spread, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

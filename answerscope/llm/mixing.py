@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from answerscope.llm.common import WORD, Scratch, table
+from answerscope.llm.common import WORD, Scratch, free_name, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -85,22 +85,25 @@ def size_of(text: Column) -> Column:
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: every document as often as it is drawn, with ``mix_copy`` 1, 2, ... added.
 
+    A column of ``docs`` that is called ``mix_copy`` stays; the added one then gets an underscore more.
+
     Sizes are counted first and the draw is made on narrow rows; the rows drawn then meet
     their documents again by id, source and size.
     """
-    sized = docs.withColumn("m_size", size_of(docs["text"]))
-    narrow = sized.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), "m_size")
+    size, times, copy = (free_name(n, docs.columns) for n in ("m_size", "mix_n", "mix_copy"))
+    sized = docs.withColumn(size, size_of(docs["text"]))
+    narrow = sized.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col(size).alias("m_size"))
     drawn = copy_counts(Scratch(docs.sparkSession, "mix").keep(narrow), weights, most, seed)
     # rows that agree in all three may differ in copies: number them on both sides only where there are several
     drawn = drawn.groupBy("m_id", "m_source", "m_size").agg(F.sort_array(F.collect_list("m_copies")).alias("m_list"))
-    joined = sized.join(drawn, [sized["doc_id"].eqNullSafe(drawn["m_id"]), sized["source"].eqNullSafe(drawn["m_source"]), sized["m_size"] == drawn["m_size"]])
+    joined = sized.join(drawn, [sized["doc_id"].eqNullSafe(drawn["m_id"]), sized["source"].eqNullSafe(drawn["m_source"]), sized[size] == drawn["m_size"]])
     keep = [sized[c] for c in docs.columns]
-    several = F.size("m_list") > 1
-    nth = F.row_number().over(Window.partitionBy("m_id", "m_source", drawn["m_size"]).orderBy("text"))
-    one = joined.where(~several).select(*keep, F.element_at("m_list", 1).alias("mix_n"))
-    more = joined.where(several).select(*keep, F.element_at("m_list", nth).alias("mix_n"))
-    out = one.unionByName(more).where("mix_n > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n").cast("int")))).drop("mix_n")
+    several = F.size(drawn["m_list"]) > 1
+    nth = F.row_number().over(Window.partitionBy(drawn["m_id"], drawn["m_source"], drawn["m_size"]).orderBy(sized["text"]))
+    one = joined.where(~several).select(*keep, F.element_at(drawn["m_list"], 1).alias(times))
+    more = joined.where(several).select(*keep, F.element_at(drawn["m_list"], nth).alias(times))
+    out = one.unionByName(more).where(F.col(times) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times)
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm.common import Scratch, byte_slices, prefix_hashes, range_hashes, table
+from answerscope.llm.common import Scratch, byte_slices, free_name, prefix_hashes, range_hashes, table
 
 MIN_LENGTH = 200
 GRAM = 64
@@ -274,9 +274,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, crowded: int = CROWDED) ->
 
 
 def with_places(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with s_places, null where nothing repeats."""
-    left = docs.withColumn("s_hash", F.xxhash64("text"))
-    return left.join(spans, [left["doc_id"].eqNullSafe(spans["s_id"]), left["s_hash"] == spans["s_hash"]], "left").select(*(left[c] for c in docs.columns), "s_places")
+    """All rows and columns of ``docs`` and, in the last column, the places of their spans, null where nothing repeats."""
+    text_hash, places = free_name("s_hash", docs.columns), free_name("s_places", docs.columns)
+    left = docs.withColumn(text_hash, F.xxhash64("text"))
+    same = [left["doc_id"].eqNullSafe(spans["s_id"]), left[text_hash] == spans["s_hash"]]
+    return left.join(spans, same, "left").select(*(left[c] for c in docs.columns), spans["s_places"].alias(places))
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,14 +315,14 @@ def cut_text(text: bytes, places: list[int]) -> str:
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-        places = batch.column("s_places").to_pylist()
+        places, names = batch.column(batch.num_columns - 1).to_pylist(), batch.schema.names[:-1]
         kept = [None if t is None else cut_text(t, p or []) for t, p in zip(texts, places, strict=True)]
-        columns = [pa.array(kept, batch.schema.field("text").type) if n == "text" else batch.column(n) for n in batch.schema.names if n != "s_places"]
-        yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "s_places"])
+        columns = [pa.array(kept, batch.schema.field("text").type) if n == "text" else batch.column(n) for n in names]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all of them, with repeated strings cut out of ``text``; ``n_chars`` follows where it is a column."""
+    """The rows of ``docs``, all of them, with repeated strings cut out of ``text``; ``n_chars`` follows where it is a column, others stay whatever their names."""
     spans = repeated_spans(docs, Scratch(docs.sparkSession, "suffix"))
     out = with_places(docs, spans).mapInArrow(_cut_rows, docs.schema)
     if "n_chars" in docs.columns:

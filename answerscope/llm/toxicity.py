@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.llm.common import SEPARATOR, byte_slices, mixed, table, word_hashes
+from answerscope.llm.common import SEPARATOR, byte_slices, free_name, mixed, table, without, word_hashes
 
 BUCKETS = 1 << 17
 DIM = 8  # of each of the two embeddings
@@ -240,9 +240,9 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most about ``sample`` rows of each label, drawn by hash of doc_id among those that may be learned from."""
+    """Fit on at most about ``sample`` rows of each label, drawn by hash of doc_id among those that may be learned from; a doc_id with both labels is toxic."""
     usable = labels.select(F.col("doc_id").alias("x_id"), F.col("toxic").cast("int").alias("x_label")).where(
-        "x_id IS NOT NULL AND x_label IN (0, 1)").where(~held_out(F.col("x_id"))).dropDuplicates(["x_id"])
+        "x_id IS NOT NULL AND x_label IN (0, 1)").where(~held_out(F.col("x_id"))).groupBy("x_id").agg(F.max("x_label").alias("x_label"))
     counts = {r.x_label: r.n for r in usable.groupBy("x_label").agg(F.count("*").alias("n")).collect()}
     order = F.md5(F.concat(F.lit("toxic-1|"), F.col("x_id").cast("string")))
     draw = F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / float(1 << 32)
@@ -260,7 +260,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def with_scores(docs: DataFrame, model: Model, score: str = "score", flag: str = "toxic_flag") -> DataFrame:
-    """All rows and columns of ``docs`` with the score and whether it reaches the threshold of the row's language."""
+    """All rows and columns of ``docs`` with the score and whether it reaches the threshold of the row's language, in place of columns of these names."""
+    docs = without(docs, score, flag)
     spread = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -278,9 +279,10 @@ def with_scores(docs: DataFrame, model: Model, score: str = "score", flag: str =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score stays below the threshold of their language."""
-    scored = with_scores(docs, train(docs, labels), "x_score", "x_toxic")
-    return scored.where(~F.col("x_toxic")).select(*docs.columns)
+    """The rows of ``docs`` whose score stays below the threshold of their language; further columns stay whatever their names."""
+    score, flag = free_name("x_score", docs.columns), free_name("x_toxic", docs.columns)
+    scored = with_scores(docs, train(docs, labels), score, flag)
+    return scored.where(~F.col(flag)).select(*docs.columns)
 
 
 def op8_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
