@@ -6,6 +6,7 @@ from answerscope.operators import reshape
 from answerscope.plans import views as V
 from answerscope.plans.catalogue.registry import query, rounded
 from answerscope.plans.views import cte
+from answerscope.sources import npy as N
 from answerscope.sources import tables as S
 
 _DOC_SCHEMA = "doc_id long, text string, lang string, source string"
@@ -74,6 +75,16 @@ def tensor_ingest(spark, folder):
     return rounded(one.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), total.alias("total")), "total")
 
 
+@query("S06_npy_blocks", cte("states") + """
+  SELECT count(*) AS n, count(*) AS n_places, round(sum(list_sum(list_transform(h, lambda x: x::DOUBLE))), 4) AS total FROM states WHERE version = 0""")
+def npy_blocks(spark, folder):
+    path = V.scratch(spark, "npy")
+    N.write_npy(V.states(spark, folder).where("version = 0"), path)
+    rows = N.read_npy(spark, path, ["place"])
+    total = F.sum(F.aggregate(F.col("h").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x))
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("n_places"), total.alias("total")), "total", digits=4)
+
+
 @query("S07_tensor_sink", cte("states") + "SELECT version AS step, count(*) AS n, count(DISTINCT row_id) AS n_rows FROM states GROUP BY version")
 def tensor_sink(spark, folder):
     path = V.scratch(spark, "states")

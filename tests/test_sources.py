@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerscope.operators import reshape
+from answerscope.sources import npy as N
 from answerscope.sources import tables as S
 from answerscope.streaming.append import append_stream
 
@@ -107,11 +108,32 @@ def test_npy_blocks(spark, tmp_path):
     block = np.arange(2 * 3 * 4, dtype=np.float16).reshape(2, 3, 4)
     np.save(tmp_path / "b0.npy", block)
     np.save(tmp_path / "b1.npy", block + 100)
-    got = S.read_npy(spark, str(tmp_path), ["row_id", "step"]).orderBy("row_id", "step").collect()
+    rows = N.read_npy(spark, str(tmp_path), ["row_id", "step"], range_bytes=32)  # four vectors of eight bytes
+    assert rows.rdd.getNumPartitions() == 4
+    got = rows.orderBy("row_id", "step").collect()
     assert [(r.row_id, r.step) for r in got] == [(i, s) for i in range(4) for s in range(3)]
     assert got[0].h == [0.0, 1.0, 2.0, 3.0] and got[-1].h == [120.0, 121.0, 122.0, 123.0]
 
 
+def test_npy_round_trip(spark, tmp_path):
+    df = spark.range(50).selectExpr("array(float(id), float(id) / 2, float(-id)) AS h").repartition(5).union(spark.sql("SELECT CAST(NULL AS array<float>)"))
+    assert N.write_npy(df, f"{tmp_path}/t") == 50
+    got = N.read_npy(spark, f"{tmp_path}/t", ["place"], range_bytes=24).collect()
+    assert sorted(r.place for r in got) == list(range(50))
+    assert sorted(r.h for r in got) == [[float(k), k / 2, float(-k)] for k in range(50)]
+
+
+def test_npy_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert N.read_npy(spark, f"{tmp_path}/none", ["place"]).count() == 0
+    for name, blocks in {"shapes": [np.zeros((2, 3)), np.zeros((2, 4))], "order": [np.asfortranarray(np.ones((2, 3)))], "axes": [np.zeros((2, 3, 4))]}.items():
+        (tmp_path / name).mkdir()
+        for k, block in enumerate(blocks):
+            np.save(tmp_path / name / f"{k}.npy", block)
+        with pytest.raises(Exception, match="wanted"):
+            N.read_npy(spark, f"{tmp_path}/{name}", ["place"]).collect()
+
+
 def test_name_cache(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({
         "names": {"Rome": ["Q220"], "Nowhere": []}, "ent": {"Q220": {"label": "Rome", "desc": "city", "sitelinks": 9, "claims": {"P31": ["Q515"]}}},
