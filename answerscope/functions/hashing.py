@@ -7,6 +7,12 @@ after an executor loss draws the same numbers.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,27 +44,72 @@ for _j in range(11):
     _term /= _j + 1
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count for a uniform value: the number of cut points at or below it."""
-    weight = F.lit(0)
-    for cut in _POISSON_CDF:
-        weight = weight + (u >= F.lit(cut)).cast("int")
-    return weight
+PER_DIGEST = 4  # one md5 holds four 32-bit numbers, so four draws share it
 
 
-PER_DIGEST = 4  # one md5 holds four 32-bit numbers, so four draws share it
+DRAW_ROWS, DRAW_GROUPS = 128, 64  # rows weighed at once, groups a task adds up before it hands them on
 
 
-def with_draw_weights(df: DataFrame, draws: int, name: str, *keys: Column | str, seed: object = None) -> DataFrame:
-    """Rows times ``draws``, with the draw number ``draw`` and a Poisson(1) weight per (draw, keys)."""
-    parts = [F.lit(str(seed)).alias("s"), F.col("__block"), *[F.col(k) if isinstance(k, str) else k for k in keys]]
-    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    blocks = df.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // PER_DIGEST)))).withColumn("__digest", digest)
-    one = [F.struct((F.col("__block") * PER_DIGEST + i).alias("draw"), F.conv(F.substring("__digest", 8 * i + 1, 8), 16, 10).cast("bigint").alias("h")) for i in range(PER_DIGEST)]
-    drawn = blocks.withColumn("__d", F.explode(F.array(*one))).withColumn("draw", F.col("__d.draw")).where(F.col("draw") < draws)
-    u = F.col("__u")
-    return drawn.withColumn("__u", F.col("__d.h").cast("double") / F.lit(float(HASH_RANGE))).withColumn(
-        name, poisson_weight(u).cast("double")).drop("__block", "__digest", "__d", "__u")
+def _weights(keys: Sequence[str], draws: int, seed: object) -> np.ndarray:
+    """Poisson(1) weights [key, draw] by md5 of seed, block of draws and key."""
+    starts = [f"{seed}:{block}:".encode() for block in range((draws - 1) // PER_DIGEST + 1)]
+    digests = b"".join([md5(s + k, usedforsecurity=False).digest() for k in (key.encode() for key in keys) for s in starts])
+    h = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(len(keys), -1)[:, :draws]
+    weight = np.zeros(h.shape, np.uint8)
+    for cut in _POISSON_CDF:
+        weight += h >= np.uint32(math.ceil(cut * HASH_RANGE))  # the product is exact
+    return weight.astype(np.float64)
+
+
+def draw_sums(df: DataFrame, draws: int, values: dict[str, Column], *keys: Column | str, by: Sequence[str] = (), seed: object = None) -> DataFrame:
+    """Per group and draw the sums of Poisson(1) weight times value, the weight by (draw, keys).
+
+    Rows are weighed in blocks inside a task and never multiplied by the draws; a task hands on ``draws`` rows
+    of a group. A sum without values is NULL.
+    """
+    key = F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    source = df.select(*by, key.alias("__key"), *[v.cast("double").alias(n) for n, v in values.items()])
+    spark = df.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(48, 4 * spark.sparkContext.defaultParallelism))
+    source = source.repartition(tasks, "__key")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:len(by)]], "draw int", *[f"`{n}` double" for n in values]])
+    by, sums_of = list(by), list(values)
+
+    def handed_on(sums: dict, types: list) -> pa.RecordBatch:
+        groups = [pa.array([g[i] for g in sums for _ in range(draws)], types[i]) for i in range(len(by))]
+        totals = []
+        for j in range(len(sums_of)):
+            known = np.concatenate([np.full(draws, counts[j] > 0) for _, counts in sums.values()])
+            totals.append(pa.array(np.concatenate([t[j] for t, _ in sums.values()]), pa.float64(), mask=~known))
+        return pa.RecordBatch.from_arrays([*groups, pa.array(np.tile(np.arange(draws, dtype=np.int32), len(sums))), *totals], [*by, "draw", *sums_of])
+
+    def run(batches):
+        sums, types = {}, []
+        for batch in batches:
+            types = batch.schema.types
+            groups = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))])) if by else [()] * batch.num_rows
+            texts = batch.column(len(by)).to_pylist()
+            given = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in sums_of], axis=1)
+            present = np.stack([batch.column(n).is_valid().to_numpy(zero_copy_only=False) for n in sums_of], axis=1)
+            for first in range(0, batch.num_rows, DRAW_ROWS):
+                part = slice(first, min(first + DRAW_ROWS, batch.num_rows))
+                place = {k: i for i, k in enumerate(dict.fromkeys(texts[part]))}
+                weight = _weights(list(place), draws, seed)
+                members: dict = {}
+                for i, name in enumerate(groups[part]):
+                    members.setdefault(name, []).append(i)
+                for name, at in members.items():
+                    here, value = present[part][at], given[part][at]
+                    total, count = sums.setdefault(name, (np.zeros((len(sums_of), draws)), np.zeros(len(sums_of), np.int64)))
+                    total += np.where(here, value, 0.0).T @ weight[[place[k] for k in (texts[first + i] for i in at)]]
+                    count += here.sum(axis=0)
+                    if len(sums) >= DRAW_GROUPS:
+                        yield handed_on(sums, types)
+                        sums = {}
+        if sums:
+            yield handed_on(sums, types)
+
+    return source.mapInArrow(run, schema).groupBy(*by, "draw").agg(*[F.sum(n).alias(n) for n in sums_of])
 
 
 def draw_uniform_sql(seed: object, draw: str, keys: str) -> str:
@@ -68,5 +119,5 @@ def draw_uniform_sql(seed: object, draw: str, keys: str) -> str:
 
 
 def poisson_sql(u: str) -> str:
-    """The same count as SQL text."""
+    """The Poisson(1) count of a uniform value, the number of cut points at or below it, as SQL text."""
     return " + ".join(f"({u} >= {cut}::DOUBLE)::INT" for cut in _POISSON_CDF)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerscope.functions.hashing import with_draw_weights
+from answerscope.functions.hashing import draw_sums
 from answerscope.operators import order
 from answerscope.operators.order import ALL, keyed
 
@@ -73,13 +73,10 @@ def bootstrap_draws(values: DataFrame, unit: Sequence[str], value: str, draws: i
                     seed: object = 1) -> DataFrame:
     """One resampled mean per draw: every unit is drawn Poisson(1) times, by hash of (seed, draw, unit).
 
-    The draws are summed map-side, so the shuffle carries ``draws`` rows per task.
+    The draws are summed in the tasks, so the shuffle carries ``draws`` rows per task.
     """
-    return (
-        with_draw_weights(values.where(F.col(value).isNotNull()), draws, "__w", *unit, seed=seed)
-        .groupBy(*by, "draw")
-        .agg((F.sum(F.col("__w") * F.col(value)) / _zero_to_null(F.sum("__w"))).alias("mean"))
-    )
+    sums = draw_sums(values.where(F.col(value).isNotNull()), draws, {"__sum": F.col(value), "__w": F.lit(1.0)}, *unit, by=by, seed=seed)
+    return sums.select(*by, "draw", (F.col("__sum") / _zero_to_null(F.col("__w"))).alias("mean"))
 
 
 def interval(draws: DataFrame, by: Sequence[str] = (), value: str = "mean", low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerscope.functions.hashing import with_draw_weights
+from answerscope.functions.hashing import draw_sums
 from answerscope.operators import order
 
 TYPES = ("correct", "entity", "broken", "abstain")
@@ -77,13 +77,14 @@ def net_gain_draws(outcomes: DataFrame, share_wrong: float, share_right: float,
                    seed: object = 0) -> DataFrame:
     """Net gain per resample, wrong and right rows resampled apart."""
     gains = _against_base(outcomes, base).select("cond", "row_id", "was_correct", "__gain")
-    drawn = with_draw_weights(gains, draws, "__w", F.col("was_correct").cast("int"), F.col("row_id"), seed=seed)
-
-    def part(rows: Column) -> Column:
-        return _ratio(F.sum(F.when(rows, F.col("__w") * F.col("__gain"))), F.sum(F.when(rows, F.col("__w"))))
-
-    return drawn.groupBy("cond", "draw").agg(
-        (F.lit(share_wrong) * part(~F.col("was_correct")) + F.lit(share_right) * part(F.col("was_correct"))).alias("mean"))
+    wrong, right = ~F.col("was_correct"), F.col("was_correct")
+    sums = draw_sums(gains, draws, {
+        "__wrong_gain": F.when(wrong, F.col("__gain")), "__wrong": F.when(wrong, 1.0),
+        "__right_gain": F.when(right, F.col("__gain")), "__right": F.when(right, 1.0)},
+        F.col("was_correct").cast("int"), F.col("row_id"), by=["cond"], seed=seed)
+    return sums.select("cond", "draw", (
+        F.lit(share_wrong) * _ratio(F.col("__wrong_gain"), F.col("__wrong"))
+        + F.lit(share_right) * _ratio(F.col("__right_gain"), F.col("__right"))).alias("mean"))
 
 
 def with_size_weights(rows: DataFrame, true_sizes: DataFrame, group: str = "k_correct") -> DataFrame:
