@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from answerscope.functions.hashing import draw_sums
 from answerscope.operators import order
 from answerscope.operators.order import ALL, keyed
+from answerscope.session import cut_lineage
 
 
 def _zero_to_null(c: Column) -> Column:
@@ -98,15 +99,17 @@ def shuffled_labels(df: DataFrame, row_id: str, group: Sequence[str], positive:
 
     Choosing the p rows with the smallest hash is a uniform relabelling, so only one order
     per group and draw is needed.  Output: the rows times ``draws`` with ``draw`` and ``shuffled``.
+    All draws of a group have its size, so groups are counted before they are drawn.  The counted rows are cut
+    from their lineage, as every branch of the order, and of what follows, would plan it again on the driver.
     """
     labelled = df.withColumn("__y", positive.cast("int"))
-    sizes = labelled.groupBy(*group).agg(F.sum("__y").alias("__p"))
+    sizes = labelled.groupBy(*group).agg(F.sum("__y").alias("__p"), F.count(F.lit(1)).alias("__size"))
     drawn = (
-        labelled.drop("__y").join(sizes, list(group))
+        cut_lineage(labelled.drop("__y").join(sizes, list(group)))
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("__key", F.concat_ws(":", F.col("draw").cast("string"), F.col(row_id).cast("string")))
     )
-    return order.mark_by_hash(drawn, "__key", [*group, "draw"], F.col("__p"), "shuffled", seed, limit).drop("__key", "__p")
+    return order.mark_by_hash(drawn, "__key", [*group, "draw"], F.col("__p"), "shuffled", seed, limit, size="__size").drop("__key", "__p")
 
 
 def null_summary(per_draw: DataFrame, value: str = "mean_auc") -> DataFrame:

@@ -145,24 +145,31 @@ def bin_edges(df: DataFrame, value: str, probabilities: Sequence[float], group:
     return found.groupBy(*keys).agg(F.transform(ordered, lambda s: s["q"]).alias("edges")).drop(ALL)
 
 
-def _hash_placed(df: DataFrame, id_column: str, keys: Sequence[str], seed: object, limit: int, parts: int, prune: Column | None) -> DataFrame:
+def _hash_placed(df: DataFrame, id_column: str, keys: Sequence[str], seed: object, limit: int, parts: int, prune: Column | None,
+                 size: str | None = None) -> DataFrame:
     """Adds ``__place``, the 1-based position of a row in its group by hash of (seed, id).
 
     A group over ``limit`` rows is cut into equal hash ranges, so no task orders more than one range.
+    ``size`` names a column with the rows of the group, where the caller has counted them; it is dropped.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    if size is None:
+        sized = df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")), list(keys))
+    else:
+        sized = df.withColumnRenamed(size, "__size")
     pieces = F.least(F.ceil(F.col("__size") / F.lit(float(limit))), F.lit(parts * 8)).cast("bigint")
     part = F.floor(F.col("__hash").cast("double") * pieces / F.lit(float(HASH_RANGE)))
     ranged = (
-        df.withColumn("__hash", hash32(id_column, seed=seed)).join(sizes, list(keys))
-        .withColumn("__part", F.when(F.col("__size") > limit, part)).drop("__size")
+        sized.withColumn("__hash", hash32(id_column, seed=seed))
+        .withColumn("__part", F.when(F.col("__size") > limit, part))
     )
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    per_part = ranged.where(F.col("__part").isNotNull()).groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    per_part = ranged.where(F.col("__size") > limit).groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
     bases = per_part.select(*keys, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    based = ranged.join(bases, [*keys, "__part"], "left").withColumn("__base", F.coalesce("__base", F.lit(0)))
+    based = ranged.drop("__size").join(bases, [*keys, "__part"], "left").withColumn("__base", F.coalesce("__base", F.lit(0)))
     if prune is not None:
         based = based.where(prune)
+    if size is not None:  # rows that the caller made of few lie in few tasks
+        based = based.repartition(*keys, "__part")
     order = Window.partitionBy(*keys, "__part").orderBy("__hash", id_column)
     return based.withColumn("__place", F.row_number().over(order) + F.col("__base")).drop("__hash", "__part", "__base")
 
@@ -181,10 +188,10 @@ def take_by_hash(df: DataFrame, id_column: str, by: Sequence[str], count: Column
 
 
 def mark_by_hash(df: DataFrame, id_column: str, by: Sequence[str], count: Column, name: str, seed: object = 0,
-                 limit: int = GROUP_CELLS, parts: int = PARTS) -> DataFrame:
-    """All rows, with a flag on the ones ``take_by_hash`` would keep."""
+                 limit: int = GROUP_CELLS, parts: int = PARTS, size: str | None = None) -> DataFrame:
+    """All rows, with a flag on the ones ``take_by_hash`` would keep; ``size`` names the counts of the groups, if known."""
     rows, keys = keyed(df, by)
-    placed = _hash_placed(rows, id_column, keys, seed, limit, parts, None)
+    placed = _hash_placed(rows, id_column, keys, seed, limit, parts, None, size)
     return placed.withColumn(name, F.col("__place") <= count).drop("__place", ALL)
 
 

@@ -211,7 +211,8 @@ _SHUFFLE = sql_hash("'100:' || draw || ':' || row_id")
   , per AS (SELECT split_part(unit, ':', 1) AS draw, avg(auc) AS mean_auc FROM ({auc_sql('shuffled', 'unit', 'score', 'y')}) GROUP BY 1)
   SELECT round(avg(mean_auc), 6) AS null_mean, round(stddev_pop(mean_auc), 6) AS null_std, count(*) AS draws FROM per""")
 def permutation_null(spark, folder):
-    shuffled = metrics.shuffled_labels(mid_rows(spark, folder), "row_id", ["fact"], F.col("correct"), draws=20)
+    rows = mid_rows(spark, folder).select("row_id", "fact", "score", "correct")
+    shuffled = metrics.shuffled_labels(rows, "row_id", ["fact"], F.col("correct"), draws=20)
     per = metrics.auroc(shuffled, "score", F.col("shuffled"), ["fact", "draw"])
     return rounded(metrics.null_summary(metrics.mean_over_groups(per, ["draw"])), "null_mean", "null_std")
 

@@ -2,9 +2,11 @@
 
 from hashlib import md5
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from answerscope.functions import hashing
+from answerscope.operators import metrics
 
 
 def test_draw_sums_against_a_loop(spark, monkeypatch):
@@ -21,3 +23,13 @@ def test_draw_sums_against_a_loop(spark, monkeypatch):
             s, n = want.get((g, draw), (None, 0))
             want[g, draw] = (s if v is None else (s or 0) + weight * v, n + weight)
     assert {(r["g"], r["draw"]): (r["s"], r["n"]) for r in got} == want
+
+
+def test_shuffled_labels_plan_the_rows_once(spark):
+    data = pd.DataFrame({"row_id": range(300), "fact": [i % 40 for i in range(300)], "score": [i * 7 % 100 / 10 for i in range(300)],
+                         "correct": [i * 11 % 3 == 0 for i in range(300)]})
+    shuffled = metrics.shuffled_labels(spark.createDataFrame(data), "row_id", ["fact"], F.col("correct"), draws=5, limit=6)
+    assert shuffled._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 2
+    got = shuffled.toPandas()
+    assert len(got) == 1500
+    assert (got.groupby(["draw", "fact"]).shuffled.sum().unstack(0).T == data.groupby("fact").correct.sum()).all(axis=None)
