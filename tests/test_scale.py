@@ -1,12 +1,36 @@
 """Steps that must not lie in one task, be done twice or be multiplied: rows of their own."""
 
+import random
 from hashlib import md5
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from answerscope.functions import hashing
 from answerscope.operators import metrics
+from answerscope.plans import views
+
+
+@pytest.fixture(scope="module")
+def one_group(tmp_path_factory):
+    """Tables of one row group each, which one task reads."""
+    folder = tmp_path_factory.mktemp("tables")
+    words = "the quick brown fox jumps over a lazy dog while twelve more words follow it until an answer ends".split()
+    rng = random.Random(0)
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(60)]
+    pq.write_table(pa.table({"doc_id": list(range(60)), "source": [f"src{i % 4}" for i in range(60)], "text": texts}), folder / "documents.parquet")
+    events = {"event_id": list(range(400)), "event_type": [rng.choice(["purchase", "click", "error"]) for _ in range(400)],
+              "value": [rng.random() * 20 for _ in range(400)]}
+    pq.write_table(pa.table(events), folder / "events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("view", [views.answers, views.attempts])
+def test_rows_of_one_row_group_are_dealt_to_several_tasks(spark, one_group, view):
+    assert view(spark, one_group).select(F.spark_partition_id()).distinct().count() > 1
 
 
 def test_draw_sums_against_a_loop(spark, monkeypatch):
