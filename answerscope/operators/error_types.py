@@ -58,27 +58,38 @@ def early_rule(relation: str = "relation") -> Column:
     )
 
 
+def ruled(df: DataFrame, row_id: str = "row_id", answer: str = "model_answer", question: str = "question",
+          relation: str = "relation", correct: str | None = "correct") -> DataFrame:
+    """Adds ``__rule``, 'lookup' where the name table decides, and the ``__key`` to look up.
+
+    Rows that need no lookup get a key of their own, which never matches and spreads evenly,
+    instead of one shared NULL key.
+    """
+    rows = rule_inputs(df, answer, question).withColumn("__rule", early_rule(relation))
+    if correct:
+        rows = rows.withColumn("__rule", F.when(F.col(correct), "correct").otherwise(F.col("__rule")))
+    own_key = F.concat(F.lit("\x00"), F.col(row_id).cast("string"))
+    return rows.withColumn("__key", F.when(F.col("__rule") == "lookup", F.col("__name")).otherwise(own_key)).drop(
+        "__raw", "__norm", "__question", "__cut", "__head", "__content", "__name")
+
+
 def classify(df: DataFrame, names: DataFrame, row_id: str = "row_id", answer: str = "model_answer", question: str = "question",
              relation: str = "relation", correct: str | None = "correct", keep_lookup: bool = False) -> DataFrame:
     """C11: adds type3, rule and unverified (and the three-valued ``lookup`` of the rows that needed one).
 
     ``names`` is (name, qids): a missing name is unknown, an empty list means no candidate (C10).
-    Rows that need no lookup get a key of their own, which never matches and spreads evenly,
-    instead of one shared NULL key.
+    Rows that ``ruled`` has been through keep its rules, so a table looked up twice is ruled once.
     """
-    ruled = rule_inputs(df, answer, question).withColumn("__rule", early_rule(relation))
-    if correct:
-        ruled = ruled.withColumn("__rule", F.when(F.col(correct), "correct").otherwise(F.col("__rule")))
+    rows = df if "__rule" in df.columns else ruled(df, row_id, answer, question, relation, correct)
     needs = F.col("__rule") == "lookup"
-    own_key = F.concat(F.lit("\x00"), F.col(row_id).cast("string"))
     known = names.select(F.col("name").alias("__key"), F.size("qids").alias("__candidates"))
-    joined = ruled.withColumn("__key", F.when(needs, F.col("__name")).otherwise(own_key)).join(known, "__key", "left")
+    joined = rows.join(known, "__key", "left")
     rule = (
         F.when(needs & (F.col("__candidates") == 0), "broken-fabricated").when(needs, "entity").otherwise(F.col("__rule"))
     )
     found = F.when(F.col("__candidates").isNull(), "unknown").when(F.col("__candidates") == 0, "absent").otherwise("found")
     kind = F.when(rule.startswith("broken"), "broken").otherwise(rule)
-    helpers = ["__raw", "__norm", "__question", "__cut", "__head", "__content", "__name", "__rule", "__key", "__candidates"]
+    helpers = ["__rule", "__key", "__candidates"]
     typed = joined.withColumn("type3", kind).withColumn("rule", rule).withColumn("unverified", needs & F.col("__candidates").isNull())
     if keep_lookup:
         typed = typed.withColumn("lookup", F.when(needs, found))
