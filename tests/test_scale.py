@@ -1,6 +1,7 @@
 """Steps that must not lie in one task, be done twice or be multiplied: rows of their own."""
 
 import random
+from difflib import SequenceMatcher
 from hashlib import md5
 
 import pandas as pd
@@ -9,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from answerscope.functions import hashing
+from answerscope.functions import hashing, similarity
 from answerscope.operators import error_types, metrics
 from answerscope.plans import views
 from answerscope.plans.catalogue import QUERIES
@@ -49,6 +50,23 @@ def test_ruled_rows_are_classified_as_others(spark, one_group):
     assert error_types.classify(error_types.ruled(rows), names, keep_lookup=True).select(*columns).orderBy("row_id").collect() == at_once
 
 
+def test_similarity_in_blocks_is_difflib(monkeypatch):
+    rng = random.Random(1)
+
+    def text():
+        letters = rng.choice(["ab", "abcdefgh ", "aé漢😀 xyz\x00ÿþ"])
+        return "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 30, 199, 200, 250, 1100])))
+
+    pairs = [(text(), text()) for _ in range(300)]
+    want = [100.0 * SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    for cells in (1 << 15, 1 << 10):
+        monkeypatch.setattr(similarity, "CELLS", cells)
+        assert similarity.similarity_ratio.func(*[pa.array(x) for x in zip(*pairs)]).to_pylist() == want
+    short = [(a, b) for a, b in pairs if len(b) < similarity.AUTOJUNK and len(a) < 100]
+    found = similarity.matched_characters(*zip(*short)).tolist()
+    assert found == [sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in short]
+
+
 def test_draw_sums_against_a_loop(spark, monkeypatch):
     monkeypatch.setattr(hashing, "DRAW_GROUPS", 2)
     rows = [(g, i, None if (i + j) % 7 == 0 else float(i)) for j, g in enumerate(["a", "b", None, "c"]) for i in range(20)] + [("d", 1, None)]
