@@ -7,6 +7,7 @@ from answerscope.operators import features, metrics, selection
 from answerscope.plans import views as V
 from answerscope.plans.catalogue.registry import query, rounded
 from answerscope.plans.views import cte, sql_hash
+from answerscope.session import cut_lineage
 
 
 def auc_sql(rows: str, group: str, score: str = "score", positive: str = "correct") -> str:
@@ -20,7 +21,9 @@ def auc_sql(rows: str, group: str, score: str = "score", positive: str = "correc
 
 
 def mid_rows(spark, folder):
-    return selection.with_both_outcomes(selection.partly_known(V.attempts_k(spark, folder)))
+    """Cut from their lineage: all branches of a rank would else do the joins again, side by side in the same tasks."""
+    rows = selection.with_both_outcomes(selection.partly_known(V.attempts_k(spark, folder)))
+    return cut_lineage(rows.select("row_id", "fact", "score", "correct"))
 
 
 _MID = "mid AS (SELECT * FROM attempts_k WHERE k_correct BETWEEN 1 AND 4)"
@@ -80,7 +83,7 @@ def unweighted_relation_auroc(spark, folder):
   UNION ALL SELECT 'entity-broken', round(avg(auc), 6), count(*) FROM ({auc_sql('eb', 'fact', 'score', 'y')})
   UNION ALL SELECT 'correct-entity', round(avg(auc), 6), count(*) FROM ({auc_sql('ce', 'fact', 'score', 'y')})""")
 def pair_restricted_auroc(spark, folder):
-    rows = V.attempts_k(spark, folder)
+    rows = cut_lineage(V.attempts_k(spark, folder).select("fact", "kind", "score"))  # read by all branches of three ranks
     out = None
     for a, b in (("correct", "broken"), ("entity", "broken"), ("correct", "entity")):
         one = metrics.mean_over_groups(metrics.pair_auroc(rows, "score", "kind", a, b, ["fact"])).withColumn("pair", F.lit(f"{a}-{b}"))
@@ -211,8 +214,7 @@ _SHUFFLE = sql_hash("'100:' || draw || ':' || row_id")
   , per AS (SELECT split_part(unit, ':', 1) AS draw, avg(auc) AS mean_auc FROM ({auc_sql('shuffled', 'unit', 'score', 'y')}) GROUP BY 1)
   SELECT round(avg(mean_auc), 6) AS null_mean, round(stddev_pop(mean_auc), 6) AS null_std, count(*) AS draws FROM per""")
 def permutation_null(spark, folder):
-    rows = mid_rows(spark, folder).select("row_id", "fact", "score", "correct")
-    shuffled = metrics.shuffled_labels(rows, "row_id", ["fact"], F.col("correct"), draws=20)
+    shuffled = metrics.shuffled_labels(mid_rows(spark, folder), "row_id", ["fact"], F.col("correct"), draws=20)
     per = metrics.auroc(shuffled, "score", F.col("shuffled"), ["fact", "draw"])
     return rounded(metrics.null_summary(metrics.mean_over_groups(per, ["draw"])), "null_mean", "null_std")
 

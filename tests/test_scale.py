@@ -42,6 +42,12 @@ def test_texts_are_graded_once(spark, one_group, name):
     assert "_fold(" not in plan
 
 
+@pytest.mark.parametrize("name", ["M02_within_fact_auroc", "M03_mean_within_fact_auroc", "M07_pair_restricted_auroc", "M08_bootstrap_interval"])
+def test_ranked_rows_are_joined_once(spark, one_group, name):
+    plan = QUERIES[name](spark, one_group)._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" not in plan and "parquet" not in plan
+
+
 def test_ruled_rows_are_classified_as_others(spark, one_group):
     rows = views.answers(spark, one_group).withColumn("correct", F.lit(False))
     names = views.name_cache(spark, one_group)
