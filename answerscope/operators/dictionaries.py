@@ -2,22 +2,23 @@
 
 A dictionary of any number of entries stays on Spark: entries are packed into blocks of bounded size, states
 into packs of rows, and every pack meets every block by a join on the block number. A block of features answers for
-itself, so encoding needs nothing more; partial reconstructions are added by pack. Only where the whole dictionary is
-small, by its checked size, is it broadcast; else packs and blocks are shuffled, the blocks under several salts, so that
-no task has all the packs of a block. The driver sees the features that a caller names, never the matrix.
+itself, so encoding needs nothing more; partial reconstructions are added by pack. Packs and blocks are shuffled, the
+blocks under several salts, so that no task has all the packs of a block. Only where the whole dictionary is small, by its
+checked size, is it broadcast; rows then go through Python once, in Spark's batches of rows, without packs. The driver
+sees the features that a caller names and such a small dictionary, never a larger matrix.
 
 Rows without a vector take no part. Numbers are kept in the type of the table's arrays and computed in double.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from answerscope.session import cut_lineage
 
 BLOCK_BYTES = 32 << 20  # encoder and decoder rows of one block
-PACK_BYTES = 4 << 20  # vectors of one pack of rows
+PACK_BYTES = 4 << 20  # vectors of one pack of rows; also their activations at a time
 BROADCAST_BYTES = 32 << 20  # a dictionary up to this size is sent to every executor
 MOMENT_VALUES = 1 << 19  # values of one block of rows of the moment matrix
 
@@ -64,6 +65,11 @@ class Dictionary:
     def width(self) -> int:
         return len(self.b_dec)
 
+    @cached_property
+    def shared(self) -> Broadcast:
+        """The blocks of a small dictionary."""
+        return self.blocks.sparkSession.sparkContext.broadcast([row.asDict() for row in self.blocks.collect()])
+
     @cached_property
     def latents(self) -> list[int]:
         """The feature numbers in order."""
@@ -92,26 +98,35 @@ class Dictionary:
         return self.bases({0: latents})[0]
 
 
+def _source(states: DataFrame, vector: str, columns: Sequence[str]) -> DataFrame:
+    info = F.struct(*[F.col(c) for c in columns])
+    return states.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"), info.alias("info"))
+
+
+def _parts(batches: Iterable[pa.RecordBatch], width: int, limit: int) -> Iterator[tuple[np.ndarray, pa.StructArray]]:
+    """Vectors of up to ``limit`` bytes together, with the named columns of their rows."""
+    size = max(1, limit // (8 * width))
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+        if len(x) != n * width or (batch.column("x").value_lengths().to_numpy(zero_copy_only=False) != width).any():
+            raise ValueError(f"a vector does not have the dictionary's {width} components")
+        for first in range(0, n, size):
+            yield x[first * width:(first + size) * width].reshape(-1, width), batch.column("info").slice(first, size)
+
+
 def _packs(states: DataFrame, vector: str, columns: Sequence[str], width: int) -> DataFrame:
     """(pack, x, info): vectors of up to ``PACK_BYTES`` together, with the named columns of their rows."""
-    info = F.struct(*[F.col(c) for c in columns])
-    source = states.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"), info.alias("info"))
-    size = max(1, PACK_BYTES // (8 * width))
+    source, limit = _source(states, vector, columns), PACK_BYTES
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False)
-            if len(x) != n * width or (batch.column("x").value_lengths().to_numpy(zero_copy_only=False) != width).any():
-                raise ValueError(f"a vector does not have the dictionary's {width} components")
-            for first in range(0, n, size):
-                last = min(first + size, n)
-                rows = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), batch.column("info").slice(first, last - first))
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([x[first * width:last * width].tobytes()], pa.binary()), rows], ["pack", "x", "info"])
-                number += 1
+        for x, info in _parts(batches, width, limit):
+            rows = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), info)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([x.tobytes()], pa.binary()), rows], ["pack", "x", "info"])
+            number += 1
 
     return source.mapInArrow(run, f"pack long, x binary, info array<{source.schema['info'].dataType.simpleString()}>")
 
@@ -119,8 +134,6 @@ def _packs(states: DataFrame, vector: str, columns: Sequence[str], width: int) -
 def _met(packs: DataFrame, dictionary: Dictionary, *columns: str) -> DataFrame:
     """Every pack with every block; the blocks' named columns come with it."""
     blocks = dictionary.blocks.select("block", *columns)
-    if dictionary.small:
-        return packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(dictionary.n_blocks - 1)))).join(F.broadcast(blocks), "block")
     salts = max(1, int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // dictionary.n_blocks)
     spread = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(dictionary.n_blocks - 1)))).withColumn(
         "salt", F.pmod(F.xxhash64("pack"), F.lit(salts)).cast("int"))
@@ -136,51 +149,98 @@ def _active(x: np.ndarray, w_enc: np.ndarray, b_enc: bytes, threshold: bytes, b_
     return np.where(pre > np.frombuffer(threshold), pre, 0.0)
 
 
+def _some(n: int, columns: int, limit: int) -> Iterator[slice]:
+    """Rows of which a matrix with so many columns stays within ``limit`` bytes."""
+    size = max(1, limit // (8 * max(1, columns)))
+    return (slice(first, first + size) for first in range(0, n, size))
+
+
+def _encoded(ids: pa.Array, x: np.ndarray, latent: bytes, given: tuple, limit: int) -> Iterator[pa.RecordBatch]:
+    """Active features of one block, for some rows at a time."""
+    latents = np.frombuffer(latent, np.int64)
+    for rows in _some(len(x), len(latents), limit):
+        a = _active(x[rows], *given)
+        at_row, at_latent = np.nonzero(a)
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(at_row + rows.start)).cast(pa.int64()), pa.array(latents[at_latent].astype(np.int32)), pa.array(a[at_row, at_latent])], ["row_id", "latent", "a"])
+
+
+def _decoded(x: np.ndarray, given: tuple, w_dec: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """What one block adds to the reconstruction, and each row's count of its active features."""
+    r, active = np.empty(x.shape), np.empty(len(x), np.int64)
+    for rows in _some(len(x), len(w_dec), limit):
+        a = _active(x[rows], *given)
+        r[rows], active[rows] = a @ w_dec, (a > 0).sum(1)
+    return r, active
+
+
 def encode(states: DataFrame, dictionary: Dictionary, vector: str = "h", row_id: str = "row_id") -> DataFrame:
     """Active features only, as (row_id, latent, a)."""
-    width, dtype, b_dec = dictionary.width, dictionary.dtype, dictionary.b_dec
+    width, dtype, b_dec, limit = dictionary.width, dictionary.dtype, dictionary.b_dec, PACK_BYTES
+    schema = "row_id long, latent int, a double"
+    if dictionary.small:
+        shared = dictionary.shared
+
+        def rowwise(batches):
+            blocks = [(b["latent"], (_vectors(b["w_enc"], width, dtype), b["b_enc"], b["threshold"], b_dec)) for b in shared.value]
+            for x, info in _parts(batches, width, limit):
+                for latent, given in blocks:
+                    yield from _encoded(info.flatten()[0], x, latent, given, limit)
+
+        return _source(states, vector, [row_id]).mapInArrow(rowwise, schema)
     met = _met(_packs(states, vector, [row_id], width), dictionary, "latent", "w_enc", "b_enc", "threshold")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 x, w_enc, latent, b_enc, threshold = [batch.column(c)[i].as_py() for c in ("x", "w_enc", "latent", "b_enc", "threshold")]
-                a = _active(_vectors(x, width), _vectors(w_enc, width, dtype), b_enc, threshold, b_dec)
-                at_row, at_latent = np.nonzero(a)
                 ids = batch.column("info")[i].values.flatten()[0]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(at_row)).cast(pa.int64()), pa.array(np.frombuffer(latent, np.int64)[at_latent].astype(np.int32)), pa.array(a[at_row, at_latent])],
-                    ["row_id", "latent", "a"])
+                yield from _encoded(ids, _vectors(x, width), latent, (_vectors(w_enc, width, dtype), b_enc, threshold, b_dec), limit)
 
-    return met.select("x", "info", "latent", "w_enc", "b_enc", "threshold").mapInArrow(run, "row_id long, latent int, a double")
+    return met.select("x", "info", "latent", "w_enc", "b_enc", "threshold").mapInArrow(run, schema)
 
 
 def reconstruct(states: DataFrame, dictionary: Dictionary, vector: str = "h") -> DataFrame:
     """Reconstruction r, residual e = h - r, and the row's count of active features; other columns stay."""
-    width, dtype, b_dec = dictionary.width, dictionary.dtype, dictionary.b_dec
+    width, dtype, b_dec, limit = dictionary.width, dictionary.dtype, dictionary.b_dec, PACK_BYTES
     kept = [f for f in states.schema.fields if f.name not in ("r", "e", "active")]
     names = [f.name for f in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", r array<double>, e array<double>, active long"
+
+    def lists(m: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, width), pa.int32()), pa.array(m.ravel()))
+
+    def summed(x: np.ndarray, columns: list[pa.Array], parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        r, active = b_dec + np.zeros_like(x), np.zeros(len(x), np.int64)
+        for more, on in parts:
+            r += more
+            active += on
+        return [*columns, lists(r), lists(x - r), pa.array(active)]
+
+    if dictionary.small:
+        shared = dictionary.shared
+
+        def rowwise(batches):
+            blocks = [((_vectors(b["w_enc"], width, dtype), b["b_enc"], b["threshold"], b_dec), _vectors(b["w_dec"], width, dtype)) for b in shared.value]
+            for x, info in _parts(batches, width, limit):
+                columns = summed(x, info.flatten(), (_decoded(x, given, w_dec, limit) for given, w_dec in blocks))
+                yield pa.RecordBatch.from_arrays(columns, [*names, "r", "e", "active"])
+
+        return _source(states, vector, names).mapInArrow(rowwise, schema)
     packs = cut_lineage(_packs(states, vector, names, width))  # met by the blocks, then by the sums
 
     def pieces(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 pack, x, w_enc, b_enc, threshold, w_dec = [batch.column(c)[i].as_py() for c in ("pack", "x", "w_enc", "b_enc", "threshold", "w_dec")]
-                a = _active(_vectors(x, width), _vectors(w_enc, width, dtype), b_enc, threshold, b_dec)
-                r = a @ _vectors(w_dec, width, dtype)
+                r, active = _decoded(_vectors(x, width), (_vectors(w_enc, width, dtype), b_enc, threshold, b_dec), _vectors(w_dec, width, dtype), limit)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([pack], pa.int64()), pa.array([r.tobytes()], pa.binary()), pa.array([(a > 0).sum(1).astype(np.int64).tobytes()], pa.binary())], ["pack", "r", "active"])
-
-    def lists(m: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, width), pa.int32()), pa.array(m.ravel()))
+                    [pa.array([pack], pa.int64()), pa.array([r.tobytes()], pa.binary()), pa.array([active.tobytes()], pa.binary())], ["pack", "r", "active"])
 
     def finished(pack: pa.Table, parts: pa.Table) -> pa.Table:
         x = _vectors(pack["x"][0].as_py(), width)
-        r = sum((_vectors(p.as_py(), width) for p in parts["r"]), start=b_dec + np.zeros_like(x))
-        active = sum((np.frombuffer(p.as_py(), np.int64) for p in parts["active"]), start=np.zeros(len(x), np.int64))
-        columns = pack["info"][0].values.flatten()
-        return pa.Table.from_arrays([*columns, lists(r), lists(x - r), pa.array(active)], [*names, "r", "e", "active"])
+        added = ((_vectors(r.as_py(), width), np.frombuffer(on.as_py(), np.int64)) for r, on in zip(parts["r"], parts["active"], strict=True))
+        return pa.Table.from_arrays(summed(x, pack["info"][0].values.flatten(), added), [*names, "r", "e", "active"])
 
     met = _met(packs.select("pack", "x"), dictionary, "w_enc", "b_enc", "threshold", "w_dec")
     partial = met.select("pack", "x", "w_enc", "b_enc", "threshold", "w_dec").mapInArrow(pieces, "pack long, r binary, active binary")

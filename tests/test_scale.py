@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 from hashlib import md5
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerscope.functions import hashing, similarity
-from answerscope.operators import error_types, metrics
+from answerscope.operators import dictionaries, error_types, metrics
 from answerscope.plans import views
 from answerscope.plans.catalogue import QUERIES
 
@@ -97,3 +98,37 @@ def test_shuffled_labels_plan_the_rows_once(spark):
     got = shuffled.toPandas()
     assert len(got) == 1500
     assert (got.groupby(["draw", "fact"]).shuffled.sum().unstack(0).T == data.groupby("fact").correct.sum()).all(axis=None)
+
+
+def test_rows_meet_a_small_dictionary_in_one_python_pass(spark):
+    """Packs of rows reach Python many at a time, so a worker's memory would grow with its partition."""
+    features = [(i, [float(i == j) for j in range(3)], 0.0, 0.5, [float(i == j) for j in range(3)]) for i in range(3)]
+    table = spark.createDataFrame(features, "latent int, w_enc array<double>, b_enc double, threshold double, w_dec array<double>")
+    small = dictionaries.Dictionary(table, [0.0] * 3)
+    rows = spark.createDataFrame(
+        [(1, [2.0, 0.1, 1.0], None, {"a": 1}, ("x", None)), (2, None, "lost", None, None), (2, [0.0, 3.0, 0.0], "", {}, None), (2, [0.0] * 3, "b", None, ("y", 2))],
+        "row_id long, h array<float>, name string, counts map<string,int>, pair struct<p:string,q:int>")
+    acts, rebuilt = dictionaries.encode(rows, small), dictionaries.reconstruct(rows, small)
+    for out in (acts, rebuilt):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan and "CoGroups" not in plan
+    assert sorted(map(tuple, acts.collect())) == [(1, 0, 2.0), (1, 2, 1.0), (2, 1, 3.0)]
+    got = {r.name: r for r in rebuilt.collect()}
+    assert len(got) == 3 and got[None].counts == {"a": 1} and got[""].counts == {} and got["b"].counts is None
+    assert tuple(got[None].pair) == ("x", None) and got[""].pair is None and tuple(got["b"].pair) == ("y", 2)
+    assert {n: (r.r, r.active) for n, r in got.items()} == {None: ([2.0, 0.0, 1.0], 2), "": ([0.0, 3.0, 0.0], 1), "b": ([0.0] * 3, 0)}
+    assert np.allclose(got[None].e, [0.0, 0.1, 0.0])
+
+
+def test_activations_of_many_features_are_held_for_some_rows_at_a_time(monkeypatch):
+    rng = np.random.default_rng(0)
+    x, w = rng.normal(size=(50, 4)), rng.normal(size=(40, 4))
+    given, held = (w, np.zeros(40).tobytes(), np.full(40, 0.5).tobytes(), np.zeros(4)), []
+    whole, active = dictionaries._active(x, *given), dictionaries._active
+    monkeypatch.setattr(dictionaries, "_active", lambda *a: held.append(active(*a)) or held[-1])
+    got = np.zeros_like(whole)
+    for batch in dictionaries._encoded(pa.array(range(50)), x, np.arange(40).tobytes(), given, 7 * 40 * 8):
+        got[batch["row_id"], batch["latent"]] = batch["a"]
+    r, on = dictionaries._decoded(x, given, w, 7 * 40 * 8)
+    assert np.allclose(got, whole) and np.allclose(r, whole @ w) and (on == (whole > 0).sum(1)).all()
+    assert len(held) == 16 and max(a.nbytes for a in held) <= 7 * 40 * 8
