@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from answerscope.functions import text as T
 
@@ -13,19 +16,30 @@ RULES = ["broken-empty", "abstain", "broken-leak", "broken-loop", "broken-contin
          "broken-fabricated", "entity"]
 
 
+def _normalised_parts(answers: pa.Array, questions: pa.Array, cuts: pa.Array) -> list[pa.Array]:
+    """Answers, questions and heads, normalised; an answer that is not cut is its own head."""
+    raw, cut = answers.to_pylist(), pc.is_valid(cuts)
+    heads = T.normalised(pa.array([a[:n] for a, n in zip(raw, cuts.to_pylist()) if n is not None], pa.string()))
+    mine = T.normalised(answers)
+    return [mine, T.normalised(questions), pc.replace_with_mask(mine, cut, heads) if len(heads) else mine]
+
+
+@F.arrow_udf(StructType().add("norm", StringType()).add("head", StringType()).add("question", ArrayType(StringType())).add("content", ArrayType(StringType())))
+def _forms(answers: pa.Array, questions: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Normalised answer and head, words of the question, content words of the answer."""
+    mine, asked, heads = _normalised_parts(answers, questions, cuts)
+    lists = [pa.array(x, pa.list_(pa.string())) for x in (T.words_of(asked), [T.content_of(w) for w in T.words_of(mine)])]
+    return pa.StructArray.from_arrays([mine, heads, *lists], ["norm", "head", "question", "content"])
+
+
 def rule_inputs(df: DataFrame, answer: str = "model_answer", question: str = "question") -> DataFrame:
     """Everything the rules look at, computed once per row."""
     raw = F.coalesce(F.col(answer), F.lit(""))
-    based = (
-        df.withColumn("__raw", raw).withColumn("__norm", T.normalise(raw))
-        .withColumn("__question", T.words(T.normalise(F.col(question)))).withColumn("__cut", T.continuation_start(raw))
-    )
-    head = F.when(F.col("__cut").isNotNull(), F.substring(F.col("__raw"), F.lit(1), F.col("__cut")))
+    based = df.withColumns({"__raw": raw, "__asked": F.col(question), "__cut": T.continuation_start(raw)})
     return (
-        based.withColumn("__head_only", head).withColumn("__head_norm", T.normalise(F.col("__head_only")))
-        .withColumn("__head", F.when(F.col("__cut").isNull(), F.col("__norm")).otherwise(F.col("__head_norm")))
-        .withColumn("__content", T.content_words(F.col("__norm"))).withColumn("__name", T.bare_name(F.col("__raw")))
-        .drop("__head_only", "__head_norm")
+        based.withColumn("__forms", _forms(F.col("__raw"), F.col("__asked"), F.col("__cut")))
+        .withColumns({"__norm": F.col("__forms.norm"), "__head": F.col("__forms.head"), "__question": F.col("__forms.question"),
+                      "__content": F.col("__forms.content"), "__name": T.bare_name(F.col("__raw"))}).drop("__forms")
     )
 
 
@@ -35,27 +49,43 @@ def is_copy() -> Column:
     return (F.size(content) > 0) & (F.size(F.array_except(content, F.col("__question"))) == 0)
 
 
-def may_be_fabricated(relation: str = "relation") -> Column:
+def _may_be_fabricated(answer: str, content: set[str], question: set[str], relation: str | None) -> bool:
     """C09 before the lookup: a short name partly made of question words, outside family relations."""
-    words = T.raw_word_count(F.col("__name"))
-    inside = F.arrays_overlap(F.col("__content"), F.col("__question"))
-    outside = F.size(F.array_except(F.col("__content"), F.col("__question"))) > 0
-    return ~F.coalesce(F.col(relation), F.lit("")).isin(T.KIN_RELATIONS) & words.between(1, 6) & inside & outside
+    if relation in T.KIN_RELATIONS or content.isdisjoint(question) or content <= question:
+        return False
+    return 1 <= len(answer.strip(T.AROUND_NAMES).split()) <= 6
+
+
+@F.arrow_udf(StringType())
+def _early_rule(answers: pa.Array, questions: pa.Array, cuts: pa.Array, leaks: pa.Array, relations: pa.Array) -> pa.Array:
+    mine, asked, heads = (x.to_pylist() for x in _normalised_parts(answers, questions, cuts))
+
+    def one(answer, norm, asked, head, cut, leak, relation):
+        w = norm.split()
+        if not w:
+            return "broken-empty"
+        if T.refuses(w if head == norm else head.split()):
+            return "abstain"
+        if leak:
+            return "broken-leak"
+        if T.loops(w):
+            return "broken-loop"
+        if cut is not None:
+            return "broken-continuation"
+        if T.has_invalid_shape(w):
+            return "broken-invalid"
+        content, question = set(T.content_of(w)), set(asked.split())
+        if content and content <= question:
+            return "broken-copy"
+        return "lookup" if _may_be_fabricated(answer, content, question, relation) else "entity"
+
+    rows = zip(answers.to_pylist(), mine, asked, heads, cuts.to_pylist(), leaks.to_pylist(), relations.to_pylist())
+    return pa.array([one(*row) for row in rows], pa.string())
 
 
 def early_rule(relation: str = "relation") -> Column:
-    """C01-C08, then 'lookup' where the name table decides, then 'entity'."""
-    return (
-        F.when(F.col("__norm") == "", "broken-empty")
-        .when(T.is_refusal(F.col("__head")), "abstain")
-        .when(T.has_leak(F.col("__raw")), "broken-leak")
-        .when(T.is_looping(F.col("__norm")), "broken-loop")
-        .when(F.col("__cut").isNotNull(), "broken-continuation")
-        .when(T.is_invalid_shape(F.col("__norm")), "broken-invalid")
-        .when(is_copy(), "broken-copy")
-        .when(may_be_fabricated(relation), "lookup")
-        .otherwise("entity")
-    )
+    """C01-C08, then 'lookup' where the name table decides, then 'entity': the words of a row are looked at in one Python pass."""
+    return _early_rule(F.col("__raw"), F.col("__asked"), F.col("__cut"), T.has_leak(F.col("__raw")), F.col(relation))
 
 
 def ruled(df: DataFrame, row_id: str = "row_id", answer: str = "model_answer", question: str = "question",
@@ -70,7 +100,7 @@ def ruled(df: DataFrame, row_id: str = "row_id", answer: str = "model_answer", q
         rows = rows.withColumn("__rule", F.when(F.col(correct), "correct").otherwise(F.col("__rule")))
     own_key = F.concat(F.lit("\x00"), F.col(row_id).cast("string"))
     return rows.withColumn("__key", F.when(F.col("__rule") == "lookup", F.col("__name")).otherwise(own_key)).drop(
-        "__raw", "__norm", "__question", "__cut", "__head", "__content", "__name")
+        "__raw", "__asked", "__norm", "__question", "__cut", "__head", "__content", "__name")
 
 
 def classify(df: DataFrame, names: DataFrame, row_id: str = "row_id", answer: str = "model_answer", question: str = "question",

@@ -1,6 +1,8 @@
 """Steps that must not lie in one task, be done twice or be multiplied: rows of their own."""
 
 import random
+import re
+import unicodedata
 from difflib import SequenceMatcher
 from hashlib import md5
 
@@ -12,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerscope.functions import hashing, similarity
-from answerscope.operators import dictionaries, error_types, metrics
+from answerscope.functions import text as T
+from answerscope.operators import dictionaries, error_types, grading, metrics
 from answerscope.plans import views
 from answerscope.plans.catalogue import QUERIES
 
@@ -132,3 +135,104 @@ def test_activations_of_many_features_are_held_for_some_rows_at_a_time(monkeypat
     r, on = dictionaries._decoded(x, given, w, 7 * 40 * 8)
     assert np.allclose(got, whole) and np.allclose(r, whole @ w) and (on == (whole > 0).sum(1)).all()
     assert len(held) == 16 and max(a.nbytes for a in held) <= 7 * 40 * 8
+
+
+def _odd_texts(rng, n):
+    letters = ["ab  .,", "AbiIvVxX  1\t\n", "aé漢😀 xyz\x00ÿþ\x1f", "İıſKΣς\u0301\u0308 ﬁA\u2003", "i v x iv viii xiii  "]
+    words = "the a an of who wrote I don't know none Question: Answer: not known Paris.What Zorblatt Smith IV ii x 1 me $ equation Solve it You are here dıRect direct answer".split()
+    out = [None, "", " ", "\x1f", "ab\x1fcd", "1", "Me", "None", "DIRECT answer", "dırect anſwer", "paris.What is", "e\u0301quation", "Solve\u0301 x", "a b a b a b"]
+    out += ["".join(rng.choice(rng.choice(letters)) for _ in range(rng.choice([1, 5, 30, 300]))) for _ in range(n)]
+    return out + [" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 8, 20]))) for _ in range(n)]
+
+
+def _plainly(t):
+    wide = unicodedata.normalize("NFKD", (t or "").lower())
+    return re.sub("[^a-z0-9]+", " ", "".join(c for c in wide if not unicodedata.combining(c))).strip(" ")
+
+
+def test_texts_normalised_together_are_those_normalised_alone(monkeypatch):
+    texts = _odd_texts(random.Random(2), 400)
+    want = [_plainly(t) for t in texts]
+    for together in (1 << 18, 50):
+        monkeypatch.setattr(T, "_TOGETHER", together)
+        got = T.normalised(pa.array(["cut off", *texts], pa.string()).slice(1))
+        got.validate(full=True)
+        assert got.to_pylist() == want
+    bits = T.numeral_bits(got).tolist()
+    assert bits == [sum(1 << i for i, x in enumerate(T.ROMAN_NUMERALS) if x in t.split()) for t in want] and any(bits)
+    assert T.normalised(pa.array([], pa.string())).to_pylist() == [] and T.numeral_bits(pa.array([], pa.string())).tolist() == []
+
+
+def test_answers_are_prepared_and_ruled_as_by_columns(spark):
+    rng = random.Random(4)
+    texts = _odd_texts(rng, 150)
+    rows = [(i, t, rng.choice(texts), rng.choice(texts), rng.choice([None, [], [rng.choice(texts), None, t]]), rng.choice([None, "father", "director"])) for i, t in enumerate(texts)]
+    rows += [(len(rows) + i, *r) for i, r in enumerate([("Out Riley", "Who directed Outing Riley?", "x", [], "director"), (" 'Out\u2003Riley'", "Riley?", "x", None, "father")])]
+    table = spark.createDataFrame(rows, "row_id long, model_answer string, question string, gold_value string, gold_aliases array<string>, relation string")
+    inputs = error_types.rule_inputs(table)
+    words = T.raw_word_count(F.col("__name")).between(1, 6)
+    partly = F.arrays_overlap("__content", "__question") & (F.size(F.array_except("__content", "__question")) > 0)
+    expected = (
+        F.when(F.col("__norm") == "", "broken-empty").when(T.is_refusal(F.col("__head")), "abstain")
+        .when(F.col("__raw").rlike(T.LEAK_PATTERN), "broken-leak").when(T.is_looping(F.col("__norm")), "broken-loop")
+        .when(F.col("__cut").isNotNull(), "broken-continuation").when(T.is_invalid_shape(F.col("__norm")), "broken-invalid").when(error_types.is_copy(), "broken-copy")
+        .when(~F.coalesce("relation", F.lit("")).isin(T.KIN_RELATIONS) & words & partly, "lookup").otherwise("entity"))
+    any_cut = F.col("__raw").rlike(T.WEB_PATTERN) | F.col("__raw").rlike(T.MATH_PATTERN) | F.col("__raw").rlike(T.GLUED_PATTERN)
+    got = inputs.select("row_id", "__raw", "__norm", "__head", "__cut", "__question", "__content", any_cut.alias("cuts"), expected.alias("want"), error_types.early_rule().alias("rule")).orderBy("row_id").collect()
+    for r, (_, answer, question, *_) in zip(got, rows, strict=True):
+        assert (r.rule, r["__cut"] is not None, r["__norm"]) == (r.want, r.cuts, _plainly(answer)), r
+        assert r["__head"] == _plainly(r["__raw"][:r["__cut"]]) and r["__question"] == _plainly(question).split()
+        assert r["__content"] == [w for w in r["__norm"].split() if w not in T.STOP_WORDS + T.TITLES]
+    assert {r.rule for r in got} == {"lookup", *error_types.RULES} - {"broken-fabricated"}
+
+    def numerals(t):
+        return set(t.split()) & set(T.ROMAN_NUMERALS)
+
+    junk = T.junk_kind(F.coalesce("model_answer", F.lit("")), T.normalise(F.col("model_answer")))
+    ready = grading.prepared(table).withColumn("want", junk).orderBy("row_id").collect()
+    for r, (_, answer, _, gold, aliases, _) in zip(ready, rows, strict=True):
+        mine, golds = _plainly(answer), [_plainly(g) for g in [gold, *(aliases or [])]]
+        assert (r.answer_norm, r.junk) == (mine, r.want)
+        assert r.golds == [g for g in golds if g and numerals(g) == numerals(mine)]
+
+
+def test_ratios_and_their_bounds_are_those_of_difflib():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["henry", "iv", "of", "the", "rhine", "x"]) for _ in range(rng.choice([1, 3, 12, 60]))) for _ in range(120)]
+    pairs = list(zip(texts, texts[1:])) + [(t, t + " iv") for t in texts] + [(t[:1] + t[2:], t) for t in texts] + [(t, t[3:-4]) for t in texts] + [("", ""), ("", "a"), ("é漢", "漢")]
+    want = [100.0 * SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert similarity.ratios(pairs) == want
+    bounds = similarity.shared_bounds(*zip(*pairs))
+    assert [100.0 * SequenceMatcher(None, a, b).quick_ratio() for a, b in pairs] == bounds.tolist()
+    in_order = [tuple(" ".join(sorted(t.split())) for t in p) for p in pairs]
+    columns = [pa.array([*x, None, "a"]) for x in zip(*pairs)]
+    columns[1] = pa.array([*columns[1].to_pylist()[:-1], None])
+    assert similarity.sorted_ratio.func(*columns).to_pylist() == [*similarity.ratios(in_order), None, None]
+    golds = [[b, a] if i % 3 else [b] for i, (a, b) in enumerate(pairs)] + [None, []]
+    alone = [bool(g) and any(max(similarity.ratios([(a, x), (" ".join(sorted(a.split())), " ".join(sorted(x.split())))])) >= 90 for x in g) for (a, _), g in zip([*pairs, ("a", 0), ("a", 0)], golds)]
+    assert grading.any_similar.func(pa.array([*(a for a, _ in pairs), "a", "a"]), pa.array(golds, pa.list_(pa.string()))).to_pylist() == alone
+
+
+def test_whole_texts_are_cut_into_words_once(spark, one_group):
+    """A filter on the words cut them again below the dealing out, in the one task that reads a row group."""
+    for view in (views.passages, views.answers, views.name_cache):
+        plan = view(spark, one_group)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and "slice(words" not in plan
+
+
+@pytest.mark.parametrize("name", ["C11_cascade", "C12_type_counts", "G07_token_sort_ratio", "G06_similarity_ratio", "G09_correctness"])
+def test_words_of_answers_are_looked_at_in_python(spark, one_group, name):
+    """Word rules as lambdas were interpreted word by word, each with patterns and sorts of its own."""
+    plan = QUERIES[name](spark, one_group)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_compared(" in plan and "array_sort" not in plan and "sort_array" not in plan and "[^a-z0-9]+" not in plan
+
+
+def test_passages_of_a_long_text(spark, tmp_path):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (1, 11, 12, 13, 24, 5000)] + ["", " \t\n", None, "\u2003x"]
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "source": ["s"] * len(texts), "text": texts}), tmp_path / "documents.parquet")
+    want = {(d * views.ROWS_PER_DOCUMENT + i, tuple(re.findall(r"[^ \t\n]+", t)[i * 12:i * 12 + 12]))
+            for d, t in enumerate(texts) if t for i in range(-(-len(re.findall(r"[^ \t\n]+", t)) // 12))}
+    got = views.passages(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.row_id, tuple(r.w)) for r in got} == want
+    names = {r.name for r in views.name_cache(spark, str(tmp_path)).collect()}
+    assert names and names <= {f"{w[0]} Zorblatt" for _, w in want}
